@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import exact_dedup, line_dedup, simhash
+from hyperloom.llm import decontaminate, exact_dedup, line_dedup, simhash, substring_dedup
 from hyperloom.sources import table
 
 
@@ -24,13 +24,29 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(documents, benchmark, window=13, gram=5, share=20)
+    return found.drop("_k1", "_k2")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op6_decontaminate, op7_line_dedup, op9_substring_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Alphanumeric words and non-blank words of a text, in order.
+_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_TOKENS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": f"""
@@ -38,6 +54,31 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
             FROM d WINDOW g AS (PARTITION BY t)""",
+        "op6_decontaminate": f"""
+            WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+            b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+            g AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k
+                  FROM (SELECT *, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
+            e AS (SELECT DISTINCT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k
+                  FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM g))),
+            m AS (SELECT DISTINCT doc_id, p, n, item_id FROM e JOIN g USING (n, k)),
+            h AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS i FROM m) GROUP BY doc_id),
+            t AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+                  FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM m) GROUP BY doc_id)
+            SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+                   sha256(coalesce(items, '')) AS items_sha256,
+                   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+            FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+        "op9_substring_dedup": f"""
+            WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+            e AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 34), ' ') AS k
+                  FROM (SELECT *, unnest(generate_series(1, len(w) - 34)) AS p FROM d)),
+            r AS (SELECT doc_id, p FROM e JOIN (SELECT k FROM e GROUP BY k HAVING count(*) > 1) USING (k)),
+            g AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 34)) AS i FROM r),
+            t AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS x FROM d),
+            k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+            SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN k USING (doc_id)""",
         "op7_line_dedup": f"""
             WITH l AS (
                 SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line,
