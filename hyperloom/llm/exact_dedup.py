@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import lower_ascii
+from hyperloom.llm.common import lower_ascii, written
 
 #: Partial groups of one text that are merged apart before their winners meet.
 SALTS = 32
@@ -31,7 +31,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     merged = salted.groupBy("_digest", "_text", "_salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     winners = merged.groupBy("_digest", "_text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    groups = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("group_size"))
+    by_digest = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("group_size"))
+    # Written, so that the join shuffles both sides for itself and may split a group of many copies.
+    groups = written(by_digest, "groups")
     size = F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share one SHA-256 digest")))
     return rows.select("doc_id", "_digest").join(groups, "_digest").select(
         "doc_id",
