@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import decontaminate, exact_dedup, line_dedup, simhash, substring_dedup
+from hyperloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, simhash, substring_dedup
 from hyperloom.sources import table
 
+MIX_ROUNDS = 10
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
@@ -24,6 +26,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(documents, benchmark, window=13, gram=5, share=20)
@@ -35,8 +41,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), topic=mixing.by_length(F.col("text")), temper=0.5, rounds=MIX_ROUNDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op6_decontaminate, op7_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op4_license_scan, op6_decontaminate, op7_line_dedup, op9_substring_dedup, op10_mixing)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,6 +57,58 @@ _WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7
 _TOKENS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+def _license_sql() -> str:
+    """Brute force: every block against every template."""
+    stride = license_scan.STRIDE
+    templates = license_scan.BASE + license_scan.STATEMENTS
+    length = stride + max(len(t.words) for t in templates) - 1
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    base = ", ".join(f"('{t.label}', {quoted(t.words)})" for t in license_scan.BASE)
+    other = ", ".join(f"('{t.label}', {quoted(sorted(set(t.words)))}, {t.needed})" for t in license_scan.STATEMENTS)
+    return f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, label, i FROM (SELECT *, unnest(generate_series(0, len(w) - 1)) AS i FROM d), (VALUES {base}) t(label, ws)
+              WHERE list_slice(w, i + 1, i + len(ws)) = ws),
+        b AS (SELECT doc_id, list_distinct(list_slice(w, k * {stride} + 1, k * {stride} + {length})) AS s
+              FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // {stride})) AS k FROM d WHERE len(w) > 0)),
+        m AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS n, len(ws) AS whole, need FROM b, (VALUES {other}) t(label, ws, need)),
+        f AS (SELECT doc_id, label, false AS base, NULL AS i, n / whole AS share FROM m WHERE n >= need
+              UNION ALL SELECT doc_id, label, true, i, 1.0 FROM p),
+        g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) AS first_word, max(i) AS last_word,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+                     array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM f GROUP BY doc_id)
+        SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word,
+               last_word::bigint AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0)::double AS score
+        FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def _mixing_sql(rounds: int = MIX_ROUNDS) -> str:
+    """The same rounds, one common table expression for each scaling."""
+    steps, last = [], "c0"
+    for k in range(rounds):
+        for d in mixing.DIMENSIONS:
+            steps.append(
+                f"c_{k}_{d} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 "
+                f"THEN w * (t_{d} / s_{d}) / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})"
+            )
+            last = f"c_{k}_{d}"
+    share = ", ".join(f"sqrt(sum(tokens) OVER (PARTITION BY {d})::double) AS t_{d}" for d in mixing.DIMENSIONS)
+    sums = ", ".join(f"(SELECT sum(t_{d}) FROM (SELECT DISTINCT {d}, t_{d} FROM a)) AS s_{d}" for d in mixing.DIMENSIONS)
+    return f"""
+        WITH n AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len({_TOKENS}) AS k FROM documents),
+        r AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN k < 100 THEN 'note' WHEN k < 600 THEN 'article' ELSE 'long' END AS topic,
+              greatest(k, 1)::bigint AS n_tokens FROM n),
+        c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM r GROUP BY ALL),
+        a AS MATERIALIZED (SELECT *, {share} FROM c),
+        c0 AS MATERIALIZED (SELECT *, {sums}, tokens::double AS w FROM a),
+        {", ".join(steps)},
+        p AS (SELECT source, lang, topic, round(w / tokens / max(w / tokens) OVER (), 9) AS probability FROM {last})
+        SELECT doc_id, source, lang, topic, n_tokens, probability,
+               ('0x' || substr(md5('42|' || doc_id::varchar), 1, 8))::bigint / 4294967296.0 < probability AS sampled
+        FROM r JOIN p USING (source, lang, topic)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": f"""
@@ -54,6 +116,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
             FROM d WINDOW g AS (PARTITION BY t)""",
+        "op4_license_scan": _license_sql(),
+        "op10_mixing": _mixing_sql(),
         "op6_decontaminate": f"""
             WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
             b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
