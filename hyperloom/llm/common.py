@@ -73,7 +73,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles nothing refers to any more."""
+    """Let Spark's cleaner see which shuffles nothing refers to any more.
+
+    The session holds on to its last query, so another one has to run first.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

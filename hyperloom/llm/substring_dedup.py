@@ -17,7 +17,11 @@ from hyperloom.llm.common import row_key, written
 SLAB = 1_000_000
 #: Bytes of text that one bucket of the exchange stands for; buckets per shuffle partition at least.
 BUCKET_BYTES = 16 << 20
-BUCKETS_EACH = 4
+BUCKETS_EACH = 2
+
+#: Bytes of a probe's hash that are sent, besides its bucket. A bucket has some 150,000 anchors, so
+#: a wrong hit comes once in 28,000 probes; it costs one comparison and no wrong result.
+TAG = 4
 
 ALIGNED, SILENT = 1, 2
 PACKED = "bucket int, known boolean, docs binary, counts binary, gaps binary, tags binary, flags binary"
@@ -113,12 +117,17 @@ def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndar
             "counts": _planes(counts, 4),
             "gaps": _planes(gaps, 4),
             "tags": tags,
-            "flags": b"" if flag is None else flag.tobytes(),
+            "flags": b"" if flag is None else np.packbits(flag & ALIGNED).tobytes() + np.packbits(flag & SILENT > 0).tobytes(),
         }
 
 
-def match(widths: list[int]) -> Callable[[pa.Table], pa.Table]:
-    """For all packed rows of one bucket: positions whose window occurs elsewhere.
+def _flags(packed: bytes, n: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(2, -1), axis=1)[:, :n]
+    return bits[0] * np.uint8(ALIGNED) | bits[1] * np.uint8(SILENT)
+
+
+def match(widths: list[int], names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """For all packed rows of one bucket: positions whose window occurs elsewhere, by the key columns ``names``.
 
     An unaligned window needs one aligned window of its kind, an aligned one two, itself included.
     """
@@ -133,10 +142,10 @@ def match(widths: list[int]) -> Callable[[pa.Table], pa.Table]:
             firsts = np.append(0, np.cumsum(counts)[:-1])
             pos.append(sums - np.repeat(sums[firsts] - gaps[firsts], counts))
             docs.append(np.repeat(np.arange(base, base + len(counts)), counts))
-            keys.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
+            keys.append(np.frombuffer(row["docs"], np.int64).reshape(-1, len(names)))
             base += len(counts)
             n = len(gaps)
-            flags.append(np.frombuffer(row["flags"], np.uint8) if not row["known"] else np.full(n, 255, np.uint8))
+            flags.append(np.zeros(n, np.uint8) if row["known"] else _flags(row["flags"], n))
             at = 0
             for lane, w in zip(lanes, widths, strict=True):
                 lane.append(_values(row["tags"][at : at + w * n], w) if not row["known"] else np.zeros(n, np.uint64))
@@ -161,7 +170,7 @@ def match(widths: list[int]) -> Callable[[pa.Table], pa.Table]:
         spans = np.append(0, np.cumsum(counts)).astype(np.int32) * 4
         data = position[at].astype(np.uint32).tobytes()
         found = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(spans.tobytes()), pa.py_buffer(data)])
-        return pa.table({"_k1": pa.array(key[:, 0].copy()), "_k2": pa.array(key[:, 1].copy()), "_pos": found})
+        return pa.table({**{c: pa.array(key[:, i].copy()) for i, c in enumerate(names)}, "_pos": found})
 
     return run
 
@@ -210,7 +219,8 @@ def _probe(block: int, window: int, buckets: int, widths: list[int]):
             doc = np.repeat(np.arange(len(keys)), counts)
             at = _ranges(first[:-1], counts)
             pos = at - first[doc]
-            rows = pack(keys, doc, pos, [rolling(words, at, block)], pos % block == 0, buckets, widths)
+            # One half of the key is enough here: a collision only adds windows that are then compared.
+            rows = pack(keys[:, :1], doc, pos, [rolling(words, at, block)], pos % block == 0, buckets, widths)
             yield _batch(list(rows))
 
     return run
@@ -234,10 +244,11 @@ def _extend(block: int, window: int, buckets: int, widths: list[int]):
     return run
 
 
-def _exchange(packed: DataFrame, widths: list[int], name: str) -> DataFrame:
-    """``_k1, _k2, _hits``: for each document the positions found, written out."""
-    found = packed.groupBy("bucket").applyInArrow(match(widths), "_k1 long, _k2 long, _pos binary")
-    return written(found.groupBy("_k1", "_k2").agg(F.collect_list("_pos").alias("_hits")), name)
+def _exchange(packed: DataFrame, widths: list[int], names: list[str], name: str) -> DataFrame:
+    """``names, _hits``: for each document the positions found, written out."""
+    schema = ", ".join(f"{c} long" for c in names) + ", _pos binary"
+    found = packed.groupBy("bucket").applyInArrow(match(widths, names), schema)
+    return written(found.groupBy(*names).agg(F.collect_list("_pos").alias("_hits")), name)
 
 
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -257,10 +268,10 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(*row_key(F.col(id_col), F.col(text_col)), text.alias("_text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = max(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    probes = keyed.mapInArrow(_probe(block, window, buckets, [5]), PACKED)
-    hits = _exchange(probes, [5], "anchor-hits")
-    around = keyed.join(hits, ["_k1", "_k2"]).mapInArrow(_extend(block, window, buckets, [8, 8]), PACKED)
-    return _exchange(around, [8, 8], "repeats")
+    probes = keyed.mapInArrow(_probe(block, window, buckets, [TAG]), PACKED)
+    hits = _exchange(probes, [TAG], ["_k1"], "anchor-hits")
+    around = keyed.join(hits, "_k1").mapInArrow(_extend(block, window, buckets, [8, 8]), PACKED)
+    return _exchange(around, [8, 8], ["_k1", "_k2"], "repeats")
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
