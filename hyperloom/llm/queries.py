@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, simhash, substring_dedup
+from hyperloom.llm import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from hyperloom.llm.common import scratch_path
 from hyperloom.sources import table
 
 MIX_ROUNDS = 10
@@ -17,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = chat.repair(table(spark, sf_dir, "conversations"))
+    return repaired.select("conv_id", "turn", "role", "new_role", "action", "inserted", "tail", "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -30,12 +36,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.classify(documents, model, threshold=0.3)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(documents, benchmark, window=13, gram=5, share=20)
     return found.drop("_k1", "_k2")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    read = warc.read_archive(spark, path)
+    return read.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,7 +67,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op4_license_scan, op6_decontaminate, op7_line_dedup, op9_substring_dedup, op10_mixing)}
+    found = (
+        op1_simhash,
+        op2_chat_format,
+        op3_exact_dedup,
+        op4_license_scan,
+        op5_quality,
+        op6_decontaminate,
+        op7_line_dedup,
+        op8_warc,
+        op9_substring_dedup,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,6 +149,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
             FROM d WINDOW g AS (PARTITION BY t)""",
+        "op8_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+            g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep, sha1(h) AS hex FROM p)
+            SELECT page_id, strlen(h)::bigint AS payload_bytes,
+                   list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((('0x' || substr(hex, (i // 4)::int * 5 + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+                   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> keep THEN keep END AS refers_to
+            FROM g""",
         "op4_license_scan": _license_sql(),
         "op10_mixing": _mixing_sql(),
         "op6_decontaminate": f"""
