@@ -25,6 +25,7 @@ TAG = 4
 
 ALIGNED, SILENT = 1, 2
 PACKED = "bucket int, known boolean, docs binary, counts binary, gaps binary, tags binary, flags binary"
+REPLY = "bucket int, docs binary, counts binary, gaps binary"
 
 
 class WordHashes(dict):
@@ -104,30 +105,41 @@ def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndar
     if len(here):
         parts.append((int(lanes[0][here[0]] % np.uint64(buckets)), True, here, None))
     for into, known, at, flag in parts:
-        used, counts = np.unique(doc[at], return_counts=True)
-        p = pos[at]
-        gaps = np.diff(p, prepend=0)
-        firsts = np.append(0, np.cumsum(counts)[:-1])
-        gaps[firsts] = p[firsts]
         tags = b"" if known else b"".join(_planes(lane[at] >> np.uint64(64 - 8 * w), w) for lane, w in zip(lanes, widths, strict=True))
         yield {
             "bucket": into,
             "known": known,
-            "docs": keys[used].tobytes(),
-            "counts": _planes(counts, 4),
-            "gaps": _planes(gaps, 4),
+            **_encode(keys, doc[at], pos[at]),
             "tags": tags,
             "flags": b"" if flag is None else np.packbits(flag & ALIGNED).tobytes() + np.packbits(flag & SILENT > 0).tobytes(),
         }
 
 
+def _encode(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> dict:
+    """Ascending places (document, position) as documents, places of each, and gaps between positions."""
+    used, counts = np.unique(doc, return_counts=True)
+    gaps = np.diff(pos, prepend=0)
+    firsts = np.append(0, np.cumsum(counts)[:-1])
+    gaps[firsts] = pos[firsts]
+    return {"docs": keys[used].tobytes(), "counts": _planes(counts, 4), "gaps": _planes(gaps, 4)}
+
+
+def _decode(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of documents, and document and position of each place."""
+    counts, gaps = _values(row["counts"], 4).astype(np.int64), _values(row["gaps"], 4).astype(np.int64)
+    sums = np.cumsum(gaps)
+    firsts = np.append(0, np.cumsum(counts)[:-1])
+    pos = sums - np.repeat(sums[firsts] - gaps[firsts], counts)
+    return np.frombuffer(row["docs"], np.int64).reshape(-1, width), np.repeat(np.arange(len(counts)), counts), pos
+
+
 def _flags(packed: bytes, n: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(2, -1), axis=1)[:, :n]
     return bits[0] * np.uint8(ALIGNED) | bits[1] * np.uint8(SILENT)
 
 
-def match(widths: list[int], names: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """For all packed rows of one bucket: positions whose window occurs elsewhere, by the key columns ``names``.
+def match(widths: list[int], width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """For all packed rows of one bucket: places whose window occurs elsewhere, packed by document.
 
     An unaligned window needs one aligned window of its kind, an aligned one two, itself included.
     """
@@ -137,21 +149,18 @@ def match(widths: list[int], names: list[str]) -> Callable[[pa.Table], pa.Table]
         lanes: list[list[np.ndarray]] = [[] for _ in widths]
         base = 0
         for row in table.to_pylist():
-            counts, gaps = _values(row["counts"], 4).astype(np.int64), _values(row["gaps"], 4).astype(np.int64)
-            sums = np.cumsum(gaps)
-            firsts = np.append(0, np.cumsum(counts)[:-1])
-            pos.append(sums - np.repeat(sums[firsts] - gaps[firsts], counts))
-            docs.append(np.repeat(np.arange(base, base + len(counts)), counts))
-            keys.append(np.frombuffer(row["docs"], np.int64).reshape(-1, len(names)))
-            base += len(counts)
-            n = len(gaps)
+            key, doc, places = _decode(row, width)
+            keys.append(key)
+            docs.append(doc + base)
+            pos.append(places)
+            base += len(key)
+            n, at = len(places), 0
             flags.append(np.zeros(n, np.uint8) if row["known"] else _flags(row["flags"], n))
-            at = 0
             for lane, w in zip(lanes, widths, strict=True):
                 lane.append(_values(row["tags"][at : at + w * n], w) if not row["known"] else np.zeros(n, np.uint64))
                 at += w * n
             asks.append(np.full(n, not row["known"]))
-        flag, ask, doc, position = (np.concatenate(x) for x in (flags, asks, docs, pos))
+        flag, ask, doc, position, key = (np.concatenate(x) for x in (flags, asks, docs, pos, keys))
         hit = ~ask
         sent = np.flatnonzero(ask)
         if len(sent):
@@ -163,14 +172,32 @@ def match(widths: list[int], names: list[str]) -> Callable[[pa.Table], pa.Table]
             here = np.empty(len(sent), np.int64)
             here[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
             hit[sent] = (here - aligned > 0) & ((flag[sent] & SILENT) == 0)
+        into = (key[:, 0].copy().view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         at = np.flatnonzero(hit)
-        at = at[np.argsort(doc[at], kind="stable")]
-        used, counts = np.unique(doc[at], return_counts=True)
-        key = np.concatenate(keys)[used]
-        spans = np.append(0, np.cumsum(counts)).astype(np.int32) * 4
-        data = position[at].astype(np.uint32).tobytes()
-        found = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(spans.tobytes()), pa.py_buffer(data)])
-        return pa.table({**{c: pa.array(key[:, i].copy()) for i, c in enumerate(names)}, "_pos": found})
+        at = at[np.lexsort((position[at], doc[at], into[doc[at]]))]
+        cuts = np.flatnonzero(np.diff(into[doc[at]])) + 1
+        rows = [{"bucket": int(into[doc[p[0]]])} | _encode(key, doc[p], position[p]) for p in np.split(at, cuts) if len(p)]
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "counts", "gaps"))]))
+
+    return run
+
+
+def gather(names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """For all packed replies of one bucket of documents: one row per document with its places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_decode(row, len(names)) for row in table.to_pylist()]
+        sizes = np.append(0, np.cumsum([len(k) for k, _, _ in parts]))
+        key = np.concatenate([k for k, _, _ in parts])
+        key, same = np.unique(key, axis=0, return_inverse=True)
+        doc = same.reshape(-1)[np.concatenate([d + s for (_, d, _), s in zip(parts, sizes, strict=False)])]
+        pos = np.concatenate([p for _, _, p in parts])
+        order = np.lexsort((pos, doc))
+        ends = np.cumsum(np.bincount(doc, minlength=len(key)))
+        spans = np.append(0, ends).astype(np.int32) * 4
+        data = pos[order].astype(np.uint32).tobytes()
+        found = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(spans.tobytes()), pa.py_buffer(data)])
+        return pa.table({**{c: pa.array(key[:, i].copy()) for i, c in enumerate(names)}, "_hits": found})
 
     return run
 
@@ -231,7 +258,7 @@ def _extend(block: int, window: int, buckets: int, widths: list[int]):
         for keys, words, first, hits in _slabs(batches, window):
             near = np.zeros(len(words) + 1, np.int64)
             for d, found in enumerate(hits):
-                p = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
+                p = np.frombuffer(found, np.uint32).astype(np.int64)
                 last = first[d + 1] - first[d] - window
                 np.add.at(near, first[d] + np.minimum(np.maximum(p - (window - block), 0), last), 1)
                 np.add.at(near, first[d] + np.minimum(p, last) + 1, -1)
@@ -244,11 +271,11 @@ def _extend(block: int, window: int, buckets: int, widths: list[int]):
     return run
 
 
-def _exchange(packed: DataFrame, widths: list[int], names: list[str], name: str) -> DataFrame:
-    """``names, _hits``: for each document the positions found, written out."""
-    schema = ", ".join(f"{c} long" for c in names) + ", _pos binary"
-    found = packed.groupBy("bucket").applyInArrow(match(widths, names), schema)
-    return written(found.groupBy(*names).agg(F.collect_list("_pos").alias("_hits")), name)
+def _exchange(packed: DataFrame, widths: list[int], names: list[str], buckets: int, name: str) -> DataFrame:
+    """``names, _hits``: for each document the places found, written out."""
+    replies = packed.groupBy("bucket").applyInArrow(match(widths, len(names), buckets), REPLY)
+    found = replies.groupBy("bucket").applyInArrow(gather(names), ", ".join(f"{c} long" for c in names) + ", _hits binary")
+    return written(found, name)
 
 
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -269,9 +296,9 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = max(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     probes = keyed.mapInArrow(_probe(block, window, buckets, [TAG]), PACKED)
-    hits = _exchange(probes, [TAG], ["_k1"], "anchor-hits")
+    hits = _exchange(probes, [TAG], ["_k1"], buckets, "anchor-hits")
     around = keyed.join(hits, "_k1").mapInArrow(_extend(block, window, buckets, [8, 8]), PACKED)
-    return _exchange(around, [8, 8], ["_k1", "_k2"], "repeats")
+    return _exchange(around, [8, 8], ["_k1", "_k2"], buckets, "repeats")
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -302,7 +329,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if (found := hits.as_py()) is None:
                     removed.append(0)
                 else:
-                    starts = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
+                    starts = np.frombuffer(found, np.uint32).astype(np.int64)
                     edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)
                     gone = np.cumsum(edges[: len(words)]) > 0
                     removed.append(int(gone.sum()))
