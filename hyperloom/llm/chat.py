@@ -24,7 +24,8 @@ UNKNOWN = 0
 #: Legal next turns of each state. A conversation ends after an assistant.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 
-MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
+#: A wrong label costs more than an empty turn: words of one side are not put into the mouth of the other lightly.
+MERGE, RELABEL, INSERT = 1.0, 5.0, 3.0
 #: A turn of unknown role has no label to change.
 NAME = 0.5
 INF = float("inf")
