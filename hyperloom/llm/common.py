@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,21 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *columns).alias(f"_k{seed}") for seed in (1, 2)]
 
 
+def passes_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return all columns of ``docs``: their own helper columns start with ``_``,
+    so columns of the input that do so have other names meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        meant = [v for v in options.values() if isinstance(v, str)]
+        away = {c: f"aside-{i}-{c}" for i, c in enumerate(docs.columns) if c.startswith("_") and c not in meant}
+        if not away:
+            return operator(docs, *args, **options)
+        return operator(docs.withColumnsRenamed(away), *args, **options).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def hash128(value: Column) -> Column:
     """Two independently seeded 64-bit hashes of ``value``."""
     return F.struct(F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))

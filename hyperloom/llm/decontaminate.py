@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import NON_WORD, lower_ascii, maybe_broadcast, row_key, written
+from hyperloom.llm.common import NON_WORD, lower_ascii, maybe_broadcast, passes_columns, row_key, written
 
 #: Distinct benchmark windows (strings) that may be broadcast, about 100 bytes each.
 BROADCAST_WINDOWS = 200_000
@@ -144,6 +144,7 @@ def contamination(
     )
 
 
+@passes_columns
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay as they are."""
     id_col, text_col = str(options.get("id_col", "doc_id")), str(options.get("text_col", "text"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import BLANKS, hash128, lower_ascii, maybe_broadcast, row_key, written
+from hyperloom.llm.common import BLANKS, hash128, lower_ascii, maybe_broadcast, passes_columns, row_key, written
 
 
+@passes_columns
 def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with ``text_col`` cleaned of lines whose key stands in ``min_docs`` documents or more.
 

@@ -103,7 +103,7 @@ def sample(docs: DataFrame, **options: object) -> DataFrame:
     cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "_p")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     topic = options["topic"]
-    at = (name(F.col(names["source"])) == F.col("_source")) & (name(F.col(names["lang"])) == F.col("_lang")) & (name(topic) == F.col("_topic"))
+    at = (name(docs[names["source"]]) == cells["_source"]) & (name(docs[names["lang"]]) == cells["_lang"]) & (name(topic) == cells["_topic"])
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
     seed = int(options.get("seed", 42))
-    return docs.join(cells, at).where(draw(F.col(id_col), seed) < F.col("_p")).select(*docs.columns)
+    return docs.join(cells, at).where(draw(docs[id_col], seed) < cells["_p"]).select(*[docs[c] for c in docs.columns])

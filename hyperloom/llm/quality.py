@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import written
+from hyperloom.llm.common import passes_columns, written
 
 #: Labelled rows that a fit uses at most, those with the least hash of their id.
 MAX_TRAINING_ROWS = 20_000
@@ -211,6 +211,7 @@ def classify(docs: DataFrame, model: RuleModel, *, id_col: str = "doc_id", text_
     )
 
 
+@passes_columns
 def drop_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options: object) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay as they are."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import row_key, written
+from hyperloom.llm.common import passes_columns, written
 from hyperloom.llm.components import connected_components
 
 BITS = 64
@@ -311,6 +311,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@passes_columns
 def keep_one_per_component(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest id stays.
 

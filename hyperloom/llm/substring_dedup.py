@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import row_key, written
+from hyperloom.llm.common import passes_columns, row_key, written
 
 #: Words whose windows are hashed and packed at once.
 SLAB = 1_000_000
@@ -301,6 +301,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _exchange(around, [8, 8], ["_k1", "_k2"], buckets, "repeats")
 
 
+@passes_columns
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """``docs`` with every word removed from ``text_col`` that a repeated window covers.
 
