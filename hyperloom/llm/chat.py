@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import written
+from hyperloom.llm.common import maybe_broadcast, written
 
 #: Other names of the roles.
 ROLES = {
@@ -127,7 +127,9 @@ def repair(
     ranged = written(ranged.select("conv_id", "turn", "role", "text", "_seq", "_run", role_number(F.col("role")).alias("_r")), "runs")
 
     spanning = ranged.groupBy("conv_id").agg(F.min("_run").alias("_a"), F.max("_run").alias("_b")).where("_a <> _b")
-    states = written(_between(ranged.join(F.broadcast(spanning.select(F.col("conv_id").alias("_c"))), F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")), "states")
+    spanning = written(spanning.select(F.col("conv_id").alias("_c")), "spanning")
+    spanning = maybe_broadcast(spanning, spanning.count())
+    states = written(_between(ranged.join(spanning, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")), "states")
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_run") == F.col("_r_run"))
     known = states.select(F.col("conv_id").alias("_c"), F.col("_run").alias("_r_run"), "_enter", "_leave", "_final")
     placed = ranged.join(known, same, "left").select("conv_id", "_run", "_seq", "turn", "role", "text", "_r", "_enter", "_leave", "_final")
