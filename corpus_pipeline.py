@@ -16,6 +16,9 @@ from hyperloom.llm import decontaminate, line_dedup, mixing, quality, simhash
 from hyperloom.llm.common import written
 from hyperloom.sources import table
 
+#: The share of the clean documents' tokens that the mixing stage keeps.
+MIX_BUDGET = 0.5
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -41,8 +44,9 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens have the target shares by source, language and topic."""
-    return mixing.sample(docs, topic=mixing.by_length(F.col("text")), temper=0.5, rounds=10)
+    """A sample of ``MIX_BUDGET`` of all tokens, with the target shares by source, language and length
+    class as far as the cells have the documents for them."""
+    return mixing.sample(docs, topic=mixing.by_length(F.col("text")), temper=0.5, rounds=10, max_rounds=100, budget=MIX_BUDGET)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

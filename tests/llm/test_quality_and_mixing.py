@@ -8,6 +8,7 @@ import pytest
 from fixtures import documents, empty
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hyperloom.llm import mixing, quality
 
 
@@ -91,3 +92,44 @@ def test_mixing_awkward_rows(spark, monkeypatch, few):
     never = mixing.mix(docs, topic=topic, targets={"source": {"src1": 1.0}})
     assert {r["source"] for r in never.where("sampled OR probability > 0").collect()} <= {"src1"}
     assert mixing.mix(docs, topic=topic, targets={"source": {"nowhere": 1.0}}).where("sampled").count() == 0
+
+
+def test_a_rare_cell_does_not_shrink_the_sample(spark):
+    """One odd row beside 1,000 documents; the stage spends its budget and takes that row whole."""
+    text = F.repeat(F.lit("word "), 100)
+    many = spark.range(1000).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 4 == 0, "de").otherwise("en").alias("lang"), F.lit("web").alias("source")
+    )
+    odd = spark.createDataFrame([(5000, "word " * 20, None, "web")], "doc_id long, text string, lang string, source string")
+    kept = {r[0] for r in corpus_pipeline.mixed(spark, many.union(odd), "").select("doc_id").collect()}
+    assert 5000 in kept and len(kept) == pytest.approx(500, abs=75)
+
+
+@pytest.mark.parametrize("budget", [0.01, 0.3, 0.9, 1.0])
+def test_budget(spark, tables, budget):
+    """Expected tokens are the budget, and unsaturated cells keep the ratios of the fit."""
+    docs, _ = tables
+    rows = mixing.mix(docs, topic=mixing.by_length(F.col("text"))).drop("probability")
+    free = {tuple(r[d] for d in mixing.DIMENSIONS): r for r in mixing.calibrate(rows).cells.collect()}
+    found = mixing.calibrate(rows, budget=budget)
+    cells = {tuple(r[d] for d in mixing.DIMENSIONS): r for r in found.cells.collect()}
+    total = sum(r["tokens"] for r in cells.values())
+    assert sum(r["tokens"] * r["probability"] for r in cells.values()) == pytest.approx(budget * total, rel=1e-6)
+    assert found.n_saturated == sum(r["saturated"] for r in cells.values())
+    c = max((r["probability"] / free[k]["probability"] for k, r in cells.items() if not r["saturated"]), default=math.inf)
+    for k, r in cells.items():
+        assert r["probability"] == pytest.approx(min(1, c * free[k]["probability"]), rel=1e-5)
+    assert {r["probability"] for r in cells.values() if r["saturated"]} <= {1.0}
+
+
+def test_rounds_go_on_to_the_tolerance(spark):
+    tokens = [("a", "en", 100_000), ("a", "de", 10), ("b", "en", 10), ("b", "de", 100_000)]
+    rows = spark.createDataFrame([(s, x, "", n) for s, x, n in tokens], "source string, lang string, topic string, n_tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}
+    with pytest.warns(RuntimeWarning, match="after 2 rounds"):
+        short = mixing.calibrate(rows, targets=targets, rounds=2)
+    whole = mixing.calibrate(rows, targets=targets, rounds=2, max_rounds=200)
+    assert (short.rounds, short.error > 1e-4) == (2, True) and 2 < whole.rounds < 200 and whole.error <= 1e-4
+    never = rows.where("n_tokens > 10")
+    with pytest.warns(RuntimeWarning, match="from its target"):
+        assert mixing.calibrate(never, targets=targets, max_rounds=20).error > 0.1
