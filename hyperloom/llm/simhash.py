@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import passes_columns, written
+from hyperloom.llm.common import passes_columns, row_key, written
 from hyperloom.llm.components import connected_components
 
 BITS = 64
@@ -57,20 +57,20 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``doc_id, fp``: the SimHash of every whole text as a signed long.
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp``: the SimHash of every whole text as a signed long, and the columns ``also`` between them.
 
     Words are runs of non-blank ASCII, A-Z lower-cased; fewer words than ``shingle`` make one
     shingle; a null, empty or blank text has fingerprint zero.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("fp", "long")
+    schema = docs.select(F.col(id_col).alias("doc_id"), *also).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column(batch.num_columns - 1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], ["doc_id", *also, "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), *also, F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -302,22 +302,31 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     null ids don't count for ``component_id`` unless a component has no other; repeated rows and
     ties get one row each; an empty table gives an empty result; other columns are ignored.
     """
-    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    found = _components(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_distance=max_distance)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, also: tuple[str, ...] = ()
+) -> DataFrame:
+    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, also=also), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "fingerprint-nodes")
     parts = connected_components(near_links(nodes, max_distance=max_distance))
     labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_label"))
     lowest = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
     named = labelled.join(lowest, "_label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", *also, "fp", "component_id")
 
 
 @passes_columns
 def keep_one_per_component(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest id stays.
 
-    All columns stay as they are. Of repeated rows with that id all stay; so do components of null ids.
+    All columns stay as they are. Of repeated rows with that id all stay; so do components of null
+    ids. Rows are found again by id and text, so what holds for a row holds for no other of its id.
     """
-    id_col = str(options.get("id_col", "doc_id"))
-    found = simhash_components(docs, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    id_col, text_col = str(options.get("id_col", "doc_id")), str(options.get("text_col", "text"))
+    keyed = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
+    found = _components(keyed, **options, also=("_k1", "_k2"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k1", "_k2").distinct()
+    return keyed.join(stay, ["_k1", "_k2"], "left_semi").select(*docs.columns)

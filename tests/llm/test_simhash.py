@@ -64,6 +64,14 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in found}
 
 
+def test_shared_ids_decide_nothing(spark):
+    """A component of null ids stays, but no null id beside an ordinary one, and no id that is least elsewhere."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black grey")
+    rows = [(None, a), (7, b), (None, b), (3, c), (5, c), (5, "quite another text of its own here"), (3, b), (2, b)]
+    kept = simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(None, a), (3, c), (5, rows[5][1]), (2, b)], key=str)
+
+
 def test_slabs_make_no_difference(monkeypatch):
     text = " ".join(f"Word{i % 50}" for i in range(500)).encode()
     whole = simhash.fingerprint(text)
