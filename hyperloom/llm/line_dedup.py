@@ -14,26 +14,28 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A line's key is the line, stripped of ASCII blanks at both ends and with A-Z lower-cased; keys
     of fewer than ``min_chars`` code points are never dropped. Keys are compared by 128-bit hash.
-    Each document sends every key once, so counting combines within map tasks and a line that
-    every document has costs one row per task. Only (document, position) of dropped lines travels
-    back; texts are shuffled once, by document, and reassembled by position.
+    Pairs of key and id are made distinct first, dealt out by both, so a line that every document
+    has gathers nowhere; the count that follows combines within map tasks. Only (document, position)
+    of dropped lines travels back; texts are shuffled once, by document, and reassembled by position.
 
     Adds the columns ``n_lines`` (before dropping) and ``n_dropped``, replacing columns of these
     names. Defined cases: null or empty text is one empty line and comes back as ``''``; a
-    document that loses all lines comes back as ``''``; rows that repeat count as documents of
-    their own and are treated alike; an empty table gives an empty result.
+    document that loses all lines comes back as ``''``; rows of one id count as one document, rows
+    of null ids as one each; an empty table gives an empty result.
     """
     key = row_key(F.col(id_col), F.col(text_col))
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     keys = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
-    hashed = docs.select(*key, keys.alias("_keys")).select(
-        "_k1", "_k2", F.transform("_keys", lambda k: F.when(F.char_length(k) >= min_chars, hash128(k))).alias("_lines")
+    hashed = docs.select(*key, F.col(id_col).alias("_id"), keys.alias("_keys")).select(
+        "_k1", "_k2", "_id", F.transform("_keys", lambda k: F.when(F.char_length(k) >= min_chars, hash128(k))).alias("_lines")
     )
     frequent = written(
-        hashed.select(F.explode(F.array_distinct("_lines")).alias("_line"))
+        hashed.select("_id", F.explode(F.array_distinct("_lines")).alias("_line"))
         .where("_line IS NOT NULL")
-        .groupBy("_line.h1", "_line.h2")
-        .agg(F.count(F.lit(1)).alias("_docs"))
+        .groupBy("_line.h1", "_line.h2", "_id")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy("h1", "h2")
+        .agg(F.sum(F.when(F.col("_id").isNull(), F.col("_rows")).otherwise(1)).alias("_docs"))
         .where(F.col("_docs") >= min_docs)
         .select("h1", "h2"),
         "lines",

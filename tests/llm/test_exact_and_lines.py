@@ -41,3 +41,12 @@ def test_lines(spark, min_docs, min_chars):
     assert rows_of(found, "doc_id", "text", "n_lines", "n_dropped") == sorted(wanted, key=str)
     assert {"lang", "kept", "fp"} <= set(found.columns) and found.where("kept <> 'clash'").count() == 0
     assert drop_common_lines(empty(spark)).collect() == []
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Lines that stand under one id only stay, however many rows have it; ten ids or null ids count."""
+    rows = [(1, f"once\nold {k}\nmany") for k in range(12)] + [(k, "many\nten") for k in range(2, 11)] + [(99, "ten")]
+    rows += [(None, f"none\nnull {k}") for k in range(10)]
+    found = drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10, min_chars=1)
+    wanted = [(1, f"once\nold {k}") for k in range(12)] + [(k, "") for k in range(2, 11)] + [(99, "")] + [(None, f"null {k}") for k in range(10)]
+    assert rows_of(found, "doc_id", "text") == sorted(wanted, key=str)
