@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Spark's own setting: shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Measured bytes of a table up to which it may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,24 +36,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: lineage ends there, lost executors don't matter.
 
-    Shuffle files of the finished job are given up at once rather than at the driver's next
-    collection.
+    Spark removes the job's shuffle files when the write ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles nothing refers to any more.
-
-    The session holds on to its last query, so another one has to run first.
-    """
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """What the rows of ``df`` take in memory, measured over all of them; nested values count by their elements."""
+
+    def width(field: T.StructField) -> Column:
+        at, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return 16 + F.octet_length(at)
+        if isinstance(kind, T.ArrayType):
+            inner = F.octet_length(F.array_join(at, "")) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+            return 24 + 16 * F.size(at) + inner
+        return F.lit(16)
+
+    row = sum((F.coalesce(width(f), F.lit(16)).cast("long") for f in df.schema), F.lit(32).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is at most ``limit`` bytes, else as it is."""
+    return F.broadcast(df) if size_in_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
