@@ -1,23 +1,22 @@
-"""Text expressions and scratch tables that the operators share."""
+"""Text expressions that the operators share, and the scratch tables of the core."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyperloom.plans.tables import broadcast_if_small, discard, scratch_path, shared_folder, size_in_bytes, written
+
+__all__ = ["broadcast_if_small", "discard", "hash128", "lower_ascii", "passes_columns", "row_key", "scratch_path", "shared_folder", "size_in_bytes", "written"]
+
 #: The characters that separate words and are stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Separators of alphanumeric words: all ASCII but digits and letters.
 NON_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of a key-like table that may be broadcast: 2 million of up to 32 bytes.
-BROADCAST_ROWS = 2_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -57,46 +56,8 @@ def hash128(value: Column) -> Column:
     """Two independently seeded 64-bit hashes of ``value``."""
     return F.struct(F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may leave it unset; it then gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="hyperloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/hyperloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: lineage ends there, lost executors don't matter.
-
-    Shuffle files of the finished job are given up at once rather than at the driver's next
-    collection.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles nothing refers to any more.
-
-    The session holds on to its last query, so another one has to run first.
-    """
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Rows of a key-like table that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -11,13 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import passes_columns, row_key, written
+from hyperloom.llm.common import discard, passes_columns, row_key, written
 
 #: Words whose windows are hashed and packed at once.
 SLAB = 1_000_000
-#: Bytes of text that one bucket of the exchange stands for; buckets per shuffle partition at least.
+#: Bytes of text that one bucket of windows stands for, and bytes of places that one bucket of
+#: documents gets; neither number of buckets depends on the partitions that Spark is set to.
 BUCKET_BYTES = 16 << 20
-BUCKETS_EACH = 2
+PLACES_BYTES = 4 << 20
+LEAST_BUCKETS = 16
+#: Buckets that may have a partition each.
+MOST_PARTITIONS = 50_000
+#: Places that one row of the exchange carries when they go along as known.
+KNOWN_PLACES = 1 << 16
+#: Bytes of places that a task gathers before it deals them to their documents.
+DEALT_BYTES = 16 << 20
 
 #: Bytes of a probe's hash that are sent, besides its bucket. A bucket has some 150,000 anchors, so
 #: a wrong hit comes once in 28,000 probes; it costs one comparison and no wrong result.
@@ -25,20 +33,21 @@ TAG = 4
 
 ALIGNED, SILENT = 1, 2
 PACKED = "bucket int, known boolean, docs binary, counts binary, gaps binary, tags binary, flags binary"
-REPLY = "bucket int, docs binary, counts binary, gaps binary"
+PLACES = "docs binary, counts binary, gaps binary"
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, forgotten now and then so that it stays bounded."""
+    """Word to its 128-bit hash, forgotten now and then so that it stays bounded."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > 500_000:
             self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        self[word] = out = xxhash.xxh3_128_digest(word)
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """Two independent 64-bit hashes of each word."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,14 +57,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(hashes: np.ndarray, at: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
-    """Hashes of the ``length`` words that start at each of ``at``. Lanes are independent."""
+    """Hashes of the ``length`` words that start at each of ``at``. A lane has its own word hashes and base."""
     base = np.uint64((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[lane] | 5)
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
     n = len(hashes)
     power = np.full(n + 1, base, np.uint64)
     power[0] = 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(hashes + np.uint64(lane)) * np.cumprod(power)[:n], out=sums[1:])
+    np.cumsum(_mix(hashes[:, lane]) * np.cumprod(power)[:n], out=sums[1:])
     power[1:] = inverse
     return _mix((sums[at + length] - sums[at]) * np.cumprod(power)[at])
 
@@ -102,8 +111,10 @@ def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndar
     by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     parts = [(int(bucket[p[0]]), False, first[p], flags[p]) for p in np.split(by, cuts)]
-    if len(here):
-        parts.append((int(lanes[0][here[0]] % np.uint64(buckets)), True, here, None))
+    # Known places meet nothing, so any bucket will do: each part goes to one of its own.
+    for k in range(0, len(here), KNOWN_PLACES):
+        part = here[k : k + KNOWN_PLACES]
+        parts.append((_spread(keys[doc[part[0]], 0], pos[part[0]], buckets), True, part, None))
     for into, known, at, flag in parts:
         tags = b"" if known else b"".join(_planes(lane[at] >> np.uint64(64 - 8 * w), w) for lane, w in zip(lanes, widths, strict=True))
         yield {
@@ -115,6 +126,11 @@ def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndar
         }
 
 
+def _spread(key: int, pos: int, buckets: int) -> int:
+    mixed = _mix(np.array([key], np.int64).view(np.uint64) + np.array([pos], np.int64).view(np.uint64))
+    return int(mixed[0] % np.uint64(buckets))
+
+
 def _encode(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> dict:
     """Ascending places (document, position) as documents, places of each, and gaps between positions."""
     used, counts = np.unique(doc, return_counts=True)
@@ -138,8 +154,8 @@ def _flags(packed: bytes, n: int) -> np.ndarray:
     return bits[0] * np.uint8(ALIGNED) | bits[1] * np.uint8(SILENT)
 
 
-def match(widths: list[int], width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """For all packed rows of one bucket: places whose window occurs elsewhere, packed by document.
+def match(widths: list[int], width: int) -> Callable[[pa.Table], pa.Table]:
+    """For all packed rows of one bucket: one row with the places whose window occurs elsewhere.
 
     An unaligned window needs one aligned window of its kind, an aligned one two, itself included.
     """
@@ -172,12 +188,40 @@ def match(widths: list[int], width: int, buckets: int) -> Callable[[pa.Table], p
             here = np.empty(len(sent), np.int64)
             here[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
             hit[sent] = (here - aligned > 0) & ((flag[sent] & SILENT) == 0)
-        into = (key[:, 0].copy().view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         at = np.flatnonzero(hit)
-        at = at[np.lexsort((position[at], doc[at], into[doc[at]]))]
-        cuts = np.flatnonzero(np.diff(into[doc[at]])) + 1
-        rows = [{"bucket": int(into[doc[p[0]]])} | _encode(key, doc[p], position[p]) for p in np.split(at, cuts) if len(p)]
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "counts", "gaps"))]))
+        at = at[np.lexsort((position[at], doc[at]))]
+        rows = [_encode(key, doc[at], position[at])] if len(at) else []
+        return pa.Table.from_pylist(rows, pa.schema([(c, pa.binary()) for c in ("docs", "counts", "gaps")]))
+
+    return run
+
+
+def deal(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``match`` as rows for buckets of documents: what a task has gathered is dealt at once,
+    so there are as many rows as tasks and buckets of documents make, and never more than places."""
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = np.append(0, np.cumsum([len(k) for k, _, _ in parts]))
+        key = np.concatenate([k for k, _, _ in parts])
+        doc = np.concatenate([d + s for (_, d, _), s in zip(parts, sizes, strict=False)])
+        pos = np.concatenate([p for _, _, p in parts])
+        into = (_mix(key[:, 0].copy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc]
+        order = np.lexsort((pos, doc, into))
+        cuts = np.flatnonzero(np.diff(into[order])) + 1
+        found = [{"bucket": int(into[p[0]])} | _encode(key, doc[p], pos[p]) for p in np.split(order, cuts)]
+        return pa.RecordBatch.from_pylist(found, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "counts", "gaps"))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts.append(_decode(row, width))
+                size += len(row["docs"]) + len(row["gaps"])
+                if size > DEALT_BYTES:
+                    yield rows(parts)
+                    parts, size = [], 0
+        if parts:
+            yield rows(parts)
 
     return run
 
@@ -271,11 +315,25 @@ def _extend(block: int, window: int, buckets: int, widths: list[int]):
     return run
 
 
-def _exchange(packed: DataFrame, widths: list[int], names: list[str], buckets: int, name: str) -> DataFrame:
-    """``names, _hits``: for each document the places found, written out."""
-    replies = packed.groupBy("bucket").applyInArrow(match(widths, len(names), buckets), REPLY)
-    found = replies.groupBy("bucket").applyInArrow(gather(names), ", ".join(f"{c} long" for c in names) + ", _hits binary")
-    return written(found, name)
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with one partition for each bucket, so that tasks are even; hashed where these are too many."""
+    return rows.repartitionById(buckets, F.col("bucket")) if buckets <= MOST_PARTITIONS else rows
+
+
+def _exchange(packed: DataFrame, buckets: int, widths: list[int], names: list[str], name: str) -> DataFrame:
+    """``names, _hits``: for each document the places found, written out.
+
+    Places are written as each bucket of windows finds them and then dealt to buckets of documents,
+    whose number follows from the bytes of the places there are.
+    """
+    found = written(_dealt(packed, buckets).groupBy("bucket").applyInArrow(match(widths, len(names)), PLACES), f"{name}-places")
+    size = found.agg(F.sum(F.octet_length("docs") + F.octet_length("gaps"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, math.ceil(size / PLACES_BYTES))
+    dealt = found.mapInArrow(deal(len(names), buckets), f"bucket int, {PLACES}")
+    schema = ", ".join(f"{c} long" for c in names) + ", _hits binary"
+    whole = written(_dealt(dealt, buckets).groupBy("bucket").applyInArrow(gather(names), schema), name)
+    discard(found)
+    return whole
 
 
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -286,19 +344,22 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     an anchor that a rolling block of the other place meets. So rolling blocks of all documents are
     probed against the anchors (packed by hash bucket; documents and positions come back), and each
     hit is extended to all windows around it, which are compared by 128-bit hash with those around
-    all other hits. Neighbouring repeated windows together are the maximal exact repeats. Work is
-    linear in words: occurrences are counted, never paired.
+    all other hits (two hashes of each word, each rolled over the window by itself). Neighbouring
+    repeated windows together are the maximal exact repeats. Work is linear in words: occurrences
+    are counted, never paired.
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
     text = F.col(text_col).cast("binary")
     keyed = docs.select(*row_key(F.col(id_col), F.col(text_col)), text.alias("_text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
     probes = keyed.mapInArrow(_probe(block, window, buckets, [TAG]), PACKED)
-    hits = _exchange(probes, [TAG], ["_k1"], buckets, "anchor-hits")
+    hits = _exchange(probes, buckets, [TAG], ["_k1"], "anchor-hits")
     around = keyed.join(hits, "_k1").mapInArrow(_extend(block, window, buckets, [8, 8]), PACKED)
-    return _exchange(around, [8, 8], ["_k1", "_k2"], buckets, "repeats")
+    repeats = _exchange(around, buckets, [8, 8], ["_k1", "_k2"], "repeats")
+    discard(hits)
+    return repeats
 
 
 @passes_columns
