@@ -67,6 +67,15 @@ class VSA:
         low = 0 if self.kind == A.BSC else -1
         return self._vector(data if limit is None else np.where(data >= limit, 1, low).astype(np.int8), True)
 
+    def from_normalized(self, numbers: Iterable[float]) -> Vector:
+        """Elements of a normalized vector as they are: 0 and 1 for BSC, -1 and 1 for MAP, any for the others."""
+        data = np.asarray(list(numbers), np.float64 if self.arch.real else np.int64)
+        self.arch.check_size(len(data))
+        allowed = {A.BSC: (0, 1), A.MAP: (-1, 1)}.get(self.kind)
+        if allowed and not np.isin(data, allowed).all():
+            raise ValueError(f"elements of a normalized vector are {allowed[0]} or {allowed[1]}")
+        return self._vector(data if self.arch.real else data.astype(np.int8), True)
+
     def _vector(self, data: np.ndarray, normalized: bool) -> Vector:
         return (VECTORS if normalized else UNNORMALIZED)[self.kind](self, data)
 
@@ -267,7 +276,8 @@ class Storage:
         return list(self.codebook.columns)
 
     def values(self) -> list[str]:
-        return [r["name"] for r in self.codebook.names.orderBy("idx").collect()]
+        """All names, on the driver; ``codebook.names`` is the table."""
+        return [r["name"] for r in self.codebook.names.orderBy("idx").toLocalIterator()]
 
     def get(self, name: str) -> Vector | None:
         return self._one(name)
@@ -302,7 +312,12 @@ class Storage:
         return None if found is None else found["name"]
 
     def similarities(self, vector: Vector) -> dict[str, float]:
-        return {r["name"]: r["similarity"] for r in self.codebook.similarities(vector.data).orderBy("pos").collect()}
+        """Of all symbols, on the driver; see ``similarity_table`` for large storages."""
+        return {r["name"]: r["similarity"] for r in self.similarity_table(vector).orderBy("pos").toLocalIterator()}
+
+    def similarity_table(self, vector: Vector) -> DataFrame:
+        """``pos, idx, name, similarity`` of all symbols, as a Spark table."""
+        return self.codebook.similarities(vector.data)
 
     def subset(self, df: Any, *, order_by: str | None = None, enums: dict[str, list[str]] | None = None) -> Subset:
         """``df`` against this storage as it is now; nothing is read or checked before the first fold."""
@@ -330,6 +345,8 @@ class Subset:
     def __init__(self, storage: Storage, df: DataFrame, order_by: str | None, enums: dict[str, list[str]] | None) -> None:
         if order_by is None:
             order_by = "_order"
+            while order_by in df.columns:
+                order_by = "_" + order_by
             df = df.withColumn(order_by, F.monotonically_increasing_id())
         self._storage, self._order = storage, order_by
         known = {c: list(v) for c, v in storage.codebook.columns.items() if v is not None and c in df.columns}
@@ -339,24 +356,37 @@ class Subset:
         self._folds.validate()
         return self._folds
 
+    def rows(self, fold: str, *, encoding: str = "column", normalized: bool = True, ways: int = 1) -> DataFrame:
+        """The table with ``vector``: each row's "bundle", "bind" or "combinations". Nothing is collected."""
+        folds = self._checked()
+        if fold == "bundle":
+            return folds.bundle_rows(encoding=encoding, normalized=normalized)
+        if fold == "bind":
+            return folds.bind_rows(encoding=encoding)
+        if fold == "combinations":
+            return folds.bundle_rows_combinatorial(ways)
+        raise ValueError(f"unknown fold {fold!r}: one of bundle, bind, combinations")
+
     def _rows(self, rows: DataFrame, normalized: bool) -> list[Any]:
-        return [None if r["vector"] is None else self._storage._made(r["vector"], normalized) for r in rows.orderBy(self._order).select("vector").collect()]
+        """Vectors in the order of rows: a list for small tables, read partition by partition; ``rows`` gives the table."""
+        found = rows.orderBy(self._order).select("vector").toLocalIterator()
+        return [None if r["vector"] is None else self._storage._made(r["vector"], normalized) for r in found]
 
     def _whole(self, folded: DataFrame, normalized: bool) -> Any:
         found = folded.orderBy("dim").collect()
         return self._storage._made([r["value"] for r in found], normalized) if found else None
 
     def bundle_rows(self, encoding: str = "column") -> list[Any]:
-        return self._rows(self._checked().bundle_rows(encoding=encoding), True)
+        return self._rows(self.rows("bundle", encoding=encoding), True)
 
     def bundle_rows_unnormalized(self, encoding: str = "column") -> list[Any]:
-        return self._rows(self._checked().bundle_rows(encoding=encoding, normalized=False), False)
+        return self._rows(self.rows("bundle", encoding=encoding, normalized=False), False)
 
     def bundle_rows_combinatorial(self, ways: int) -> list[Any]:
-        return self._rows(self._checked().bundle_rows_combinatorial(ways), False)
+        return self._rows(self.rows("combinations", ways=ways), False)
 
     def bind_rows(self, encoding: str = "column") -> list[Any]:
-        return self._rows(self._checked().bind_rows(encoding=encoding), True)
+        return self._rows(self.rows("bind", encoding=encoding), True)
 
     def bundle_dataset(self) -> Any:
         return self._whole(self._checked().bundle_dataset(), True)

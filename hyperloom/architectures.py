@@ -74,6 +74,9 @@ class Architecture:
         return size
 
 
+# The texts of the errors below are part of the interface.
+
+
 class StorageError(ValueError):
     """What can be wrong with a table that is to become a codebook."""
 

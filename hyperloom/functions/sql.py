@@ -15,35 +15,45 @@ def register(spark: SparkSession, arch: Architecture, prefix: str = "hv_") -> li
     """Register ``symbol(name, size)``, ``bind``, ``bundle``, ``permute(vec, n)``, ``normalize``,
     ``similarity`` and, where there is one, ``inverse`` for ``arch``; returns their names.
 
-    They take and give arrays, in Arrow batches. BSC has no ``bundle``: it needs tie bits.
+    They take and give arrays, in Arrow batches that are worked on as matrices. BSC has no ``bundle``: it needs tie bits.
     """
     kind = arch.kind
     normal, acc = f"array<{arch.element()}>", f"array<{arch.element(False)}>"
     number = np.float64 if arch.real else np.int64
 
     def each(f, *columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*columns, strict=True)])
+        """``f`` on one matrix for each combination of sizes (and of plain numbers); null where an argument is."""
+        out: list = [None] * len(columns[0])
+        alike: dict[tuple, list[int]] = {}
+        for i, row in enumerate(zip(*columns, strict=True)):
+            if all(v is not None and not (np.isscalar(v) and pd.isna(v)) for v in row):
+                alike.setdefault(tuple(v if np.isscalar(v) else (len(v),) for v in row), []).append(i)
+        for key, at in alike.items():
+            matrices = [k if np.isscalar(k) else np.stack([np.asarray(c.iloc[i], number) for i in at]) for k, c in zip(key, columns, strict=True)]
+            for i, value in zip(at, f(*matrices), strict=True):
+                out[i] = value
+        return pd.Series(out)
 
     def symbol(name: pd.Series, size: pd.Series) -> pd.Series:
-        return each(lambda n, s: kernels.symbol(arch, n, int(s)), name, size)
+        return pd.Series([None if n is None or pd.isna(s) else kernels.symbol(arch, n, int(s)) for n, s in zip(name, size, strict=True)])
 
     def bind(a: pd.Series, b: pd.Series) -> pd.Series:
-        return each(lambda x, y: kernels.bind(kind, np.asarray(x, number), np.asarray(y, number)), a, b)
+        return each(lambda x, y: kernels.bind(kind, x, y), a, b)
 
     def bundle(a: pd.Series, b: pd.Series) -> pd.Series:
-        return each(lambda x, y: np.asarray(x, number) + np.asarray(y, number), a, b)
+        return each(lambda x, y: x + y, a, b)
 
     def permute(a: pd.Series, n: pd.Series) -> pd.Series:
-        return each(lambda x, s: kernels.permute(np.asarray(x, number), int(s)), a, n)
+        return each(lambda x, s: kernels.permute(x, int(s)), a, n)
 
     def normalize(a: pd.Series) -> pd.Series:
-        return each(lambda x: kernels.normalize(kind, np.asarray(x, number)), a)
+        return each(lambda x: kernels.normalize(kind, x), a)
 
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return each(lambda x, y: float(kernels.similarity(kind, np.asarray(x, number), np.asarray(y, number))), a, b)
+        return each(lambda x, y: kernels.similarity(kind, x, y).tolist(), a, b)
 
     def inverse(a: pd.Series) -> pd.Series:
-        return each(lambda x: kernels.inverse(kind, np.asarray(x, number)), a)
+        return each(lambda x: kernels.inverse(kind, x), a)
 
     found = {"symbol": (symbol, normal), "bind": (bind, normal), "permute": (permute, normal), "normalize": (normalize, normal), "similarity": (similarity, "double")}
     if arch.additive:

@@ -59,13 +59,15 @@ def categories_of(field_: T.StructField, enums: Mapping[str, list[str]] | None)
 class Codebook:
     """Immutable: adding symbols makes a new codebook.
 
-    ``columns`` maps known columns to their categories, or to None for plain strings.
+    ``columns`` maps known columns to their categories, or to None for plain strings. ``origins``
+    (``column, name``) says which plain columns a value stood in; it is read only where asked for.
     """
 
     arch: Architecture
     size: int
     names: DataFrame
     columns: Mapping[str, tuple[str, ...] | None] = field(default_factory=dict)
+    origins: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession, arch: Architecture, size: int) -> Codebook:
@@ -103,7 +105,9 @@ class Codebook:
             found = found.union(values)
         first = found.groupBy("name").agg(F.min(F.struct("p", "kind", "i")).alias("at"))
         first = numbered(first.select("at.p", "at.kind", "at.i", "name"), ["p", "kind", "i", "name"])
-        return Codebook(arch, size, first.select("idx", "name"), known)
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("name")) for _, c in open_])
+        origins = df.select(F.explode(cells).alias("c")).where("c.name IS NOT NULL").select("c.*").distinct() if open_ else None
+        return Codebook(arch, size, first.select("idx", "name"), known, origins)
 
     def extend(self, names: Iterable[str]) -> Codebook:
         """With ``names`` added in order; those that exist, or repeat, stay as they are."""
@@ -115,7 +119,7 @@ class Codebook:
         top = self.names.agg(F.max("idx")).first()[0]
         start = 0 if top is None else top + 1
         more = self.names.sparkSession.createDataFrame([(start + i, n) for i, n in enumerate(new)], SCHEMA)
-        return Codebook(self.arch, self.size, self.names.union(more), self.columns)
+        return Codebook(self.arch, self.size, self.names.union(more), self.columns, self.origins)
 
     def push(self, name: str) -> Codebook:
         return self.extend([name])
@@ -171,16 +175,21 @@ class Codebook:
 
         None selects all. A list selects its keys in order: missing ones are skipped, repeated ones
         repeat. A column selects its categories in declared order; a plain string column selects the
-        whole codebook, since any symbol can be its value. An unknown column selects nothing.
-        ``scope`` other than "store" is refused: a codebook doesn't record where a name came from.
+        whole codebook, since any symbol can be its value, or with ``scope="column"`` the values that
+        stood in it in the codebook's own table. An unknown column selects nothing.
         """
-        if scope != "store":
-            raise ValueError("scope can only be 'store'")
+        if scope not in ("store", "column"):
+            raise ValueError("scope can be 'store' or 'column'")
+        if scope == "column" and self.origins is None and not any(self.columns.values()):
+            raise ValueError("the codebook is made of no table")
         spark = self.names.sparkSession
         if isinstance(selector, ColumnKey):
             if selector.name not in self.columns:
                 return self.names.where(F.lit(False)).select(F.lit(0).cast("long").alias("pos"), "idx", "name")
             categories = self.columns[selector.name]
+            if categories is None and scope == "column":
+                own = self.origins.where(F.col("column") == selector.name).select("name")
+                return self.names.join(own, "name", "left_semi").select(F.col("idx").alias("pos"), "idx", "name")
             selector = list(categories) if categories is not None else None
         if selector is None:
             return self.names.select(F.col("idx").alias("pos"), "idx", "name")

@@ -3,7 +3,7 @@
 Rows of an additive algebra (all but BSC) are counted by distinct cells or tuples first, within map
 tasks and then by shuffle; only distinct ones are turned into vectors. Tasks send partial sums, one
 row per dimension. BSC bundles take each dimension from the last row whose tie bit agrees with its
-own bit, so only the last few rows can matter.
+own bit: mostly the last few rows decide, and all rows are asked where these leave something open.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from hyperloom.architectures import BSC, HRR, MAP, VTB, ColumnNotFoundError, Col
 from hyperloom.functions import kernels
 from hyperloom.operators.codebook import Codebook, categories_of
 from hyperloom.operators.rows import ByColumn, ByPosition, Encoding, RowKernel, encoding_of
+from hyperloom.plans.tables import broadcast_if_small, written
 
-#: Last rows that a BSC bundle looks at. A dimension is open after them with probability 2^-256.
+#: Last rows that a BSC bundle looks at first. Where their order values differ, a dimension is open after
+#: them with probability 2^-256; what is open is decided by all rows.
 TAIL_ROWS = 256
 #: Elements of partial sums that a task holds before it sends them.
 PARTIAL_ELEMENTS = 1 << 24
@@ -179,8 +181,11 @@ class Subset:
         rows = self.df.where(there).select(*groups, *named)
         return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
 
-    def _sums(self, counted: DataFrame, vector, width: int, kernel: RowKernel, parity: bool = False) -> DataFrame:
-        """``group..., dim, value``: sums of count times vector (with ``parity``: counts of odd ones)."""
+    def _sums(self, counted: DataFrame, vector, width: int, kernel: RowKernel, parity: bool = False, add=None) -> DataFrame:
+        """``group..., dim, value``: sums of count times vector (with ``parity``: counts of odd ones).
+
+        ``add`` may take the place of that sum: it gets counts, vectors and the sum so far, or None.
+        """
         keys, real, size, bsc = len(self.group_by), self.codebook.arch.real, self.codebook.size, self.codebook.arch.kind == BSC
         schema = T.StructType([counted.schema[g] for g in self.group_by])
         schema = schema.add("dim", "integer").add("value", "double" if real else "long")
@@ -210,6 +215,9 @@ class Subset:
                         members.setdefault(names[i], []).append(i)
                     for key, at in members.items():
                         chosen = acc[at] if len(at) < part.num_rows else acc
+                        if add is not None:
+                            sums[key] = add(weights[at], chosen, sums.get(key))
+                            continue
                         total = weights[at].astype(np.float64 if real else np.int64) @ chosen.astype(np.float64 if real else np.int64)
                         sums[key] = sums[key] + total if key in sums else total
                     if len(sums) * size > PARTIAL_ELEMENTS:
@@ -250,39 +258,100 @@ class Subset:
         return self.df.where(there).select(*groups, *named, self._ordinal.alias("_o"))
 
     def _last_writers(self, kernel: RowKernel) -> DataFrame:
-        """BSC: of the last rows, for each dimension the last whose tie bit is its own bit.
+        """BSC: for each dimension the bit of the last row whose tie bit is its own bit, else of the first row.
 
-        Rows come from a top-k by order (for each group), so the table is scanned once and nothing but
-        ``TAIL_ROWS`` rows is turned into vectors. A dimension that they leave open belongs to the first
-        row, if they include it; otherwise the fold stops with an error.
+        Tie bits follow the value of ``order_by``: rows that share it draw the same ones, so whichever
+        of them agrees gives the same bit. Of first rows that share it the least by its cells counts.
+        The last ``TAIL_ROWS`` rows (of each group) come from a top-k, so the table is scanned once and
+        few rows are turned into vectors. Only groups with dimensions left open go through all rows.
         """
-        rows, arch, size, n = self._ordered(), self.codebook.arch, self.codebook.size, len(self.columns)
-        if self.group_by:
-            window = Window.partitionBy(*[F.col(f"`{g}`") for g in self.group_by]).orderBy(F.desc("_o"))
+        rows, keys = self._ordered().withColumn("_key", F.to_json(F.struct(*[f"_c{k}" for k in range(len(self.columns))]))), len(self.group_by)
+        groups = [F.col(f"`{g}`") for g in self.group_by]
+        if groups:
+            window = Window.partitionBy(*groups).orderBy(F.desc("_o"), F.desc("_key"))
             last = rows.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= TAIL_ROWS).drop("_rank")
         else:
-            last = rows.orderBy(F.desc("_o")).limit(TAIL_ROWS)
-        last = last.withColumn("_text", F.col("_o").cast("string"))
-        schema = T.StructType([last.schema[g] for g in self.group_by]).add("dim", "integer").add("value", "long")
-        keys = len(self.group_by)
+            last = rows.orderBy(F.desc("_o"), F.desc("_key")).limit(TAIL_ROWS)
+        base = T.StructType([rows.schema[g] for g in self.group_by]).add("dim", "integer").add("value", "long")
+        size, n, arch = self.codebook.size, len(self.columns), self.codebook.arch
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([(table.column_names[keys + n], "descending")])
-            texts = table.column(keys + n + 1).to_pylist()
-            acc, _ = kernel([table.column(keys + i).to_pylist() for i in range(n)], texts)
+            table = table.sort_by([("_o", "descending"), ("_key", "descending")])
+            texts = table["_text"].to_pylist()
+            acc, _ = kernel([table[f"_c{i}"].to_pylist() for i in range(n)], texts)
             out, open_ = acc[-1].astype(np.int64), np.ones(size, bool)
-            for row, text in zip(acc[:-1], texts[:-1], strict=True):
+            for row, text in zip(acc, texts, strict=True):
                 takes = open_ & (kernels.tie(arch, size, "row", text) == row)
                 out[takes] = row[takes]
                 open_ &= ~takes
                 if not open_.any():
                     break
-            if open_.any() and len(texts) == TAIL_ROWS:
-                raise RuntimeError(f"{int(open_.sum())} dimensions are open after the last {TAIL_ROWS} rows")
             columns = [pa.array([table.column(i)[0].as_py()] * size, table.column(i).type) for i in range(keys)]
-            return pa.table([*columns, pa.array(np.arange(size, dtype=np.int32)), pa.array(out)], schema.names)
+            left = open_ & (len(texts) == TAIL_ROWS)
+            return pa.table([*columns, pa.array(np.arange(size, dtype=np.int32)), pa.array(out), pa.array(left)], [*base.names, "_open"])
+
+        text = F.col("_o").cast("string").alias("_text")
+        schema = T.StructType([*base.fields, T.StructField("_open", T.BooleanType())])
+        found = written(last.select("*", text).groupBy(*groups).applyInArrow(run, schema), "last-rows")
+        unsure = found.where("_open").select(*groups, F.lit(1).alias("_one")).distinct()
+        if unsure.isEmpty():
+            return found.drop("_open")
+        same = F.lit(True)
+        for g in self.group_by:
+            same = same & rows[g].eqNullSafe(unsure[g])
+        asked = rows.join(broadcast_if_small(unsure), same, "left_semi") if groups else rows
+        decided = self._by_all_rows(asked.distinct().select("*", text), kernel, base)
+        closed = found.where("NOT _open").drop("_open")
+        names = [*self.group_by, "dim"]
+        fill = decided.alias("d").join(closed.alias("c"), [F.col(f"d.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in names], "left_anti")
+        return closed.union(fill.select(*closed.columns))
+
+    def _by_all_rows(self, rows: DataFrame, kernel: RowKernel, base: T.StructType) -> DataFrame:
+        """What ``_last_writers`` gives, from all of ``rows``: each task finds the last row that agrees, for
+        each dimension, and its first row; the last and the first of these count."""
+        size, n, keys, arch = self.codebook.size, len(self.columns), len(self.group_by), self.codebook.arch
+        order = T.StructType([rows.schema["_o"], rows.schema["_key"]])
+        schema = T.StructType([*base.fields, *order.fields, T.StructField("_agrees", T.BooleanType())])
+
+        def vectors(part: pa.RecordBatch) -> np.ndarray:
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            return kernel([columns[f"_c{i}"].to_pylist() for i in range(n)], columns["_text"].to_pylist())[0]
+
+        def piece(row: pa.RecordBatch, dims: np.ndarray, vec: np.ndarray, agrees: bool) -> pa.RecordBatch:
+            at = pa.array(np.zeros(len(dims), np.int64))
+            columns = dict(zip(row.schema.names, row.columns, strict=True))
+            made = [pa.array(dims.astype(np.int32)), pa.array(vec[dims].astype(np.int64)), columns["_o"].take(at), columns["_key"].take(at)]
+            return pa.RecordBatch.from_arrays([*[row.column(i).take(at) for i in range(keys)], *made, pa.array([agrees] * len(dims), pa.bool_())], schema.names)
 
-        return last.groupBy(*[F.col(f"`{g}`") for g in self.group_by]).applyInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, before, open_ = None, None, np.zeros(size, bool)
+            for batch in batches:
+                names = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True)) if keys else [()] * batch.num_rows
+                for start in range(0, batch.num_rows, kernel.step):
+                    part = batch.slice(start, kernel.step)
+                    if not open_.any() and names[start] == now and names[start + part.num_rows - 1] == now:
+                        before = part.slice(part.num_rows - 1)
+                        continue
+                    texts = part.column(part.schema.get_field_index("_text")).to_pylist()
+                    for i, vec in enumerate(vectors(part)):
+                        if names[start + i] != now:
+                            if before is not None:
+                                yield piece(before, np.arange(size), vectors(before)[0], False)
+                            now, open_ = names[start + i], np.ones(size, bool)
+                        if open_.any():
+                            takes = open_ & (kernels.tie(arch, size, "row", texts[i]) == vec)
+                            if takes.any():
+                                yield piece(part.slice(i, 1), np.flatnonzero(takes), vec, True)
+                            open_ &= ~takes
+                        before = part.slice(i, 1)
+            if before is not None:
+                yield piece(before, np.arange(size), vectors(before)[0], False)
+
+        sorted_ = rows.sortWithinPartitions(*[F.col(f"`{g}`") for g in self.group_by], F.desc("_o"), F.desc("_key"))
+        at = F.struct("_o", "_key")
+        last = F.max_by(F.when(F.col("_agrees"), F.col("value")), F.when(F.col("_agrees"), at))
+        first = F.min_by(F.when(~F.col("_agrees"), F.col("value")), F.when(~F.col("_agrees"), at))
+        return sorted_.mapInArrow(run, schema).groupBy(*[F.col(f"`{g}`") for g in self.group_by], "dim").agg(F.coalesce(last, first).alias("value"))
 
     def _bound(self, kernel: RowKernel) -> DataFrame:
         kind = self.codebook.arch.kind
@@ -308,7 +377,11 @@ class Subset:
         return odd.withColumn("value", F.col("value") % 2)
 
     def _spectral_product(self, kernel: RowKernel) -> DataFrame:
-        """HRR: spectra multiply, so logarithms of magnitudes and phases add up."""
+        """HRR: spectra multiply, so logarithms of magnitudes and phases add up.
+
+        Phases are kept as turns and reduced after every sum. A product beyond the range of doubles
+        is given with unit length.
+        """
         size, half, n = self.codebook.size, self.codebook.size // 2 + 1, len(self.columns)
         inner = self._tuple_vector(kernel)
 
@@ -316,20 +389,30 @@ class Subset:
             acc, valid = inner(rows, at)
             spectrum = np.fft.rfft(acc)
             with np.errstate(divide="ignore"):
-                parts = np.concatenate([np.maximum(np.log(np.abs(spectrum)), -1e300), np.angle(spectrum)], axis=1)
+                parts = np.concatenate([np.maximum(np.log(np.abs(spectrum)), -1e300), np.angle(spectrum) / (2 * np.pi)], axis=1)
             return parts, valid
 
+        def add(counts: np.ndarray, parts: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+            out = np.zeros(2 * half) if total is None else total
+            out[:half] += counts @ parts[:, :half]
+            # A count is taken as high * 2^20 + low: turns times 2^20 lose no digit before they are reduced.
+            high, low, turns = counts >> 20, counts & ((1 << 20) - 1), parts[:, half:]
+            whole = np.remainder(turns * (1 << 20), 1.0) * high[:, None] + turns * low[:, None]
+            out[half:] = np.remainder(out[half:] + np.remainder(whole, 1.0).sum(axis=0), 1.0)
+            return out
+
         wide = Subset(Codebook(self.codebook.arch, 2 * half, self.codebook.names, self.codebook.columns), self.df, self.order_by, self.group_by, self.enums)
-        sums = wide._sums(self._tuples(), vector, n, kernel)
+        sums = wide._sums(self._tuples(), vector, n, kernel, add=add)
         schema = T.StructType([sums.schema[g] for g in self.group_by]).add("dim", "integer").add("value", "double")
         keys = len(self.group_by)
 
         def back(table: pa.Table) -> pa.Table:
             values = np.zeros(2 * half)
             values[table.column(keys).to_numpy()] = table.column(keys + 1).to_numpy()
-            out = np.fft.irfft(np.exp(values[:half]) * np.exp(1j * values[half:]), size)
+            top = max(values[:half].max(), -1e305)
+            out = np.fft.irfft(np.exp(values[:half] - top) * np.exp(2j * np.pi * np.remainder(values[half:], 1.0)), size)
             columns = [pa.array([table.column(i)[0].as_py()] * size, table.column(i).type) for i in range(keys)]
-            return pa.table([*columns, pa.array(np.arange(size, dtype=np.int32)), pa.array(out)], schema.names)
+            return pa.table([*columns, pa.array(np.arange(size, dtype=np.int32)), pa.array(_in_range(out, top))], schema.names)
 
         return sums.groupBy(*[F.col(f"`{g}`") for g in self.group_by]).applyInArrow(back, schema)
 
@@ -337,7 +420,8 @@ class Subset:
         """VTB: the left fold is root(d)^(k-1) A1 A2' ... Ak', which any split into ordered segments gives.
 
         Each range partition of rows gives two matrices, for the case that it comes first and that it
-        doesn't; neighbours are multiplied FAN_IN at a time.
+        doesn't; neighbours are multiplied FAN_IN at a time. The logarithm of a matrix's largest element
+        is carried apart from it. A product beyond the range of doubles is given with unit length.
         """
         size, n = self.codebook.size, len(self.columns)
         d = math.isqrt(size)
@@ -346,35 +430,61 @@ class Subset:
         rows = self._ordered()
         parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         rows = rows.repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_o", F.spark_partition_id().cast("long"))
-        schema = "seg long, first array<double>, rest array<double>"
+        schema = "seg long, first array<double>, first_log double, rest array<double>, rest_log double"
+
+        def made(seg: int, first: tuple, rest: tuple) -> dict:
+            return {"seg": [seg], "first": [first[0].ravel()], "first_log": [first[1]], "rest": [rest[0].ravel()], "rest_log": [rest[1]]}
 
         def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, rest, seg = None, None, None
+            first, rest, seg = None, (np.eye(d), 0.0), None
             for batch in batches:
                 for start in range(0, batch.num_rows, kernel.step):
                     part = batch.slice(start, kernel.step)
                     acc, valid = kernel([part.column(i).to_pylist() for i in range(n)], [""] * part.num_rows)
                     seg = part.column(n)[0].as_py()
                     for row in acc[valid].reshape(-1, d, d):
-                        first = row if first is None else math.sqrt(d) * (first @ row.T)
-                        rest = math.sqrt(d) * (np.eye(d) @ row.T if rest is None else rest @ row.T)
+                        factor = (math.sqrt(d) * row.T, 0.0)
+                        first = _scaled((row, 0.0)) if first is None else _product(first, factor)
+                        rest = _product(rest, factor)
             if first is not None:
-                yield pa.RecordBatch.from_pydict({"seg": [seg], "first": [first.ravel()], "rest": [rest.ravel()]})
+                yield pa.RecordBatch.from_pydict(made(seg, first, rest))
 
         def merge(table: pa.Table) -> pa.Table:
             table = table.sort_by("seg")
-            firsts, rests = (table.column(c).to_pylist() for c in ("first", "rest"))
-            first, rest = np.reshape(firsts[0], (d, d)), np.reshape(rests[0], (d, d))
+            firsts, rests = ([(np.reshape(m, (d, d)), log) for m, log in zip(table[c].to_pylist(), table[f"{c}_log"].to_pylist(), strict=True)] for c in ("first", "rest"))
+            first, rest = firsts[0], rests[0]
             for more in rests[1:]:
-                first, rest = first @ np.reshape(more, (d, d)), rest @ np.reshape(more, (d, d))
-            seg = table.column("up")[0].as_py()
-            return pa.table({"seg": pa.array([seg], pa.int64()), "first": [first.ravel()], "rest": [rest.ravel()]})
+                first, rest = _product(first, more), _product(rest, more)
+            return pa.table(made(table["up"][0].as_py(), first, rest))
+
+        def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(size, dtype=np.int32)), "value": _in_range(np.array(m), log)})
 
         found = rows.mapInArrow(segment, schema)
         while parts > 1:
             found = found.withColumn("up", (F.col("seg") / FAN_IN).cast("long")).groupBy("up").applyInArrow(merge, schema)
             parts = -(-parts // FAN_IN)
-        return found.select(F.posexplode("first").alias("dim", "value"))
+        return found.select("first", "first_log").mapInArrow(final, "dim int, value double")
+
+
+def _scaled(m: tuple[np.ndarray, float]) -> tuple[np.ndarray, float]:
+    """The same product with a largest element of 1, and the logarithm of what it was divided by."""
+    top = np.abs(m[0]).max()
+    return (m[0] / top, m[1] + math.log(top)) if top > 0 else m
+
+
+def _product(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> tuple[np.ndarray, float]:
+    return _scaled((a[0] @ b[0], a[1] + b[1]))
+
+
+def _in_range(values: np.ndarray, log: float) -> np.ndarray:
+    """``values`` times ``exp(log)`` where doubles can hold that, else ``values`` with unit length."""
+    top = np.abs(values).max(initial=0.0)
+    if top == 0 or abs(math.log(top) + log) < 700:
+        return values * math.exp(log) if top else values
+    return values / np.sqrt((values * values).sum())
 
 
 __all__ = ["ByColumn", "ByPosition", "Subset"]

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hyperloom import api
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.functions import colors, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
@@ -93,11 +94,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folds(df: DataFrame, kind: str, size: int = SIZE, **options: object) -> Subset:
-    """A table against a codebook of its own symbols, which needs no check."""
+    """A table against the codebook of its own columns and values, and checked against it."""
     hidden = [str(options[o]) for o in ("order_by",) if o in options] + list(options.get("group_by", ()))
     plain = [c for c in df.columns if c not in hidden]
-    book = Codebook(arch(kind), size, df.sparkSession.createDataFrame([], "idx long, name string"), dict.fromkeys(plain))
-    return Subset(book, df, **options)
+    book = Codebook.from_dataframe(arch(kind), size, df.select(*plain), enums=options.get("enums"))
+    subset = Subset(book, df, **options)
+    subset.validate()
+    return subset
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -283,9 +286,7 @@ _BOOK = """b AS (SELECT c_mktsegment AS name FROM customer UNION SELECT 'c_mktse
 def _book(spark: SparkSession, sf_dir: str, kind: str = MAP) -> Codebook:
     """Symbols of segments and order states."""
     customer, order = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    segments = customer.select("c_mktsegment").distinct()
-    states = order.select("o_orderstatus").distinct()
-    both = segments.join(states, F.lit(False), "full")
+    both = customer.select("c_mktsegment").unionByName(order.select("o_orderstatus"), allowMissingColumns=True)
     return Codebook.from_dataframe(arch(kind), SIZE, both)
 
 
@@ -294,7 +295,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, sf_dir).values()
 
 
-@register("columns", "SELECT unnest(['c_mktsegment', 'o_orderstatus']) AS name")
+@register("columns", "SELECT column_name AS name FROM (DESCRIBE SELECT c_mktsegment, o_orderstatus FROM customer, orders)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in _book(spark, sf_dir).columns], "name string")
 
@@ -322,7 +323,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_book(spark, sf_dir).get(Cell("o_orderstatus", "F")))
 
 
-@register("lookup_missing", "SELECT 0::int AS dim, 0::bigint AS value WHERE false")
+@register(
+    "lookup_missing",
+    f"""WITH {DIMS}, c AS (SELECT column_name AS name FROM (DESCRIBE SELECT c_mktsegment, o_orderstatus FROM customer, orders))
+        SELECT j::int AS dim, {_sign('name')}::bigint AS value FROM c, j WHERE name = 'F'""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_book(spark, sf_dir).get(ColumnKey("F")))
 
@@ -340,10 +345,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_book(spark, sf_dir).get_multiple(["F", "no such name", "O", "F"]), "pos", "name")
 
 
-@register("select_column_enum", "SELECT unnest([0, 1, 2])::bigint AS pos, unnest(['O', 'F', 'never']) AS name")
+@register("select_column_enum", "SELECT unnest([0, 1, 2, 3])::bigint AS pos, unnest(['O', 'F', 'P', 'never']) AS name")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = table(spark, sf_dir, "orders").select("o_orderstatus").where("o_orderstatus IN ('O', 'F')")
-    book = Codebook.from_dataframe(arch(MAP), SIZE, states, enums={"o_orderstatus": ["O", "F", "never"]})
+    states = table(spark, sf_dir, "orders").select("o_orderstatus")
+    book = Codebook.from_dataframe(arch(MAP), SIZE, states, enums={"o_orderstatus": ["O", "F", "P", "never"]})
     return book.select(ColumnKey("o_orderstatus")).select("pos", "name")
 
 
@@ -352,6 +357,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, sf_dir).select(ColumnKey("o_orderstatus")).select("name")
 
 
+@register("select_column_scope", "SELECT DISTINCT o_orderstatus AS name FROM orders")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the values that stand in the column itself."""
+    return _book(spark, sf_dir).select(ColumnKey("o_orderstatus"), scope="column").select("name")
+
+
 def _against(kind: str, query: str) -> str:
     same = f"CASE WHEN {_bit('name')} = ({query}) THEN 1 ELSE -1 END"
     del kind
@@ -373,7 +384,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.find(book.execute("F * o_orderstatus")).select("name", rounded(F.col("similarity")).alias("similarity"))
 
 
-@register("find_map", "SELECT 'O' AS name, 1.0::double AS similarity")
+@register(
+    "find_map",
+    f"""WITH {DIMS}, {_BOOK} SELECT name, round(sum({_sign('name')} * {_sign("'F'")} * ({_sign("'F'")} * {_sign("'O'")})) / {SIZE}.0, 6) + 0.0 AS similarity
+        FROM b, j GROUP BY name ORDER BY similarity DESC, name LIMIT 1""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _book(spark, sf_dir)
     return book.find(book.execute("F * (F * O)")).select("name", rounded(F.col("similarity")).alias("similarity"))
@@ -394,12 +409,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "similarity_badges",
     """SELECT unnest([0, 1, 2, 3])::bigint AS k, unnest(['sim = -1.000', 'sim = 0.000', 'sim = 0.250', 'sim = -']) AS label,
        unnest([59, 221, 238, NULL])::int AS r, unnest([76, 221, 204, NULL])::int AS g, unnest([192, 221, 187, NULL])::int AS b,
-       unnest([46, 172, 186, NULL])::int AS border_r, unnest([248, 15, 15, NULL])::int AS text_r""",
+       unnest([46, 172, 186, NULL])::int AS border_r, unnest([248, 15, 15, NULL])::int AS text_r,
+       unnest(['border-color: rgb(44 57 144); background-color: color-mix(in oklab, rgb(59 76 192) 18%, white);',
+           'border-color: rgb(166 166 166); background-color: color-mix(in oklab, rgb(221 221 221) 18%, white);',
+           'border-color: rgb(179 153 140); background-color: color-mix(in oklab, rgb(238 204 187) 18%, white);',
+           'border-color: rgb(226 232 240); background-color: rgb(255 255 255);']) AS tile""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(0, -1.0), (1, 0.0), (2, 0.25), (3, None)], "k long, s double")
-    made = rows.select("k", colors.badge(F.col("s")).alias("x"))
-    return made.select("k", "x.label", "x.fill.r", "x.fill.g", "x.fill.b", F.col("x.border.r").alias("border_r"), F.col("x.text.r").alias("text_r"))
+    made = rows.select("k", colors.badge(F.col("s")).alias("x"), colors.tile(F.col("s")).alias("tile"))
+    return made.select("k", "tile", "x.label", "x.fill.r", "x.fill.g", "x.fill.b", F.col("x.border.r").alias("border_r"), F.col("x.text.r").alias("text_r"))
 
 
 # Expressions
@@ -445,6 +464,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", made.alias("value"))
 
 
+@register(
+    "expr_number_kinds",
+    """SELECT n_nationkey, ((n_nationkey + n_regionkey) * n_regionkey)::tinyint AS b, ((n_nationkey + n_regionkey) * n_regionkey)::smallint AS s,
+       ((n_nationkey + n_regionkey) * n_regionkey)::int AS i, ((n_nationkey + n_regionkey) * n_regionkey)::bigint AS l,
+       ((n_nationkey + n_regionkey) * n_regionkey)::decimal(20, 0)::varchar AS u FROM nation""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of integers that Spark has; an unsigned 64-bit one is a decimal of 20 digits."""
+    text = Expression.parse("(x + y) * y")
+    kinds = {"b": "tinyint", "s": "smallint", "i": "int", "l": "bigint", "u": "decimal(20,0)"}
+    made = {k: text.column({"x": F.col("n_nationkey").cast(t), "y": F.col("n_regionkey").cast(t)}, ColumnNumberAlgebra(t)) for k, t in kinds.items()}
+    made["u"] = made["u"].cast("string")
+    return table(spark, sf_dir, "nation").select("n_nationkey", *[c.alias(k) for k, c in made.items()])
+
+
 # Rows as vectors: orders with a key
 
 _NULLS = "(SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)"
@@ -490,7 +524,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(folds(orders(spark, sf_dir, nulls=True, key=True), BSC, order_by="o_orderkey").bundle_rows(), "o_orderkey", vec="vector")
 
 
-@register("bind_rows_hrr", None)
+def _conv(a: str, b: str, join: str, keys: str) -> str:
+    """Circular convolution of two tables (..., j, x)."""
+    return f"SELECT {keys}, (({a}.j + {b}.j) % {SIZE})::int AS j, sum({a}.x * {b}.x) AS x FROM {join} GROUP BY ALL"
+
+
+@register(
+    "bind_rows_hrr",
+    f"""WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders), t AS (SELECT DISTINCT s, p FROM o),
+        {_real_symbols("SELECT s AS name FROM t UNION SELECT p FROM t UNION SELECT unnest(['o_orderstatus', 'o_orderpriority'])")},
+        cs AS MATERIALIZED ({_conv('c', 'v', "sym c JOIN sym v ON c.name = 'o_orderstatus' AND v.name IN (SELECT s FROM t)", 'v.name AS s')}),
+        cp AS MATERIALIZED ({_conv('c', 'v', "sym c JOIN sym v ON c.name = 'o_orderpriority' AND v.name IN (SELECT p FROM t)", 'v.name AS p')}),
+        r AS MATERIALIZED ({_conv('cs', 'cp', 't JOIN cs USING (s) JOIN cp USING (p)', 's, p')})
+        SELECT o_orderkey, j AS dim, round(x, 6) + 0.0 AS value FROM o JOIN r USING (s, p)""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(folds(orders(spark, sf_dir, key=True), HRR, order_by="o_orderkey").bind_rows(), "o_orderkey", vec="vector", real=True)
 
@@ -552,23 +599,51 @@ _fold_query("bundle_dataset_bsc", _last_writer_sql(_ROW_BSC), lambda s: s.bundle
 _fold_query("bundle_dataset_with_binding_bsc", _last_writer_sql(f"(coalesce({_BS}, 0) + coalesce({_BP}, 0)) % 2"), lambda s: s.bundle_dataset_with_binding(), BSC)
 
 
-def _nations_query(name: str, kind: str, make: Callable[[Subset], DataFrame]) -> None:
-    """Products of real vectors: SQL has no such fold, tests compare with one in NumPy.
+def _times(kind: str, a: str, b: str) -> str:
+    """The product of two lists of ``SIZE`` numbers, element by element."""
+    of = lambda v, at: f"{v}[({at})::int + 1]"
+    if kind == HRR:
+        term, n, scale = f"{of(a, 'k')} * {of(b, f'(i - k + {SIZE}) % {SIZE}')}", SIZE, "1.0"
+    else:
+        term, n, scale = f"{of(a, '(i // 8) * 8 + k')} * {of(b, '(i % 8) * 8 + k')}", 8, "sqrt(8.0)"
+    return f"list_transform(range({SIZE}), lambda i: {scale} * list_sum(list_transform(range({n}), lambda k: {term})))"
+
+
+def _product_sql(kind: str, row: str) -> str:
+    """The left fold over the nations, row by row; ``row`` makes a row of its cells a and b."""
+    return f"""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+        {_real_symbols("SELECT n_name AS name FROM n UNION SELECT r_name FROM n UNION SELECT unnest(['n_name', 'r_name'])")},
+        l AS MATERIALIZED (SELECT name, list(x ORDER BY j) AS v FROM sym GROUP BY name),
+        c AS MATERIALIZED (SELECT k, {_times(kind, 'nc.v', 'nv.v')} AS a, {_times(kind, 'rc.v', 'rv.v')} AS b FROM n JOIN l nc ON nc.name = 'n_name'
+            JOIN l nv ON nv.name = n_name JOIN l rc ON rc.name = 'r_name' JOIN l rv ON rv.name = r_name),
+        r AS MATERIALIZED (SELECT k, {row} AS v FROM c),
+        f(k, v) AS (SELECT k, v FROM r WHERE k = 1 UNION ALL SELECT r.k, {_times(kind, 'f.v', 'r.v')} FROM f JOIN r ON r.k = f.k + 1)
+        SELECT unnest(range({SIZE}))::int AS dim, round(unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS value
+        FROM f WHERE k = (SELECT max(k) FROM n)"""
+
 
-    They are made of a few rows: products of thousands leave the range of doubles, however computed.
+_UNIT_SUM = "list_transform(list_zip(a, b), lambda p: (p[1] + p[2]) / sqrt(list_sum(list_transform(list_zip(a, b), lambda q: (q[1] + q[2]) * (q[1] + q[2])))))"
+
+
+def _nations_query(name: str, kind: str, row: str, make: Callable[[Subset], DataFrame]) -> None:
+    """Products of real vectors over the nations, given with unit length since their size runs away.
+
+    SQL spells each step of the fold out, so it is short.
     """
 
-    @register(name)
+    @register(name, _product_sql(kind, row))
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
         rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-        return whole(make(folds(rows, kind, order_by="n_nationkey")))
+        found = make(folds(rows, kind, order_by="n_nationkey"))
+        # One vector: SIZE rows.
+        norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy()))
+        return whole(found.withColumn("value", F.col("value") / norm))
 
 
-_nations_query("bind_dataset_hrr", HRR, lambda s: s.bind_dataset())
-_nations_query("bind_entire_dataset_hrr", HRR, lambda s: s.bind_entire_dataset())
-_nations_query("bind_dataset_vtb", VTB, lambda s: s.bind_dataset())
-_nations_query("bind_entire_dataset_vtb", VTB, lambda s: s.bind_entire_dataset())
+for _kind in (HRR, VTB):
+    _nations_query(f"bind_dataset_{_kind}", _kind, _UNIT_SUM, lambda s: s.bind_dataset())
+    _nations_query(f"bind_entire_dataset_{_kind}", _kind, _times(_kind, "a", "b"), lambda s: s.bind_entire_dataset())
 
 
 _ITEM_CELLS = """cells AS (SELECT 'l_returnflag' AS c, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY ALL
@@ -670,21 +745,150 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(subset.bundle_dataset(rows_normalized=False, normalized=False))
 
 
-def _analogy(spark: SparkSession, kind: str, size: int) -> DataFrame:
-    """What is to Mexico as the dollar is to the USA, by similarity."""
-    book = Codebook.empty(spark, arch(kind), size).extend(["NAM", "MON", "CAP", "USA", "DOL", "WDC", "MEX", "PES", "MXC"])
-    query = "(NAM * USA + CAP * WDC + MON * DOL) * (NAM * MEX + CAP * MXC + MON * PES) * DOL"
-    return book.find(book.execute(query)).select("name")
+#: The well-known analogy of records, what is to Mexico as the dollar is to the USA.
+ANALOGY = ("NAM", "MON", "CAP", "USA", "DOL", "WDC", "MEX", "PES", "MXC")
+ANALOGY_QUERY = "(NAM * USA + CAP * WDC + MON * DOL) * (NAM * MEX + CAP * MXC + MON * PES) * DOL"
+#: Stops of a journey, each rotated by its place, and the place that is asked for.
+JOURNEY = ("harbour", "mill", "bridge", "tower", "market")
+LARGE, ASKED = 10_000, 3
+
+
+def _nearest_sql(names: tuple[str, ...], value: str) -> str:
+    """The one of ``names`` whose signs (or bits, as signs) agree most with ``value`` over ``LARGE`` dimensions."""
+    return f"""WITH j AS (SELECT unnest(generate_series(0, {LARGE - 1})) AS j), n AS (SELECT unnest({list(names)}) AS name),
+        q AS MATERIALIZED (SELECT j, {value} AS x FROM j)
+        SELECT name FROM n, q GROUP BY name ORDER BY sum(CASE WHEN {_sign('name')} = x THEN 1 ELSE -1 END) DESC, name LIMIT 1"""
+
+
+def _majority(terms: list[str]) -> str:
+    return _norm(" + ".join(terms))
+
+
+def _replaced(terms: list[str], first_step: int) -> str:
+    """A BSC bundle in signs: where the next term differs from what there is, the step's tie bit counts."""
+    acc = terms[0]
+    for k, term in enumerate(terms[1:]):
+        acc = f"(CASE WHEN ({acc}) = ({term}) THEN {term} ELSE 2 * ({_tie(f"'step|{first_step + k}'")}) - 1 END)"
+    return acc
+
+
+def _records(bundle: Callable[[list[str], int], str], sign: int) -> str:
+    """The query's value in signs. In these, a product of BSC bits is the negative product."""
+    pair = lambda a, b: f"({sign} * {_sign(_q(a))} * {_sign(_q(b))})"
+    one = bundle([pair("NAM", "USA"), pair("CAP", "WDC"), pair("MON", "DOL")], 0)
+    two = bundle([pair("NAM", "MEX"), pair("CAP", "MXC"), pair("MON", "PES")], 2)
+    return f"({one}) * ({two}) * {_sign(_q('DOL'))}"
+
+
+def _journey(bundle: Callable[[list[str], int], str]) -> str:
+    """Rotated back by the place that is asked for."""
+    return bundle([_sign(_q(name), f"((j + {ASKED} - {k} + {LARGE}) % {LARGE})") for k, name in enumerate(JOURNEY)], 0)
+
+
+def _nearest_query(name: str, kind: str, names: tuple[str, ...], text: str, sql: str) -> None:
+    @register(name, sql)
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        book = Codebook.empty(spark, arch(kind), LARGE).extend(names)
+        return book.find(book.execute(text)).select("name")
+
+
+_nearest_query("analogy_map", MAP, ANALOGY, ANALOGY_QUERY, _nearest_sql(ANALOGY, _records(lambda t, k: _majority(t), 1)))
+_nearest_query("analogy_bsc", BSC, ANALOGY, ANALOGY_QUERY, _nearest_sql(ANALOGY, _records(_replaced, -1)))
+_JOURNEY_TEXT = f"({' + '.join(f'{name} ^ {k}' for k, name in enumerate(JOURNEY))}) ^ {LARGE - ASKED}"
+_nearest_query("sequence_recall_map", MAP, JOURNEY, _JOURNEY_TEXT, _nearest_sql(JOURNEY, _journey(lambda t, k: _majority(t))))
+
 
+# Through the interactive classes
 
-@register("analogy_bsc", "SELECT 'PES' AS name")
+
+def _storage(spark: SparkSession, sf_dir: str) -> tuple[api.Storage, DataFrame]:
+    """Events by kind, whose categories are declared, in the order of ids."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    kinds = sorted(r["event_type"] for r in rows.select("event_type").where("event_type IS NOT NULL").distinct().collect())
+    vsa = api.MultiplyAddPermute(42)
+    return api.Storage.from_dataframe(vsa, SIZE, rows.select("event_type"), enums={"event_type": [*kinds, "never"]}), rows
+
+
+_EVENT_CELLS = "t AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)"
+_EVENT = f"({_sign(_q('event_type'))} * {_sign('event_type')})"
+
+
+@register("api_bundle_dataset_enum", f"WITH {DIMS}, {_EVENT_CELLS} SELECT j::int AS dim, sum(n * {_EVENT})::bigint AS value FROM t, j GROUP BY j")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    storage, rows = _storage(spark, sf_dir)
+    found = storage.subset(rows, order_by="event_id").bundle_dataset_unnormalized()
+    return spark.createDataFrame(list(enumerate(found.data.tolist())), "dim int, value long")
+
+
+@register(
+    "api_bind_rows",
+    f"WITH {DIMS}, {_EVENT_CELLS}, v AS (SELECT event_type, j::int AS dim, {_EVENT}::bigint AS value FROM t, j) SELECT event_id, dim, v.value FROM events JOIN v USING (event_type)",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    storage, rows = _storage(spark, sf_dir)
+    return exploded(storage.subset(rows, order_by="event_id").rows("bind"), "event_id", vec="vector")
+
+
+@register(
+    "api_similarities",
+    f"""WITH {DIMS}, n AS (SELECT event_type AS name FROM events WHERE event_type IS NOT NULL UNION SELECT unnest(['event_type', 'never']))
+        SELECT name, round(sum({_sign('name')} * {_sign(_q('never'))}) / {SIZE}.0, 6) + 0.0 AS similarity FROM n, j GROUP BY name""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    storage, _ = _storage(spark, sf_dir)
+    vector = storage.get_column_value("event_type", "never")
+    return storage.similarity_table(vector).select("name", rounded(F.col("similarity")).alias("similarity"))
+
+
+# Accumulators of the other algebras
+
+_neighbour_query(
+    "bind_accumulator_vtb",
+    VTB,
+    f"""SELECT a.vec_id, ((a.j // 8) * 8 + b.j // 8)::int AS dim, round(sqrt(8.0) * sum((a.x + c.x) * b.x), 6) + 0.0 AS value
+        {_JOIN} AND a.j % 8 = b.j % 8 JOIN e c ON c.vec_id = b.vec_id AND c.j = a.j GROUP BY ALL""",
+    lambda k, a, b: vectors.bind_accumulator(k, vectors.bundle(k, vectors.denormalize(k, a), b), b),
+)
+_neighbour_query(
+    "bind_accumulator_hrr",
+    HRR,
+    f"""SELECT a.vec_id, ((a.j + b.j) % 64)::int AS dim, round(sum((a.x + c.x) * b.x), 6) + 0.0 AS value
+        {_JOIN} JOIN e c ON c.vec_id = b.vec_id AND c.j = a.j GROUP BY ALL""",
+    lambda k, a, b: vectors.bind_accumulator(k, vectors.bundle(k, vectors.denormalize(k, a), b), b),
+)
+_neighbour_query(
+    "bundle_accumulators_hrr",
+    HRR,
+    f"SELECT a.vec_id, a.j::int AS dim, round(2 * a.x + b.x, 6) + 0.0 AS value {_JOIN} AND a.j = b.j",
+    lambda k, a, b: vectors.bundle(k, vectors.bundle(k, vectors.denormalize(k, a), b), vectors.denormalize(k, a)),
+)
+
+
+# Orders that rows share
+
+
+@register(
+    "bundle_dataset_bsc_shared_order",
+    f"""WITH {DIMS}, t AS (SELECT DISTINCT o_orderdate::date::varchar AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+        w AS (SELECT j, k, ({_BS} + {_BP}) % 2 AS x, s, p FROM t, j)
+        SELECT j::int AS dim, coalesce(arg_max(x, k) FILTER (x = {_tie("'row|' || k")}), arg_min(x, (k, s, p)))::bigint AS value FROM w GROUP BY j""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analogy(spark, BSC, 10_000)
+    """Rows of one day share their order, and with it their tie bits."""
+    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), *ORDERS)
+    return whole(folds(rows, BSC, order_by="day").bundle_dataset_with_binding())
 
 
-@register("analogy_map", "SELECT 'PES' AS name")
+@register(
+    "bundle_dataset_bsc_one_order",
+    f"""WITH {DIMS}, t AS (SELECT DISTINCT l_returnflag AS s, l_linestatus AS p FROM lineitem),
+        w AS (SELECT j, s, p, ({_bit(_q('l_returnflag'))} + {_bit('s')} + {_bit(_q('l_linestatus'))} + {_bit('p')}) % 2 AS x FROM t, j)
+        SELECT j::int AS dim, coalesce(max(x) FILTER (x = {_tie("'row|' || 'all'")}), arg_min(x, (s, p)))::bigint AS value FROM w GROUP BY j""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analogy(spark, MAP, 10_000)
+    """All rows share one order value: the last few leave dimensions open, and all rows decide."""
+    rows = items(spark, sf_dir).withColumn("all", F.lit("all"))
+    return whole(folds(rows, BSC, order_by="all").bundle_dataset_with_binding())
 
 
 @register(
@@ -700,5 +904,3 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = Codebook(arch(MAP), SIZE, spark.createDataFrame([], "idx long, name string"), {"event_type": None})
     found = bundle_counts(book, counts)
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "dim", F.col("value").cast("long").alias("value"))
-
-

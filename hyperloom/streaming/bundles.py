@@ -47,8 +47,9 @@ def _only(column: str) -> Column:
 def stream_counts(spark: SparkSession, path: str, columns: list[str], time_col: str, *, window: str, late: str) -> DataFrame:
     """``cell_counts`` of a parquet table that is read as a stream until all of it has been counted.
 
-    The query runs with ``availableNow`` into a table of the shared folder, in complete mode, so that
-    the counts of all windows are there whether or not the watermark has passed them.
+    The query runs with ``availableNow`` into a table of the shared folder. In update mode each batch
+    writes the counts that it changed, so state goes once the watermark has passed a window; a batch
+    that is run again overwrites its own rows. Of a cell's counts the largest is the last.
     """
     schema = spark.read.parquet(path).schema
     # A stream reads folders; a table that is one file is found by its name.
@@ -58,14 +59,15 @@ def stream_counts(spark: SparkSession, path: str, columns: list[str], time_col:
     counts = cell_counts(stream, columns, time_col, window=window, late=late)
     out = scratch_path(spark, "stream")
     query = (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", f"{out}/checkpoint")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/counts"))
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/counts/batch={number}"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema("window_start timestamp, column string, value string, n long").parquet(f"{out}/counts")
+    found = spark.read.schema("window_start timestamp, column string, value string, n long").parquet(f"{out}/counts")
+    return found.groupBy("window_start", "column", "value").agg(F.max("n").alias("n"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
