@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import NON_WORD, lower_ascii, maybe_broadcast, passes_columns, row_key, written
-
-#: Distinct benchmark windows (strings) that may be broadcast, about 100 bytes each.
-BROADCAST_WINDOWS = 200_000
+from hyperloom.llm.common import NON_WORD, broadcast_if_small, lower_ascii, passes_columns, row_key, written
 
 
 def words_of(text: Column) -> Column:
@@ -62,9 +59,12 @@ def contamination(
     one window. Columns: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the
     row's key ``_k1, _k2``; contaminated means n_hit > 0 and ``share * n_hit >= n_words``.
 
-    Documents are winnowed in their own rows; the fingerprints meet those of the benchmark; only
-    documents with a hit are read again, and only windows around a hit are compared, by their words.
-    The benchmark's side is broadcast while its counted size stays in bounds, and shuffled beyond.
+    Documents are winnowed in their own rows and their fingerprints meet those of the benchmark. Only
+    documents with a hit are read again; their words are written once. Their grams, with positions,
+    meet the benchmark's fingerprints in a join, and the windows that hold such a gram are compared
+    by their words. So documents are read twice whatever lengths the items have, and work is linear
+    in the words of a document. The benchmark's side of a join is broadcast while its measured bytes
+    stay in bounds, and shuffled beyond.
 
     Defined cases: null and empty texts have no words and are clean; items without words are
     ignored; items of null id count as ''; of rows that repeat each gets its row; with an empty
@@ -81,40 +81,30 @@ def contamination(
     marks = with_fingerprints(items.withColumn("_n", F.size("_words")), window, gram, short)
     # A short item is found by its own length alone, not by the shorter grams within it.
     own = F.when(F.col("_n") >= window, F.col("_marks")).otherwise(F.array(F.xxhash64("_n", "_words")))
-    marks = written(marks.select(F.explode(own).alias("_mark")).distinct(), "marks")
-    marks = maybe_broadcast(marks, marks.count())
+    marks = written(marks.select(F.least("_n", F.lit(window)).alias("_length"), F.explode(own).alias("_mark")).distinct(), "marks")
+    known = broadcast_if_small(marks.select("_mark").distinct())
 
     key = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), *key, words_of(F.col(text_col)).alias("_words"))
     base = with_fingerprints(rows, window, gram, short)
     base = written(base.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), "_marks"), "fingerprints")
-    hits = base.select("_k1", "_k2", F.explode("_marks").alias("_mark")).distinct().join(marks, "_mark")
-    hits = written(hits.groupBy("_k1", "_k2").agg(F.collect_set("_mark").alias("_marks")), "hits")
-    hits = maybe_broadcast(hits, 8 * hits.count())
-
-    n = F.size("_words")
-    again = docs.select(*key, F.col(text_col).alias("_text")).join(hits, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    again = again.withColumn("_words", words_of(F.col("_text")))
-    spans = []
+    hits = base.select("_k1", "_k2", F.explode("_marks").alias("_mark")).join(known, "_mark", "left_semi")
+    hits = broadcast_if_small(written(hits.select("_k1", "_k2").distinct(), "hits"))
+    again = docs.select(*key, F.col(text_col).alias("_text")).join(hits, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    again = written(again.select("_k1", "_k2", words_of(F.col("_text")).alias("_words")), "hit-words")
+
+    starts = None
     for length in [*short, window]:
-        if length < window:
-            grams = _grams("_words", length, lambda w, n=length: F.xxhash64(F.lit(n), w))
-            reach = length
-        else:
-            grams, reach = _grams("_words", gram, F.xxhash64), gram
-        found = again.withColumn("_grams", F.coalesce(grams, F.array().cast("array<bigint>")))
-        places = F.filter(F.transform("_grams", lambda g, i: F.when(F.array_contains("_marks", g), i)), lambda i: i.isNotNull())
-        found = found.withColumn("_places", places)
-        starts = F.array_distinct(F.flatten(F.when(n >= length, F.transform("_places", _around(n, length, reach)))))
-        found = found.select("_k1", "_k2", "_words", F.explode(starts).alias("_start"))
-        spans.append(
-            found.select("_k1", "_k2", "_start", F.lit(length).alias("_length"), F.array_join(F.slice("_words", F.col("_start") + 1, length), " ").alias("_window"))
-        )
-    candidates = spans[0]
-    for more in spans[1:]:
-        candidates = candidates.union(more)
-    distinct = written(windows.select("_window").distinct(), "distinct-windows")
-    distinct = F.broadcast(distinct) if distinct.count() <= BROADCAST_WINDOWS else distinct
+        reach = gram if length == window else length
+        hashed = F.xxhash64 if length == window else (lambda w, n=length: F.xxhash64(F.lit(n), w))
+        there = again.select("_k1", "_k2", F.size("_words").alias("_n"), F.posexplode(_grams("_words", reach, hashed)).alias("_at", "_mark"))
+        met = there.join(broadcast_if_small(marks.where(F.col("_length") == length).select("_mark")), "_mark", "left_semi").where(F.col("_n") >= length)
+        met = met.select("_k1", "_k2", F.explode(_around(F.col("_n"), length, reach)(F.col("_at"))).alias("_start"))
+        met = met.groupBy("_k1", "_k2").agg(F.collect_set("_start").alias("_starts")).withColumn("_length", F.lit(length))
+        starts = met if starts is None else starts.union(met)
+    texts = again.join(starts, ["_k1", "_k2"]).select("_k1", "_k2", "_words", "_length", F.explode("_starts").alias("_start"))
+    candidates = texts.select("_k1", "_k2", "_start", "_length", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("_length")), " ").alias("_window"))
+    distinct = broadcast_if_small(written(windows.select("_window").distinct(), "distinct-windows"))
     places = written(candidates.join(distinct, "_window"), "places")
 
     fold = F.aggregate(
@@ -130,7 +120,7 @@ def contamination(
     met = places.select("_k1", "_k2", "_window").distinct().join(windows.select("_window", "_item"), "_window")
     named = met.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
     found = written(covered.join(named, ["_k1", "_k2"]), "contamination")
-    found = maybe_broadcast(found, 8 * found.count())
+    found = broadcast_if_small(found)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(found, ["_k1", "_k2"], "left").select(
         "doc_id",
@@ -149,6 +139,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object)
     """``docs`` without its contaminated rows; all columns stay as they are."""
     id_col, text_col = str(options.get("id_col", "doc_id")), str(options.get("text_col", "text"))
     bad = written(contamination(docs, benchmark, **options).where("contaminated").select("_k1", "_k2").distinct(), "contaminated")
-    bad = maybe_broadcast(bad, bad.count())
+    bad = broadcast_if_small(bad)
     keyed = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
     return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
