@@ -1,20 +1,23 @@
-"""License statements in text: an exact set-similarity join of text blocks with templates."""
+"""License scans: exact set-similarity join of text blocks with license wordings."""
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import row_key, written
+from hyperloom.llm.common import broadcast_if_small, discard, row_key, written
 from hyperloom.llm.decontaminate import words_of
+from hyperloom.llm.license_texts import PHRASES, SENTENCES, TEXTS
+from hyperloom.plans.tables import numbered
 
-#: Words from one block to the next. Blocks overlap so that any phrase of up to this many words lies in one.
+#: Words from one block to the next for short templates; twice as many for those of up to twice the words, and so on.
 STRIDE = 32
-#: Distinct template words that a scan takes; they are literals in the plan.
-MAX_VOCABULARY = 2_000
+#: Prefix words that are looked for as literals, within the rows of documents. More are joined.
+LITERALS = 5_000
 
 
 @dataclass(frozen=True)
@@ -32,47 +35,78 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return self.phrase.split()
+        return re.findall("[a-z0-9]+", self.phrase.lower())
 
     @property
     def needed(self) -> int:
         return math.ceil(self.least * len(set(self.words)) - 1e-9)
 
+    def stride(self, least: int = STRIDE) -> int:
+        """Words from one block to the next: ``least``, doubled until a block can hold the whole template."""
+        while len(self.words) > least + 1:
+            least *= 2
+        return least
 
-#: Phrases that count at every place.
-BASE = (
-    Template("mit", "under the mit license", 1.0, True),
-    Template("apache-2", "apache license version 2", 1.0, True),
-    Template("cc-by-nc", "cc by nc", 1.0, True),
-)
-#: The usual statements of common licenses, as word sets.
+
+BASE = tuple(Template(label, phrase, 1.0, True) for label, phrase in PHRASES)
 STATEMENTS = (
-    Template("apache-2", "licensed under the apache license version 2 0"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("gpl-3", "licensed under the gnu general public license version 3"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
+    *(Template(label, phrase) for label, phrase in SENTENCES),
     Template("all-rights-reserved", "all rights reserved", 1.0),
+    *(Template(label, text) for label, text in TEXTS),
 )
 
 
+def template_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
+    """``templates`` as the table that ``scan`` takes."""
+    return spark.createDataFrame([(t.label, t.phrase, t.least, t.consecutive) for t in templates], "label string, phrase string, least double, consecutive boolean")
+
+
+def _prepared(templates: DataFrame, stride: int) -> DataFrame:
+    """``tid, label, consecutive, phrase`` (words), ``needed``, ``stride``; templates without words are left out."""
+    words = words_of(F.col("phrase"))
+    rows = templates.select("label", F.coalesce("consecutive", F.lit(False)).alias("consecutive"), "least", words.alias("phrase")).where(F.size("phrase") > 0)
+    beyond = F.floor((F.size("phrase") - 2) / stride).cast("int")
+    doubled = F.when(beyond > 0, F.length(F.bin(beyond))).otherwise(0)
+    needed = F.greatest(F.ceil(F.col("least") * F.size(F.array_distinct("phrase")) - 1e-9).cast("int"), F.lit(1))
+    rows = rows.withColumn("needed", needed).withColumn("stride", (stride * F.pow(F.lit(2), doubled)).cast("int"))
+    return rows.drop("least").withColumn("tid", F.monotonically_increasing_id())
+
+
+def _blocks_at(at: Column, stride: int, longest: int) -> Column:
+    """The numbers of the blocks of ``stride + longest - 1`` words that hold the positions ``at``."""
+    number = lambda i: (i / stride).cast("int")
+    both = lambda i: (i >= stride) & (i % stride < longest - 1)
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.when(both(i), F.array(number(i) - 1, number(i))).otherwise(F.array(number(i))))))
+
+
+def _block(stride: int, longest: int):
+    return lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("b"), F.slice("_words", b * stride + 1, stride + longest - 1).alias("w"))
+
+
 def scan(
     docs: DataFrame,
-    templates: tuple[Template, ...] = BASE + STATEMENTS,
+    templates: DataFrame | tuple[Template, ...] = BASE + STATEMENTS,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     stride: int = STRIDE,
+    literals: int = LITERALS,
 ) -> DataFrame:
     """One row per row of ``docs`` with the license statements that its whole text holds.
 
-    Template words are ordered by how often they occur in all documents, rarest first. A block
-    that holds ``needed`` of a template's distinct words holds one of its first
-    ``size - needed + 1``: only blocks around such a word are built. Blocks meet templates over
-    those words (prefix filter), pass if they have enough template words (length filter) and if
+    ``templates`` is a table (``label, phrase, least, consecutive``) of any size with phrases of any
+    length, or a tuple that becomes one. Template words are ordered by how often they occur in all
+    documents, rarest first. A block that holds ``needed`` of a template's distinct words holds one of
+    its first ``size - needed + 1``: only blocks around such a prefix word are built. Blocks overlap so
+    that a template lies in one of them whole; templates of up to ``stride + 1`` words have blocks
+    every ``stride`` words, longer ones every twice as many, and so on. Blocks meet templates over
+    prefix words (prefix filter), pass if they have enough template words (length filter) and if
     enough can follow the common word in both orders (positional filter), and are then counted
-    exactly, once, at their first common word. Blocks never leave the document's row before that,
-    so no text is shuffled.
+    exactly, once, at their first common word.
+
+    Up to ``literals`` prefix words are found within the documents' own rows. More are joined with the
+    words of the documents, and positions come back to the texts, which are shuffled once for that.
+    Templates, ranks and prefix words are broadcast only if their measured bytes are few.
 
     Columns: ``doc_id, n_words, n_base`` (places of consecutive templates), ``first_word,
     last_word`` (their smallest and largest start from 0, else null), ``base_labels`` and ``labels``
@@ -80,67 +114,70 @@ def scan(
     largest share of a template that was found, 0 if none).
 
     Defined cases: null and empty texts have no words, no labels ('') and score 0; each of rows that
-    repeat has its row; an empty table gives an empty result; other columns are ignored.
+    repeat has its row; templates without words are never found; no templates or an empty table give
+    rows without labels or none; other columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary = sorted({w for t in templates for w in t.words})
-    longest = max(len(t.words) for t in templates)
-    if len(vocabulary) > MAX_VOCABULARY or longest > stride + 1:
-        raise ValueError(f"templates may have {MAX_VOCABULARY} distinct words in all and {stride + 1} words each")
+    table = templates if isinstance(templates, DataFrame) else template_table(spark, templates)
+    table = written(_prepared(table, stride), "templates")
+    classes = {r["stride"]: r["longest"] for r in table.groupBy("stride").agg(F.max(F.size("phrase")).alias("longest")).collect()}
     words = words_of(F.col(text_col))
-    ours = docs.select(F.explode(F.filter(words, lambda w: w.isin(vocabulary))).alias("w"))
-    counts = {r["w"]: r["n"] for r in ours.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    orders = [sorted(rank[w] for w in set(t.words)) for t in templates]
-    firsts = [o[: len(o) - t.needed + 1] for o, t in zip(orders, templates, strict=True)]
-    prefix = sorted({w for w, r in rank.items() if any(r in f for f in firsts)})
-
-    length = stride + longest - 1
+
+    vocabulary = broadcast_if_small(table.select(F.explode("phrase").alias("w")).distinct())
+    counts = docs.select(F.explode(words).alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counted = vocabulary.join(counts, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked_words = written(numbered(counted, ["n", "w"], "rank").select("rank", "w"), "ranks")
+    ranks = broadcast_if_small(ranked_words)
+    ordered = table.select("tid", F.explode(F.array_distinct("phrase")).alias("w")).join(ranks, "w")
+    ordered = table.join(ordered.groupBy("tid").agg(F.array_sort(F.collect_list("rank")).alias("ranks")), "tid")
+    ordered = written(ordered, "ordered")
+    index = ordered.select("tid", "stride", "needed", F.size("ranks").alias("whole"), F.posexplode(F.slice("ranks", 1, F.size("ranks") - F.col("needed") + 1)).alias("p", "rank"))
+    prefix = written(index.select("rank").distinct().join(ranks, "rank").select("w"), "prefix")
+
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), words.alias("_words"))
-    at = F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(prefix), i)))
-    rows = rows.withColumn("_at", at)
-    of = F.flatten(
-        F.transform(
-            "_at",
-            lambda i: F.when((i >= stride) & (i % stride < longest - 1), F.array((i / stride).cast("int") - 1, (i / stride).cast("int"))).otherwise(
-                F.array((i / stride).cast("int"))
-            ),
-        )
-    )
-    rows = rows.withColumn("_of", F.array_distinct(of))
-    blocks = F.transform("_of", lambda b: F.struct(b.alias("b"), F.slice("_words", b * stride + 1, length).alias("w")))
-    base = written(rows.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), blocks.alias("_blocks")), "blocks")
-
-    ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    known = F.transform(F.filter("w", lambda w: w.isin(vocabulary)), lambda w: F.element_at(ranks, w))
-    blocks = base.select("_k1", "_k2", F.explode("_blocks").alias("_block")).select("_k1", "_k2", "_block.b", "_block.w").distinct()
-    blocks = blocks.withColumn("_ranks", F.array_sort(F.array_distinct(known)))
-    index = [
-        (r, p, t.label, t.consecutive, t.words, o, t.needed)
-        for t, o, f in zip(templates, orders, firsts, strict=True)
-        for p, r in enumerate(f)
-    ]
-    schema = "rank int, p int, label string, consecutive boolean, phrase array<string>, ranks array<int>, needed int"
-    index = spark.createDataFrame(index, schema)
-    met = blocks.select("_k1", "_k2", "b", "w", "_ranks", F.posexplode("_ranks").alias("q", "rank")).join(F.broadcast(index), "rank")
-    size, whole = F.size("_ranks"), F.size("ranks")
+    if prefix.count() <= literals:
+        chosen = [r["w"] for r in prefix.collect()]
+        rows = rows.withColumn("_at", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(chosen), i))))
+    else:
+        at = rows.select("_k1", "_k2", F.posexplode("_words").alias("_i", "w")).join(broadcast_if_small(prefix), "w", "left_semi")
+        rows = rows.join(at.groupBy("_k1", "_k2").agg(F.collect_set("_i").alias("_at")), ["_k1", "_k2"], "left")
+        rows = rows.withColumn("_at", F.coalesce("_at", F.array().cast("array<int>")))
+    parts = [F.array().cast("array<struct<stride:int,b:int,w:array<string>>>")]
+    for s, longest in sorted(classes.items()):
+        parts.append(F.transform(_blocks_at(F.col("_at"), s, longest), _block(s, longest)))
+    base = written(rows.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), F.concat(*parts).alias("_blocks")), "blocks")
+
+    key = ["_k1", "_k2", "stride", "b"]
+    blocks = base.select("_k1", "_k2", F.explode("_blocks").alias("_block")).select("_k1", "_k2", "_block.stride", "_block.b", "_block.w").dropDuplicates(key)
+    blocks = written(blocks, "distinct-blocks")
+    ranked = blocks.select(*key, F.explode(F.array_distinct("w")).alias("w")).join(ranks, "w")
+    ranked = ranked.groupBy(*key).agg(F.array_sort(F.collect_list("rank")).alias("_ranks"))
+    met = ranked.select(*key, "_ranks", F.posexplode("_ranks").alias("q", "rank")).join(broadcast_if_small(index), ["rank", "stride"])
+    size, whole = F.size("_ranks"), F.col("whole")
     met = met.where(size >= F.col("needed")).where(F.least("p", "q") + F.least(whole - F.col("p"), size - F.col("q")) >= F.col("needed"))
+    met = met.join(broadcast_if_small(ordered.select("tid", "label", "consecutive", "phrase", "ranks")), "tid")
     met = met.withColumn("_common", F.array_intersect("_ranks", "ranks"))
     met = met.where((F.size("_common") >= F.col("needed")) & (F.array_min("_common") == F.col("rank")))
+    met = written(met.select(*key, "label", "consecutive", "phrase", (F.size("_common") / whole).alias("share")), "met")
     n = F.size("phrase")
     # A place belongs to the block that its first word opens, which holds all of it.
-    last = F.least(F.size("w") - n, F.lit(stride - 1))
+    last = F.least(F.size("w") - n, F.col("stride") - 1)
     places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("w", i + 1, n) == F.col("phrase"))
-    met = met.withColumn("_places", F.when(F.col("consecutive"), places)).where(~F.col("consecutive") | (F.size("_places") > 0))
-    start = F.col("b") * stride
-    found = met.groupBy("_k1", "_k2").agg(
-        F.sum(F.when(F.col("consecutive"), F.size("_places")).otherwise(0)).alias("n_base"),
-        F.min(start + F.array_min("_places")).cast("long").alias("first_word"),
-        F.max(start + F.array_max("_places")).cast("long").alias("last_word"),
-        F.collect_set(F.when(F.col("consecutive"), F.col("label"))).alias("_base"),
+    rowwise = met.where("consecutive").join(blocks, key).withColumn("_places", places).where(F.size("_places") > 0)
+    start = F.col("b") * F.col("stride")
+    rowwise = rowwise.select("_k1", "_k2", "label", "share", F.size("_places").alias("n"), (start + F.array_min("_places")).alias("low"), (start + F.array_max("_places")).alias("high"))
+    nothing = F.lit(None).cast("int")
+    loose = met.where("NOT consecutive").select("_k1", "_k2", "label", "share", nothing.alias("n"), nothing.alias("low"), nothing.alias("high"))
+    found = rowwise.union(loose).groupBy("_k1", "_k2").agg(
+        F.sum("n").alias("n_base"),
+        F.min("low").cast("long").alias("first_word"),
+        F.max("high").cast("long").alias("last_word"),
+        F.collect_set(F.when(F.col("n").isNotNull(), F.col("label"))).alias("_base"),
         F.collect_set("label").alias("_all"),
-        F.max(F.size("_common") / whole).alias("score"),
+        F.max("share").alias("score"),
     )
+    found = written(found, "licenses")
+    discard(table, ranked_words, ordered, prefix, blocks, met)
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return base.drop("_blocks").join(found, ["_k1", "_k2"], "left").select(
         "doc_id",

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import BROADCAST_ROWS, maybe_broadcast, written
+from hyperloom.llm.common import broadcast_if_small, written
 
 DIMENSIONS = ("source", "lang", "topic")
 LOG = logging.getLogger(__name__)
@@ -58,7 +58,8 @@ def mix(
 
     Tokens (words, one at least) are summed by source, language and topic in one pass; what follows
     works on those cells, with the options of ``calibrate``. No document is repeated. The draw of a
-    document is a hash of ``seed`` and its id.
+    document is a hash of ``seed`` and its id, in steps of 2^-52; probabilities are not rounded, so a
+    cell of any small probability still has its chance.
 
     Columns: ``doc_id, source, lang, topic, n_tokens, probability, sampled``. Defined cases: null
     source, language or topic count as ''; null and empty texts count one token; rows with one id
@@ -75,7 +76,7 @@ def mix(
     )
     rows = written(rows, "tokens")
     found = calibrate(rows, **fitting)
-    cells = maybe_broadcast(found.cells.select(*DIMENSIONS, "probability"), found.n_cells)
+    cells = broadcast_if_small(found.cells.select(*DIMENSIONS, "probability"))
     return rows.join(cells, list(DIMENSIONS)).select(
         "doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
     )
@@ -146,7 +147,7 @@ def calibrate(
         scale = spend(cells, budget)
         over = F.col("w") * F.lit(scale) > F.col("tokens")
         probability = F.when(over, 1.0).otherwise(F.col("w") / F.col("tokens") * F.lit(scale))
-    cells = cells.withColumn("probability", F.round(probability, 9)).withColumn("saturated", over)
+    cells = cells.withColumn("probability", probability).withColumn("saturated", over)
     gap = error if scale is None else off_target(cells, F.col("tokens") * F.col("probability"), sums)
     n_saturated = 0 if scale is None else cells.where("saturated").count()
     if n_saturated:
@@ -191,9 +192,9 @@ def _name(value: Column) -> Column:
 
 
 def draw(ident: Column, seed: int) -> Column:
-    """A number in [0, 1) from the first 32 bits of a hash of ``seed`` and ``ident``."""
+    """A multiple of 2^-52 in [0, 1) from a hash of ``seed`` and ``ident``."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def sample(docs: DataFrame, **options: object) -> DataFrame:
@@ -205,6 +206,6 @@ def sample(docs: DataFrame, **options: object) -> DataFrame:
     cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "_p")
     topic = options["topic"]
     at = (_name(docs[names["source"]]) == cells["_source"]) & (_name(docs[names["lang"]]) == cells["_lang"]) & (_name(topic) == cells["_topic"])
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
+    cells = broadcast_if_small(cells)
     seed = int(options.get("seed", 42))
     return docs.join(cells, at).where(draw(docs[id_col], seed) < cells["_p"]).select(*[docs[c] for c in docs.columns])

@@ -63,7 +63,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), topic=mixing.by_length(F.col("text")), temper=0.5, rounds=MIX_ROUNDS)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), topic=mixing.by_length(F.col("text")), temper=0.5, rounds=MIX_ROUNDS)
+    return mixed.withColumn("probability", F.round("probability", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,19 +93,20 @@ _TOKENS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D
 
 def _license_sql() -> str:
     """Brute force: every block against every template."""
-    stride = license_scan.STRIDE
-    templates = license_scan.BASE + license_scan.STATEMENTS
-    length = stride + max(len(t.words) for t in templates) - 1
+    longest: dict[int, int] = {}
+    for t in license_scan.BASE + license_scan.STATEMENTS:
+        longest[t.stride()] = max(len(t.words), longest.get(t.stride(), 0))
+    classes = ", ".join(f"({s}, {n})" for s, n in longest.items())
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     base = ", ".join(f"('{t.label}', {quoted(t.words)})" for t in license_scan.BASE)
-    other = ", ".join(f"('{t.label}', {quoted(sorted(set(t.words)))}, {t.needed})" for t in license_scan.STATEMENTS)
+    other = ", ".join(f"('{t.label}', {quoted(sorted(set(t.words)))}, {t.needed}, {t.stride()})" for t in license_scan.STATEMENTS)
     return f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         p AS (SELECT doc_id, label, i FROM (SELECT *, unnest(generate_series(0, len(w) - 1)) AS i FROM d), (VALUES {base}) t(label, ws)
               WHERE list_slice(w, i + 1, i + len(ws)) = ws),
-        b AS (SELECT doc_id, list_distinct(list_slice(w, k * {stride} + 1, k * {stride} + {length})) AS s
-              FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // {stride})) AS k FROM d WHERE len(w) > 0)),
-        m AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS n, len(ws) AS whole, need FROM b, (VALUES {other}) t(label, ws, need)),
+        b AS (SELECT doc_id, st, list_distinct(list_slice(w, k * st + 1, (k + 1) * st + most - 1)) AS s
+              FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // st)) AS k FROM d, (VALUES {classes}) c(st, most) WHERE len(w) > 0)),
+        m AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS n, len(ws) AS whole, need FROM b JOIN (VALUES {other}) t(label, ws, need, st) USING (st)),
         f AS (SELECT doc_id, label, false AS base, NULL AS i, n / whole AS share FROM m WHERE n >= need
               UNION ALL SELECT doc_id, label, true, i, 1.0 FROM p),
         g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) AS first_word, max(i) AS last_word,
@@ -136,9 +138,9 @@ def _mixing_sql(rounds: int = MIX_ROUNDS) -> str:
         a AS MATERIALIZED (SELECT *, {share} FROM c),
         c0 AS MATERIALIZED (SELECT *, {sums}, tokens::double AS w FROM a),
         {", ".join(steps)},
-        p AS (SELECT source, lang, topic, round(w / tokens / max(w / tokens) OVER (), 9) AS probability FROM {last})
-        SELECT doc_id, source, lang, topic, n_tokens, probability,
-               ('0x' || substr(md5('42|' || doc_id::varchar), 1, 8))::bigint / 4294967296.0 < probability AS sampled
+        p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS probability FROM {last})
+        SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability,
+               ('0x' || substr(md5('42|' || doc_id::varchar), 1, 13))::bigint / 4503599627370496.0 < probability AS sampled
         FROM r JOIN p USING (source, lang, topic)"""
 
 
