@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import BLANKS, hash128, lower_ascii, maybe_broadcast, passes_columns, row_key, written
+from hyperloom.llm.common import BLANKS, broadcast_if_small, hash128, lower_ascii, passes_columns, row_key, written
 
 
 @passes_columns
@@ -14,9 +14,10 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A line's key is the line, stripped of ASCII blanks at both ends and with A-Z lower-cased; keys
     of fewer than ``min_chars`` code points are never dropped. Keys are compared by 128-bit hash.
-    Pairs of key and id are made distinct first, dealt out by both, so a line that every document
-    has gathers nowhere; the count that follows combines within map tasks. Only (document, position)
-    of dropped lines travels back; texts are shuffled once, by document, and reassembled by position.
+    Pairs of key and id are made distinct first, within map tasks and then dealt out by both, so a
+    line that every document has gathers nowhere; the count that follows combines within map tasks.
+    Only (document, position) of dropped lines travels back; texts are shuffled once, by document,
+    and reassembled by position. Work is linear in lines, whatever number of them a document has.
 
     Adds the columns ``n_lines`` (before dropping) and ``n_dropped``, replacing columns of these
     names. Defined cases: null or empty text is one empty line and comes back as ``''``; a
@@ -26,21 +27,23 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     key = row_key(F.col(id_col), F.col(text_col))
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     keys = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
-    hashed = docs.select(*key, F.col(id_col).alias("_id"), keys.alias("_keys")).select(
-        "_k1", "_k2", "_id", F.transform("_keys", lambda k: F.when(F.char_length(k) >= min_chars, hash128(k))).alias("_lines")
+    # Rows without an id are told apart by number, so that each counts as one document.
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    hashed = docs.select(*key, F.col(id_col).alias("_id"), alone.alias("_alone"), keys.alias("_keys")).select(
+        "_k1", "_k2", "_id", "_alone", F.transform("_keys", lambda k: F.when(F.char_length(k) >= min_chars, hash128(k))).alias("_lines")
     )
     frequent = written(
-        hashed.select("_id", F.explode(F.array_distinct("_lines")).alias("_line"))
+        hashed.select("_id", "_alone", F.explode("_lines").alias("_line"))
         .where("_line IS NOT NULL")
-        .groupBy("_line.h1", "_line.h2", "_id")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_line.h1", "_line.h2", "_id", "_alone")
+        .distinct()
         .groupBy("h1", "h2")
-        .agg(F.sum(F.when(F.col("_id").isNull(), F.col("_rows")).otherwise(1)).alias("_docs"))
+        .agg(F.count(F.lit(1)).alias("_docs"))
         .where(F.col("_docs") >= min_docs)
         .select("h1", "h2"),
         "lines",
     )
-    frequent = maybe_broadcast(frequent, frequent.count())
+    frequent = broadcast_if_small(frequent)
     dropped = (
         hashed.select("_k1", "_k2", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_k1", "_k2", "_pos", F.col("_line.h1").alias("h1"), F.col("_line.h2").alias("h2"))
