@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import maybe_broadcast, written
+from hyperloom.llm.common import broadcast_if_small, written
 
 #: Other names of the roles.
 ROLES = {
@@ -30,6 +31,20 @@ MERGE, RELABEL, INSERT = 1.0, 5.0, 3.0
 NAME = 0.5
 INF = float("inf")
 
+#: What looks like the beginning of a marker within a text, however often it was escaped already.
+MARKER = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    """``text`` with a backslash more after the ``<`` of every ``<|``, so that it holds no marker."""
+    return MARKER.sub(r"<\\\1|", text)
+
+
+def parsed(rendered: str) -> list[tuple[str, str]]:
+    """The turns (role, text) that a rendered conversation holds: what ``render`` was given, unescaped."""
+    turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", rendered, re.DOTALL)
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", text)) for role, text in turns]
+
 
 def _step(state: int, role: int, to: int) -> tuple[float, tuple[int, ...]]:
     """Cost of taking a turn of ``role`` as ``to`` after ``state``, and the empty turns to insert first.
@@ -105,7 +120,9 @@ def repair(
     Columns: ``conv_id, turn, seq`` (order within the conversation), ``role, new_role, action``
     (keep, relabel, merge, relabel+merge), ``inserted`` (roles put in before, comma-joined), ``tail``
     (roles put in after, on the last turn), ``cost`` (share of this turn, inserts and tail
-    included) and ``rendered``. Pieces joined in order are the rendered conversation.
+    included) and ``rendered``. Pieces joined in order are the rendered conversation, from which
+    ``parsed`` reads back the repaired turns: a ``<|`` within a text is rendered as ``<\\|`` (and
+    ``<\\|`` as ``<\\\\|``), so no text can open or close a turn.
 
     Defined cases: turns are ordered by turn, role and text, nulls first; ties are alike; null
     conversation ids are one conversation; unknown or null roles may become anything at a small
@@ -128,7 +145,7 @@ def repair(
 
     spanning = ranged.groupBy("conv_id").agg(F.min("_run").alias("_a"), F.max("_run").alias("_b")).where("_a <> _b")
     spanning = written(spanning.select(F.col("conv_id").alias("_c")), "spanning")
-    spanning = maybe_broadcast(spanning, spanning.count())
+    spanning = broadcast_if_small(spanning)
     states = written(_between(ranged.join(spanning, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")), "states")
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_run") == F.col("_r_run"))
     known = states.select(F.col("conv_id").alias("_c"), F.col("_run").alias("_r_run"), "_enter", "_leave", "_final")
@@ -208,7 +225,7 @@ def _run_rows(rows: list[dict]) -> list[dict]:
         tail = TAIL[to] if final and k == len(rows) - 1 else ()
         action = "+".join([*["relabel"] * (row["_r"] != to), *["merge"] * merged]) or "keep"
         piece = ("" if state == START and not before else "\n") if merged else "".join(_head(s, state == START and i == 0) for i, s in enumerate([*before, to]))
-        piece += row["text"] + "".join(_head(s, False) for s in tail) + ("<|end|>\n" if final and k == len(rows) - 1 else "")
+        piece += escaped(row["text"]) + "".join(_head(s, False) for s in tail) + ("<|end|>\n" if final and k == len(rows) - 1 else "")
         done.append(
             {
                 "conv_id": row["conv_id"],
