@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import maybe_broadcast, row_key, written
+from hyperloom.llm.common import broadcast_if_small, row_key, written
 
 #: What every record says.
 VERSION = "WARC/1.1"
@@ -23,6 +23,9 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 4 << 10
+#: Bytes of records that one file of an archive gets at most.
+FILE_BYTES = 256 << 20
+HEAD_BYTES = 2 << 10
 RAW = "record_id string, record_type string, origin string, segment int, total_length long, digest string, refers_to string, block binary"
 
 
@@ -100,6 +103,7 @@ def write_archive(
     blocks of over ``segment_bytes`` are split into continuation records. Equal bodies are found by
     SHA-256, combined within map tasks first; only (row, largest id) of revisits is joined back, and
     bodies are written from where they were read. A null body is empty, a null id the empty string.
+    A record has ``segment_bytes`` and a head at most, so a number of records bounds a file to ``FILE_BYTES``.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     key = row_key(F.col(id_col), F.col(url_col), F.col(body_col))
@@ -108,7 +112,7 @@ def write_archive(
     groups = written(rows.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "equal-bodies")
     revisits = rows.join(groups, "_sha").where(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_k1", "_k2", "_keep")
     revisits = written(revisits.dropDuplicates(["_k1", "_k2"]), "revisits")
-    revisits = maybe_broadcast(revisits, revisits.count())
+    revisits = broadcast_if_small(revisits)
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     marked = pages.select(*key, text(F.col(id_col)).alias("_id"), text(F.col(url_col)).alias("_url"), body.alias("_body"))
     marked = marked.join(revisits, ["_k1", "_k2"], "left").select("_id", "_url", "_body", F.col("_keep").cast("string").alias("_keep"))
@@ -121,7 +125,8 @@ def write_archive(
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
 
     records = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    most = max(1, FILE_BYTES // (segment_bytes + HEAD_BYTES))
+    records.write.option("maxRecordsPerFile", most).option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -142,7 +147,11 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the WARC files under ``path``, plain or gzip'd; segments are still apart."""
+    """Every record of the WARC files under ``path``, plain or gzip'd; segments are still apart.
+
+    A file is read as one value and unpacked as a stream of records. Spark's limit for a value is 2 GB:
+    a larger file stops the job with Spark's error, nothing of it is left out silently.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.string()) for c in ("record_id", "record_type", "origin")])
