@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import written
+from hyperloom.llm.common import discard, written
 
 
 def connected_components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         large = written(large, "large-star")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("_m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
         edges = written(small, "small-star")
+        discard(large)
     raise RuntimeError(f"links have not settled after {max_rounds} rounds")

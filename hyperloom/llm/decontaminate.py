@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import NON_WORD, broadcast_if_small, lower_ascii, passes_columns, row_key, written
+from hyperloom.llm.common import NON_WORD, broadcast_if_small, discard, lower_ascii, passes_columns, row_key, written
 
 
 def words_of(text: Column) -> Column:
@@ -70,9 +70,10 @@ def contamination(
     ignored; items of null id count as ''; of rows that repeat each gets its row; with an empty
     benchmark all is clean; an empty table gives an empty result; other columns are ignored.
     """
-    items = written(
+    stored = written(
         benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_item"), words_of(F.col(text_col)).alias("_words")), "items"
-    ).where(F.size("_words") > 0)
+    )
+    items = stored.where(F.size("_words") > 0)
     short = sorted(r[0] for r in items.select(F.size("_words").alias("n")).where(F.col("n") < window).distinct().collect())
     pieces = F.when(F.size("_words") < window, F.array(F.array_join("_words", " "))).otherwise(
         _grams("_words", window, lambda w: F.array_join(w, " "))
@@ -89,8 +90,8 @@ def contamination(
     base = with_fingerprints(rows, window, gram, short)
     base = written(base.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), "_marks"), "fingerprints")
     hits = base.select("_k1", "_k2", F.explode("_marks").alias("_mark")).join(known, "_mark", "left_semi")
-    hits = broadcast_if_small(written(hits.select("_k1", "_k2").distinct(), "hits"))
-    again = docs.select(*key, F.col(text_col).alias("_text")).join(hits, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    hits = written(hits.select("_k1", "_k2").distinct(), "hits")
+    again = docs.select(*key, F.col(text_col).alias("_text")).join(broadcast_if_small(hits), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     again = written(again.select("_k1", "_k2", words_of(F.col("_text")).alias("_words")), "hit-words")
 
     starts = None
@@ -104,8 +105,9 @@ def contamination(
         starts = met if starts is None else starts.union(met)
     texts = again.join(starts, ["_k1", "_k2"]).select("_k1", "_k2", "_words", "_length", F.explode("_starts").alias("_start"))
     candidates = texts.select("_k1", "_k2", "_start", "_length", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("_length")), " ").alias("_window"))
-    distinct = broadcast_if_small(written(windows.select("_window").distinct(), "distinct-windows"))
+    distinct = broadcast_if_small(windows.select("_window").distinct())
     places = written(candidates.join(distinct, "_window"), "places")
+    discard(again, hits, marks, stored)
 
     fold = F.aggregate(
         F.array_sort(F.collect_list(F.struct("_start", (F.col("_start") + F.col("_length")).alias("end")))),
@@ -120,6 +122,7 @@ def contamination(
     met = places.select("_k1", "_k2", "_window").distinct().join(windows.select("_window", "_item"), "_window")
     named = met.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
     found = written(covered.join(named, ["_k1", "_k2"]), "contamination")
+    discard(places, windows)
     found = broadcast_if_small(found)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(found, ["_k1", "_k2"], "left").select(
