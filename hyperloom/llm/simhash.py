@@ -12,15 +12,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import passes_columns, row_key, written
+from hyperloom.llm.common import broadcast_if_small, discard, passes_columns, row_key, written
 from hyperloom.llm.components import connected_components
 
 BITS = 64
 SEED = 42
 #: Words that are handled at once, so that a very long text needs no more memory than others.
 SLAB_BYTES = 1 << 20
-#: Fingerprints of one bucket that one comparison takes; larger buckets are split into pairs of blocks.
-BLOCK = 512
+#: Rows of a bucket up to which all of its pairs are compared, together with those of other buckets.
+SMALL = 64
+#: Pairs of fingerprints that are compared one by one; a larger set is linked to so many leaders
+#: and sorted by groups of its bits first.
+DIRECT = 1 << 22
+LEADERS = 4
+#: Fingerprints of one bucket that one task takes; larger buckets are dealt anew by their other bits.
+LARGE = 1 << 18
+ALL = (1 << BITS) - 1
+BUCKETED = "part long, key long, free long, fp long"
 
 
 def _slabs(data: bytes, overlap: int) -> Iterator[list[bytes]]:
@@ -180,114 +188,210 @@ def _allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 
 def signatures(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
-    """``part, key, probe, fp``: each fingerprint under its own bits (probe false) and under all
-    values within the partition's threshold (probe true)."""
+    """``part, key, free, fp``: each fingerprint under its own bits of each partition and under all
+    values within the partition's threshold; ``free`` are the bits of the other partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _unsigned(batch.column(0))
             for part, (bits, most) in enumerate(partitions):
-                mask = np.uint64(sum(1 << b for b in bits))
+                mask = sum(1 << b for b in bits)
+                # Rows that meet by a changed bit may still differ in the partition's own bits.
+                free = np.full(len(fp), ALL if most else ALL & ~mask, np.uint64).view(np.int64)
                 for t in range(most + 1):
                     for flipped in combinations(bits, t):
-                        key = (fp & mask) ^ np.uint64(sum(1 << b for b in flipped))
-                        columns = [np.full(len(fp), part, np.int32), key.view(np.int64), np.full(len(fp), t > 0), fp.view(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "probe", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "part int, key long, probe boolean, fp long")
-
-
-def blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` with ``bi, bj``: a bucket of over ``block`` rows is dealt to pairs of blocks, so that
-    any two of its rows meet in one pair and no task takes more than two blocks."""
-    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    sizes = sizes.select("part", "key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    dealt = rows.join(sizes, ["part", "key"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
-    return (
-        dealt.withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("part", "key", "probe", "fp", "_mine", F.least("_mine", "_other").alias("bi"), F.greatest("_mine", "_other").alias("bj"))
-    )
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each node's component, for n nodes and the links i-j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
+                        key = (fp & np.uint64(mask)) ^ np.uint64(sum(1 << b for b in flipped))
+                        columns = [np.full(len(fp), part, np.int64), key.view(np.int64), free, fp.view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "free", "fp"])
+
+    return fps.select("fp").mapInArrow(run, BUCKETED)
+
+
+def respread(rows: DataFrame, max_distance: int, large: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (``part, key, free, probe, fp``) with buckets of over ``large`` rows dealt anew.
+
+    What a bucket has in common leaves the bits ``free``; two of its rows within ``max_distance``
+    agree in at least one of ``max_distance + 1`` groups of these. So each row goes on under one key
+    for each group: a fixed number of copies, whatever the size of the bucket. That is repeated for
+    what is still too large, with fewer free bits each time, until ``large`` rows can't differ in
+    the bits left. Also returns the written tables that the rows are read from.
+    """
+    done: list[DataFrame] = []
+    made: list[DataFrame] = []
+    for level in range(BITS):
+        rows = written(rows, f"buckets-{level}")
+        sizes = rows.groupBy("part", "key", "free").agg(F.count(F.lit(1)).alias("_n"))
+        over = written(sizes.where((F.col("_n") > large) & (F.bit_count("free") > 0)).select("part", "key", "free"), "large-buckets")
+        made += [rows, over]
+        if over.isEmpty():
+            done.append(rows)
+            break
+        over = broadcast_if_small(over)
+        done.append(rows.join(over, ["part", "key", "free"], "left_anti"))
+        rows = rows.join(over, ["part", "key", "free"], "left_semi").mapInArrow(_subkeys(max_distance, level), BUCKETED)
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out, made
+
+
+def _subkeys(max_distance: int, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, key, free, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            for mask in np.unique(free):
+                at = np.flatnonzero(free == mask)
+                for k, group in enumerate(_split(int(mask) & ALL, max_distance + 1)):
+                    under = (key[at].view(np.uint64) ^ (fp[at].view(np.uint64) & np.uint64(group))) * np.uint64(0x9E3779B97F4A7C15)
+                    under ^= under >> np.uint64(29)
+                    left = np.full(len(at), (int(mask) & ALL) & ~group, np.uint64).view(np.int64)
+                    columns = [part[at] * (max_distance + 2) + k + 1, under.view(np.int64), left, fp[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "free", "fp"])
+
+    return run
+
+
+def _split(mask: int, groups: int) -> list[int]:
+    """The bits of ``mask`` dealt to ``groups`` masks of nearly equal size; empty ones are left out."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    return [sum(1 << b for b in bits[k::groups]) for k in range(min(groups, len(bits)))]
+
+
+class Forest:
+    """Components of nodes 0..n-1 that grow by links; the least node stands for its component."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        root = self.parent[at]
+        while (up := self.parent[root]).size and (up != root).any():
+            root = up
+        self.parent[at] = root
+        return root
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.roots(i), self.roots(j)
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+            np.minimum.at(self.parent, high, low)
+
+
+def within_bucket(fp: np.ndarray, max_distance: int) -> np.ndarray:
+    """For distinct fingerprints: the least index of each one's component over links of ``max_distance`` bits or fewer.
+
+    A set is first linked to a few leaders, which joins a dense group at once. Then only what is
+    outside its largest component needs to be compared with all of it. Where that would be more than
+    ``DIRECT`` pairs, the set is sorted by each of ``max_distance + 1`` groups of bits, in one of which
+    any two within the distance agree; runs that agree are searched in the same way by the other bits.
+    """
+    forest = Forest(len(fp))
+
+    def outside(at: np.ndarray) -> np.ndarray:
+        roots = forest.roots(at)
+        values, counts = np.unique(roots, return_counts=True)
+        return at[roots != values[counts.argmax()]]
+
+    def search(at: np.ndarray, free: int) -> None:
+        rest = outside(at)
+        for k in range(LEADERS):
+            if len(rest) * len(at) <= DIRECT:
+                break
+            leader = rest[_central(fp[rest])] if k == 0 else rest[len(rest) // 2]
+            close = at[np.bitwise_count(fp[at] ^ fp[leader]) <= max_distance]
+            forest.link(np.full(len(close), leader), close)
+            rest = outside(at)
+        if len(rest) * len(at) <= DIRECT:
+            step = max(1, (1 << 20) // len(at))
+            for k in range(0, len(rest), step):
+                i, j = np.nonzero(np.bitwise_count(fp[rest[k : k + step]][:, None] ^ fp[at][None, :]) <= max_distance)
+                forest.link(rest[k + i], at[j])
+            return
+        for group in _split(free, max_distance + 1):
+            masked = fp[at] & np.uint64(group)
+            order = np.argsort(masked, kind="stable")
+            starts = np.flatnonzero(np.append(True, masked[order][1:] != masked[order][:-1]))
+            for s, e in zip(starts, np.append(starts[1:], len(at)), strict=True):
+                if e - s > 1:
+                    search(at[order[s:e]], free & ~group)
+
+    if len(fp):
+        search(np.arange(len(fp)), int(np.bitwise_or.reduce(fp ^ fp[0])))
+    return forest.roots(np.arange(len(fp)))
+
+
+def _central(fp: np.ndarray) -> int:
+    """Which of the fingerprints is nearest to the bits that most of them have."""
+    most = np.packbits(2 * _bits(fp).sum(axis=0, dtype=np.int64) > len(fp), bitorder="little").view(np.uint64)
+    return int(np.bitwise_count(fp ^ most[0]).argmin())
+
+
+def in_small_buckets(fp: np.ndarray, ends: np.ndarray, max_distance: int) -> np.ndarray:
+    """The same for rows of many small buckets at once, one after the other: row i meets row i + k of its bucket, for each k."""
+    forest = Forest(len(fp))
+    last = np.repeat(ends, np.diff(ends, prepend=0))
+    at, k = np.arange(len(fp)), 0
+    while len(at):
+        k += 1
+        at = at[at + k < last[at]]
+        near = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= max_distance]
+        forest.link(near, near + k)
+    return forest.roots(np.arange(len(fp)))
 
 
 def verify(max_distance: int):
     """For rows sorted by bucket: links that join what lies within ``max_distance`` in each bucket.
 
-    Index rows meet index and probe rows. Of the links of a bucket only a spanning forest leaves
-    the task: fewer links than fingerprints, with the same components.
+    Of the links of a bucket only a spanning forest leaves the task: fewer links than fingerprints,
+    with the same components.
     """
 
-    def bucket(fp: np.ndarray, probe: np.ndarray, mine: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray] | None:
-        left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-        near = np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= max_distance
-        if probe.any():
-            near &= ~(probe[left][:, None] & probe[right][None, :])
-        i, j = np.nonzero(near)
-        i, j = left[i], right[j]
-        keep = fp[i] != fp[j]
-        if not keep.any():
-            return None
-        nodes, at = np.unique(fp, return_inverse=True)
-        label = _forest(len(nodes), at[i[keep]], at[j[keep]])
-        linked = label != np.arange(len(nodes))
-        return nodes[linked], nodes[label[linked]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
-        empty = [np.empty(0, np.int32), *[np.empty(0, np.int64)] * 3, np.empty(0, np.int32)]
-
-        def links(columns: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = []
-            part, key, bi, bj, probe, mine, fp = columns
-            starts = np.append(0, ends[:-1])
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                if (out := bucket(fp[s:e], probe[s:e], mine[s:e], bi[s], bj[s])) is not None:
-                    found.append(out)
-            if found:
-                u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        def links(fp: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = np.diff(ends, prepend=0)
+            small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+            kept = sizes[(sizes > 1) & (sizes <= SMALL)]
+            found = [(fp[small], in_small_buckets(fp[small], np.cumsum(kept), max_distance))]
+            for e, n in zip(ends[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+                found.append((fp[e - n : e], within_bucket(fp[e - n : e], max_distance)))
+            for nodes, label in found:
+                linked = nodes != nodes[label]
+                if linked.any():
+                    columns = (nodes[linked].view(np.int64), nodes[label[linked]].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v"])
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            columns[6] = columns[6].astype(np.int64).view(np.uint64)
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             change = np.zeros(max(len(columns[0]) - 1, 0), bool)
-            for c in columns[:4]:
+            for c in columns[:3]:
                 change |= c[1:] != c[:-1]
             ends = np.flatnonzero(change) + 1
+            rest = columns
             if len(ends):
-                yield from links(columns, ends)
+                yield from links(columns[3][: ends[-1]].view(np.uint64), ends)
                 rest = [c[ends[-1] :] for c in columns]
-            else:
-                rest = columns
         if rest is not None and len(rest[0]):
-            yield from links(rest, np.array([len(rest[0])]))
+            yield from links(rest[3].view(np.uint64), np.array([len(rest[3])]))
 
     return run
 
 
-def near_links(fps: DataFrame, *, max_distance: int = 4, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, *, max_distance: int = 4, large: int = LARGE) -> DataFrame:
     """``u, v``: links whose components are those of all pairs of distinct ``fp`` within ``max_distance``."""
     n, both = bit_counts(fps)
-    rows = signatures(fps, plan(n, both, max_distance))
-    dealt = blocks(rows, block).repartition("part", "key", "bi", "bj").sortWithinPartitions("part", "key", "bi", "bj", "probe")
-    return dealt.select("part", "key", "bi", "bj", "probe", "_mine", "fp").mapInArrow(verify(max_distance), "u long, v long").distinct()
+    rows, made = respread(signatures(fps, plan(n, both, max_distance)), max_distance, large)
+    dealt = rows.repartition("part", "key", "free").sortWithinPartitions("part", "key", "free")
+    links = written(dealt.mapInArrow(verify(max_distance), "u long, v long").distinct(), "near-links")
+    discard(*made)
+    return links
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
@@ -295,8 +399,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Fingerprints link at ``max_distance`` differing bits or fewer; ``component_id`` is the smallest
     id reachable over links, the row's own included. Rows of one fingerprint are one node of the
-    search, so copies are never expanded into pairs; buckets are compared in pairs of bounded
-    blocks that each emit a spanning forest, so a large group of near copies stays linear in rows.
+    search, so copies are never expanded into pairs. A bucket is searched in one task and sends a
+    spanning forest; one of over ``LARGE`` fingerprints is dealt anew by its other bits first, at a
+    fixed number of copies a row, so a large group of near copies stays linear in rows shuffled.
 
     Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other;
     null ids don't count for ``component_id`` unless a component has no other; repeated rows and
