@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from fixtures import documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hyperloom.llm import queries
@@ -18,6 +20,21 @@ def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_awkward_rows(spark, sf_dir, name, stage):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns and empty tables."""
+    docs = documents(spark).withColumn("_k1", F.lit("own")).withColumn("_text", F.lit("own"))
+    found = stage(spark, docs, sf_dir)
+    rows = found.collect()
+    assert found.columns == docs.columns and len(rows) <= docs.count()
+    assert {r["_k1"] for r in rows} <= {"own"} and {r["n_words"] for r in rows} <= {"clash"}
+    assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+    if name == "line_dedup":
+        assert len(rows) == docs.count()
+    nothing = stage(spark, docs.where("false"), sf_dir)
+    assert nothing.columns == docs.columns and nothing.collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage keeps a part of its input, changes only texts, and the last rows are run()'s."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,13 +6,18 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-from fixtures import PASSAGE, documents, empty, rows_of
+from fixtures import LONG, PASSAGE, documents, empty, rows_of
+
+from pyspark.sql import functions as F
 
 from hyperloom.llm import substring_dedup
 from hyperloom.llm.decontaminate import contamination, drop_contaminated
-from hyperloom.llm.license_scan import BASE, STATEMENTS, STRIDE, scan
-from hyperloom.llm.substring_dedup import drop_repeats
+from hyperloom.llm.license_scan import BASE, STATEMENTS, STRIDE, Template, scan, template_table
+from hyperloom.llm.license_texts import TEXTS
+from hyperloom.llm.substring_dedup import WordHashes, drop_repeats, pack, rolling
+from hyperloom.plans import tables
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -56,6 +61,51 @@ def test_repeats_at_any_alignment(spark):
     assert {r["n_removed"] for r in drop_repeats(docs).collect()} == {35}
 
 
+@pytest.mark.parametrize("partitions", [4, 211])
+def test_replies_follow_the_places_not_the_partitions(spark, monkeypatch, partitions):
+    made = {}
+    keep = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name: made.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(substring_dedup, "discard", lambda *tables: None)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [(i, " ".join([*(f"a{i}_{k}" for k in range(30)), *(f"s{k}" for k in range(60))])) for i in range(400)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+        assert {r["n_removed"] for r in drop_repeats(docs).collect()} == {60}
+        for name in ("anchor-hits", "repeats"):
+            places = made[f"{name}-places"]
+            assert 0 < places.count() <= substring_dedup.LEAST_BUCKETS
+            dealt = places.mapInArrow(substring_dedup.deal(1 + (name == "repeats"), substring_dedup.LEAST_BUCKETS), f"bucket int, {substring_dedup.PLACES}")
+            assert dealt.count() <= substring_dedup.LEAST_BUCKETS**2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_known_places_of_equal_beginnings_spread():
+    """Slabs of documents that all begin alike send their known places to different buckets."""
+    rng = np.random.default_rng(7)
+    head = [b"h%d" % k for k in range(60)]
+    into = set()
+    for slab in range(40):
+        hashes = WordHashes()
+        words = [hashes.of(head + [b"w%d_%d_%d" % (slab, d, k) for k in range(20)]) for d in range(5)]
+        keys = rng.integers(-(2**62), 2**62, (5, 1))
+        counts = np.full(5, 80 - 18 + 1)
+        doc, pos = np.repeat(np.arange(5), counts), np.tile(np.arange(63), 5)
+        lane = rolling(np.concatenate(words), doc * 80 + pos, 18)
+        packed = list(pack(keys, doc, pos, [lane], pos % 18 == 0, 422, [4]))
+        into |= {r["bucket"] for r in packed if r["known"]}
+    assert len(into) > 30
+
+
+def test_lanes_have_word_hashes_of_their_own():
+    """Words that agree in one hash still differ in the other, and so do their windows."""
+    hashes = np.array([[1, 1], [2, 2], [1, 3], [2, 4]], np.uint64)
+    one, other = (rolling(hashes, np.array([0, 2]), 2, lane) for lane in (0, 1))
+    assert one[0] == one[1] and other[0] != other[1]
+
+
 ITEMS = [
     (1, " ".join(PASSAGE.split()[:13])),
     (2, " ".join(PASSAGE.split()[5:40])),
@@ -102,6 +152,24 @@ def test_contamination(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, clean))
 
 
+def test_contamination_of_a_long_document(spark):
+    """A document that is an item as a whole, every word of it hit; work is linear in its words."""
+    text = " ".join(f"w{i * 7919 % 60_013}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, text), (2, "of it"), (3, "w0 w7919 w15838")], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in contamination(docs, items).collect()}
+    assert found == {1: (60_000, 2, True), 2: (2, 1, True)}
+
+
+def test_broadcasts_are_measured(spark, monkeypatch):
+    """Nothing is broadcast by hint where no byte may be, and results stay the same."""
+    docs, items = documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
+    wanted = rows_of(contamination(docs, items))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(F, "broadcast", lambda df: pytest.fail("broadcast"))
+    assert rows_of(contamination(docs, items)) == wanted
+
+
 def test_contamination_of_nothing(spark):
     docs, benchmark = documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(empty(spark), benchmark).collect() == []
@@ -109,18 +177,19 @@ def test_contamination_of_nothing(spark):
     assert clean.count() == docs.count() and clean.where("contaminated OR n_hit > 0 OR n_items > 0").count() == 0
 
 
-def brute_scan(docs: list[tuple]) -> list[tuple]:
-    templates = BASE + STATEMENTS
-    length = STRIDE + max(len(t.words) for t in templates) - 1
+def brute_scan(docs: list[tuple], templates: tuple[Template, ...] = BASE + STATEMENTS, stride: int = STRIDE) -> list[tuple]:
+    longest: dict[int, int] = {}
+    for t in templates:
+        longest[t.stride(stride)] = max(len(t.words), longest.get(t.stride(stride), 0))
     out = []
     for i, text in docs:
         w = words_of(text)
-        places = [(p, t.label) for t in BASE for p in range(len(w)) if w[p : p + len(t.words)] == t.words]
+        places = [(p, t.label) for t in templates if t.consecutive for p in range(len(w)) if w[p : p + len(t.words)] == t.words]
         labels, score = {label for _, label in places}, 1.0 if places else 0.0
-        for t in STATEMENTS:
-            whole = set(t.words)
-            for b in range(0, len(w), STRIDE):
-                n = len(whole & set(w[b : b + length]))
+        for t in templates:
+            whole, step = set(t.words), t.stride(stride)
+            for b in range(0, 0 if t.consecutive else len(w), step):
+                n = len(whole & set(w[b : b + step + longest[step] - 1]))
                 if n >= t.needed:
                     labels.add(t.label)
                     score = max(score, n / len(whole))
@@ -129,8 +198,9 @@ def brute_scan(docs: list[tuple]) -> list[tuple]:
     return out
 
 
-def test_licenses(spark):
+def licensed(spark):
     filler = " ".join(f"f{i}" for i in range(29))
+    text = dict(TEXTS)
     more = [
         (200, f"{filler} under the MIT license {filler} under the mit license"),
         (201, f"{filler} x under the apache license, version 2.0"),
@@ -138,11 +208,42 @@ def test_licenses(spark):
         (203, "Permission is granted, free of charge, to any person obtaining a copy of this software"),
         (204, "cc by nc cc by nc"),
         (205, "rights all reserved, license mit the under"),
+        (206, f"{filler} {text['mit']} {filler}"),
+        (207, f"{filler} {filler} {text['bsd']}".replace("holder", "owner").replace("disclaimer", "notice")),
+        (208, f"{LONG} {text['zlib']} {LONG} {text['gpl-3']}"),
+        (209, " ".join(text["isc"].split()[:60])),
     ]
     docs = documents(spark).select("doc_id", "text", "labels", "n_words", "score", "b", "w")
-    docs = docs.union(spark.createDataFrame([(i, t, *"abcde") for i, t in more], docs.schema))
-    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert rows_of(scan(docs)) == sorted(brute_scan(plain), key=str)
-    assert scan(empty(spark)).collect() == []
-    with pytest.raises(ValueError, match="words each"):
-        scan(docs, BASE, stride=2)
+    return docs.union(spark.createDataFrame([(i, t, *"abcde") for i, t in more], docs.schema))
+
+
+@pytest.mark.parametrize("literals", [5_000, 0])
+def test_licenses(spark, literals):
+    """The same whether prefix words are literals or a table that is joined."""
+    docs = licensed(spark)
+    wanted = sorted(brute_scan([(r["doc_id"], r["text"]) for r in docs.collect()]), key=str)
+    assert rows_of(scan(docs, literals=literals)) == wanted
+    found = {r[0]: r[6].split(",") for r in wanted}
+    assert "mit" in found[206] and "bsd" in found[207] and {"zlib", "gpl-3"} <= set(found[208]) and "isc" not in found[209]
+    assert scan(empty(spark), literals=literals).collect() == []
+
+
+@pytest.mark.parametrize("literals", [5_000, 100])
+def test_templates_of_any_length_and_number(spark, literals):
+    """A template of 500 words is found, and thousands of distinct template words are no limit."""
+    many = tuple(Template(f"t{k:03}", " ".join(f"v{k}x{i}" for i in range(20))) for k in range(200))
+    long = Template("long", " ".join(f"w{i}" for i in range(500)))
+    templates = (*many, long, Template("phrase", " ".join(f"q{i}" for i in range(40)), 1.0, True), Template("nothing", " - "))
+    rows = [
+        (1, " ".join([*(f"x{i}" for i in range(77)), *(f"w{i}" for i in range(500) if i % 6)])),
+        (2, " ".join(f"v7x{i}" for i in range(18))),
+        (3, " ".join(f"v7x{i}" for i in range(15))),
+        (4, " ".join(["a", *(f"q{i}" for i in range(40)), "b", *(f"q{i}" for i in range(40))])),
+        (5, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(brute_scan(rows, templates[:-1], 8), key=str)
+    assert rows_of(scan(docs, templates, stride=8, literals=literals)) == wanted
+    assert {r[0]: r[6] for r in wanted} == {1: "long", 2: "t007", 3: "", 4: "phrase", 5: ""}
+    none = scan(docs, template_table(spark, templates).where("false")).collect()
+    assert len(none) == 5 and {r["labels"] for r in none} == {""}

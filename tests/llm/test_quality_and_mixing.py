@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,55 @@ def test_rules_as_columns(spark):
     assert found == {k: pytest.approx(1 / (1 + math.exp(-v))) for k, v in wanted.items()}
 
 
+def plain_statistics(text: str) -> dict[str, float]:
+    """The statistics once more, one by one from the characters of the bytes."""
+    data = text.encode()
+    chars = [chr(b) for b in data]
+    words = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", "".join(chars)) if w]
+    lines, n, k = "".join(chars).split("\n"), len(chars) or 1, len(words) or 1
+    share = lambda test: sum(map(test, chars)) / n
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    entropy = 0.0
+    for c in set(chars):
+        p = chars.count(c) / len(chars)
+        entropy -= p * math.log2(p)
+    return {
+        "n_bytes": len(data),
+        "n_words": len(words),
+        "mean_word": len("".join(words)) / k,
+        "upper_share": share(lambda c: "A" <= c <= "Z"),
+        "digit_share": share(lambda c: "0" <= c <= "9"),
+        "symbol_share": share(lambda c: c in "#$%&*<>{}[]\\^_~=+@"),
+        "bang_share": share(lambda c: c in "!?"),
+        "bar_share": share(lambda c: c == "|"),
+        "stop_share": share(lambda c: c in ".,;:"),
+        "newline_share": share(lambda c: c == "\n"),
+        "high_share": share(lambda c: ord(c) > 127),
+        "byte_entropy": entropy,
+        "unique_words": len(set(words)) / k,
+        "top_word": max((words.count(w) for w in set(words)), default=0) / k,
+        "same_next": sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / k,
+        "repeated_threes": (len(threes) - len(set(threes))) / len(threes) if threes else 0.0,
+        "odd_ends": sum(w[-1] in "#$%&*!|" for w in words) / k,
+        "short_words": sum(len(w) <= 3 for w in words) / k,
+        "repeated_lines": (len(lines) - len(set(lines))) / len(lines),
+    }
+
+
+def test_statistics_and_scores_once_more(spark, tables):
+    """Statistics and the fitted score of whole texts, from Spark and from plain Python."""
+    real, labels = tables
+    model = quality.fit(real, labels, max_rows=1000)
+    docs = documents(spark).select("doc_id", "text").union(real.where("doc_id < 40").select("doc_id", "text"))
+    found = quality.with_statistics(docs.withColumn("_copy", F.col("text")), text_col="_copy").withColumn("_score", model.score)
+    for row in found.collect():
+        wanted = plain_statistics(row["text"] or "")
+        assert {s: row[f"_s_{s}"] for s in quality.STATISTICS} == {s: pytest.approx(v, abs=1e-9) for s, v in wanted.items()}
+        held = lambda rule: all((row[f"_s_{s}"] > t) == above for s, above, t in rule.conditions)  # noqa: B023, E731
+        total = model.intercept + sum(r.weight for r in model.rules if held(r))
+        assert row["_score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_few_labels(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -105,6 +155,17 @@ def test_a_rare_cell_does_not_shrink_the_sample(spark):
     assert 5000 in kept and len(kept) == pytest.approx(500, abs=75)
 
 
+def test_tiny_probabilities_keep_their_chance(spark):
+    """A cell that is to get 1e-12 of what the rarest gets has this probability, not zero, and a draw can be as small."""
+    tokens = [("hot", 10**15), ("cold", 1000)]
+    rows = spark.createDataFrame([(s, "", "", n) for s, n in tokens], "source string, lang string, topic string, n_tokens long")
+    found = {r["source"]: r["probability"] for r in mixing.calibrate(rows, targets={"source": {"hot": 0.5, "cold": 0.5}}).cells.collect()}
+    assert found["cold"] == 1.0 and found["hot"] == pytest.approx(1e-12, rel=1e-6)
+    draws = spark.range(20_000).select(mixing.draw(F.col("id"), 1).alias("d"))
+    assert draws.where("d * pow(2D, 32) <> floor(d * pow(2D, 32))").count() > 19_000
+    assert draws.where("d < 0 OR d >= 1").count() == 0 and draws.agg(F.avg("d")).first()[0] == pytest.approx(0.5, abs=0.02)
+
+
 @pytest.mark.parametrize("budget", [0.01, 0.3, 0.9, 1.0])
 def test_budget(spark, tables, budget):
     """Expected tokens are the budget, and unsaturated cells keep the ratios of the fit."""
