@@ -2,7 +2,7 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame with the columns of ``documents``. ``run``
 writes each stage's rows to the shared folder and reads them again as the next one's input, so a
-lost executor costs one stage at most.
+lost executor costs one stage at most; a stage's rows are deleted once the next one has its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.llm import decontaminate, line_dedup, mixing, quality, simhash
-from hyperloom.llm.common import written
+from hyperloom.llm.common import discard, written
 from hyperloom.sources import table
 
 #: The share of the clean documents' tokens that the mixing stage keeps.
@@ -63,7 +63,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that all stages leave of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
