@@ -10,31 +10,36 @@ import numpy as np
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 
 
-def _digits(prefix: str, name: str, blocks: int) -> np.ndarray:
-    """Hexadecimal digits of the digests of blocks 0, 1, ...: 32 each."""
-    head = f"{prefix}{name}|"
-    raw = b"".join(hashlib.md5(f"{head}{b}".encode()).digest() for b in range(blocks))
+def _digits(prefix: str, names: list[str], blocks: int) -> np.ndarray:
+    """For each name the hexadecimal digits of the digests of blocks 0, 1, ...: 32 each."""
+    raw = b"".join(hashlib.md5(f"{prefix}{name}|{b}".encode()).digest() for name in names for b in range(blocks))
     data = np.frombuffer(raw, np.uint8)
-    return np.stack([data >> 4, data & 15], axis=1).reshape(-1)
+    return np.stack([data >> 4, data & 15], axis=1).reshape(len(names), 32 * blocks)
 
 
-def bits(prefix: str, name: str, size: int) -> np.ndarray:
-    digits = _digits(prefix, name, -(-size // 128))
-    return ((digits[:, None] >> np.arange(4, dtype=np.uint8)) & 1).reshape(-1)[:size]
+def bits(prefix: str, names: list[str], size: int) -> np.ndarray:
+    """A row of ``size`` bits for each name."""
+    digits = _digits(prefix, names, -(-size // 128))
+    return ((digits[:, :, None] >> np.arange(4, dtype=np.uint8)) & 1).reshape(len(names), -1)[:, :size]
 
 
 def symbol(arch: Architecture, name: str, size: int) -> np.ndarray:
     """The vector of ``name``: the same as ``functions.symbols`` gives."""
     if not arch.real:
-        found = bits(arch.key, name, size).astype(np.int8)
+        found = bits(arch.key, [name], size)[0].astype(np.int8)
         return found if arch.kind == BSC else (2 * found - 1).astype(np.int8)
-    digits = _digits(arch.key, name, -(-size // 4)).reshape(-1, 8).astype(np.int64)
+    digits = _digits(arch.key, [name], -(-size // 4)).reshape(-1, 8).astype(np.int64)
     values = (digits << (4 * np.arange(7, -1, -1))).sum(axis=1)[:size]
     return normalize(arch.kind, values * 2.0**-31 - 1.0)
 
 
 def tie(arch: Architecture, size: int, *keys: object) -> np.ndarray:
-    return bits(arch.key, "|".join(["tie", *map(str, keys)]), size).astype(np.int8)
+    return ties(arch, size, [keys])[0]
+
+
+def ties(arch: Architecture, size: int, keys: list[tuple]) -> np.ndarray:
+    """A row of tie bits for each of ``keys``."""
+    return bits(arch.key, ["|".join(["tie", *map(str, k)]) for k in keys], size).astype(np.int8)
 
 
 def zero_dtype(kind: str) -> type:

@@ -115,9 +115,10 @@ class RowKernel:
         valid = np.zeros(n, bool)
         for k, (vec, there) in enumerate(terms):
             if self.arch.kind == BSC:
-                for i in np.flatnonzero(there & valid):
-                    differ = acc[i] != vec[i]
-                    acc[i][differ] = kernels.tie(self.arch, self.size, "cell", ordinals[i], k)[differ]
+                both = np.flatnonzero(there & valid)
+                if len(both):
+                    drawn = kernels.ties(self.arch, self.size, [("cell", ordinals[i], k) for i in both])
+                    acc[both] = np.where(acc[both] == vec[both], acc[both], drawn)
                 fresh = there & ~valid
                 acc[fresh] = vec[fresh]
             else:

@@ -22,7 +22,7 @@ from hyperloom.architectures import BSC, HRR, MAP, VTB, ColumnNotFoundError, Col
 from hyperloom.functions import kernels
 from hyperloom.operators.codebook import Codebook, categories_of
 from hyperloom.operators.rows import ByColumn, ByPosition, Encoding, RowKernel, encoding_of
-from hyperloom.plans.tables import broadcast_if_small, written
+from hyperloom.plans.tables import BROADCAST_BYTES, broadcast_if_small, written
 
 #: Last rows that a BSC bundle looks at first. Where their order values differ, a dimension is open after
 #: them with probability 2^-256; what is open is decided by all rows.
@@ -138,24 +138,51 @@ class Subset:
     def _rows(self, kernel: RowKernel) -> DataFrame:
         df, n = self.df, len(self.columns)
         draws = self.codebook.arch.kind == BSC and kernel.op != "bind"
+        if not draws and (few := self._few_tuples()) is not None:
+            return self._rows_by_tuple(few, kernel)
         ordinal = self._ordinal.cast("string") if draws else F.lit("")
         others = [F.col(f"`{c}`") for c in df.columns]
         rows = df.select(*others, *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)], ordinal.alias("_o"))
-        element = self._element(kernel)
-        size, keep, names = self.codebook.size, len(df.columns), [*df.columns, "vector"]
+        return self._vectors(rows, df, n, kernel, [*df.columns, "vector"])
+
+    def _vectors(self, rows: DataFrame, kept: DataFrame, n: int, kernel: RowKernel, names: list[str]) -> DataFrame:
+        """The columns ``kept``, which come first in ``rows``, with the vector of the ``n`` cells before the order (its last columns)."""
+        element, size, keep = self._element(kernel), self.codebook.size, len(kept.columns)
+        first = len(rows.columns) - n - 1
         np_type = {T.DoubleType(): np.float64, T.ByteType(): np.int8}.get(element, np.int64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(0, batch.num_rows, kernel.step):
                     part = batch.slice(k, kernel.step)
-                    acc, valid = kernel([part.column(keep + i).to_pylist() for i in range(n)], part.column(keep + n).to_pylist())
+                    acc, valid = kernel([part.column(first + i).to_pylist() for i in range(n)], part.column(first + n).to_pylist())
                     counts = np.append(0, np.cumsum(valid)).astype(np.int32) * size
                     flat = pa.array(acc[valid].astype(np_type).ravel())
                     vec = pa.ListArray.from_arrays(pa.array(counts), flat, mask=pa.array(~valid))
                     yield pa.RecordBatch.from_arrays([*part.columns[:keep], vec], names)
 
-        return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(element))]))
+        return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("vector", T.ArrayType(element))]))
+
+    def _few_tuples(self) -> DataFrame | None:
+        """The distinct tuples of cells if their vectors may be broadcast. An estimate, made in one scan without
+        a shuffle of rows, comes first; the table that is returned is written and counted."""
+        named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
+        rows = self.df.select(*named)
+        most = BROADCAST_BYTES // (self.codebook.size * 8)
+        if rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns))).first()[0] > most:
+            return None
+        tuples = written(rows.distinct(), "tuples")
+        return tuples if tuples.count() <= most else None
+
+    def _rows_by_tuple(self, tuples: DataFrame, kernel: RowKernel) -> DataFrame:
+        """Vectors of distinct tuples, joined with the rows: no vector is made twice, nor sent to Python and back."""
+        n, names = len(self.columns), [*tuples.columns, "vector"]
+        vectors = self._vectors(tuples.select("*", F.lit("").alias("_o")), tuples, n, kernel, names)
+        same = F.lit(True)
+        for k, c in enumerate(self.columns):
+            same = same & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r._c{k}"))
+        joined = self.df.alias("l").join(F.broadcast(vectors).alias("r"), same)
+        return joined.select(*[F.col(f"l.`{c}`") for c in self.df.columns], F.col("r.vector").alias("vector"))
 
     def _cell_sums(self, kernel: RowKernel) -> DataFrame:
         """Sums over cells: one vector for each distinct cell, times how often it occurs."""
