@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 
 from hyperloom.architectures import Architecture, InvalidDataTypeError
 from hyperloom.functions import kernels
-from hyperloom.functions.algebra import VectorAlgebra
+from hyperloom.functions.algebra import ColumnVectorAlgebra, VectorAlgebra
 from hyperloom.plans.expression import Expression, UnknownValueError
-from hyperloom.plans.tables import numbered
+from hyperloom.plans.tables import numbered, written
 
 SCHEMA = "idx long, name string"
+#: Extensions of a codebook after which its names are written, so that its plan stays short.
+MOST_UNIONS = 16
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,7 @@ class Codebook:
 
     ``columns`` maps known columns to their categories, or to None for plain strings. ``origins``
     (``column, name``) says which plain columns a value stood in; it is read only where asked for.
+    ``depth`` counts extensions since ``names`` was last written.
     """
 
     arch: Architecture
@@ -68,6 +71,7 @@ class Codebook:
     names: DataFrame
     columns: Mapping[str, tuple[str, ...] | None] = field(default_factory=dict)
     origins: DataFrame | None = None
+    depth: int = 0
 
     @staticmethod
     def empty(spark: SparkSession, arch: Architecture, size: int) -> Codebook:
@@ -119,7 +123,10 @@ class Codebook:
         top = self.names.agg(F.max("idx")).first()[0]
         start = 0 if top is None else top + 1
         more = self.names.sparkSession.createDataFrame([(start + i, n) for i, n in enumerate(new)], SCHEMA)
-        return Codebook(self.arch, self.size, self.names.union(more), self.columns, self.origins)
+        names, depth = self.names.union(more), self.depth + 1
+        if depth == MOST_UNIONS:
+            names, depth = written(names, "names"), 0
+        return Codebook(self.arch, self.size, names, self.columns, self.origins, depth)
 
     def push(self, name: str) -> Codebook:
         return self.extend([name])
@@ -245,6 +252,33 @@ class Codebook:
         found = self.similarities(self.execute(text), list(dict.fromkeys(names))).select("name", "similarity")
         return asked.join(found, "name", "left").select("pos", "name", "similarity")
 
+    def evaluate(self, expression: Expression | str) -> DataFrame:
+        """The same as ``execute`` as a table of one row, ``vec``.
+
+        One row holds the vectors of the names that the expression has. BSC and MAP evaluate it as an
+        expression of Columns, HRR and VTB in NumPy within that row's task.
+        """
+        expression = Expression.parse(expression) if isinstance(expression, str) else expression
+        wanted = list(dict.fromkeys(expression.names()))
+        vectors = self.vectors(self.names.where(F.col("name").isin(wanted)).select("name"))
+        row = vectors.agg(*[F.max_by("vec", F.when(F.col("name") == n, 1)).alias(f"_{i}") for i, n in enumerate(wanted)])
+        there = row.select(*[F.col(f"_{i}").isNotNull() for i in range(len(wanted))]).first()
+        for name, known in zip(wanted, there, strict=True):
+            if not known:
+                raise UnknownValueError(name)
+        if self.arch.real:
+            arch, size = self.arch, self.size
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for vectors in batch.to_pylist():
+                        made = expression.evaluate({n: np.array(vectors[f"_{i}"]) for i, n in enumerate(wanted)}.get, VectorAlgebra(arch, size))
+                        yield pa.RecordBatch.from_pydict({"vec": [made]})
+
+            return row.mapInArrow(run, "vec array<double>")
+        columns = {n: F.col(f"_{i}") for i, n in enumerate(wanted)}
+        return row.select(expression.column(columns, ColumnVectorAlgebra(self.arch, self.size)).alias("vec"))
+
     def execute(self, expression: Expression | str) -> np.ndarray:
         """The vector of an expression over symbols; an unknown name raises UnknownValueError first."""
         expression = Expression.parse(expression) if isinstance(expression, str) else expression

@@ -438,8 +438,7 @@ def _norm(value: str) -> str:
 def _expression_query(name: str, text: str, value: str) -> None:
     @register(name, f"WITH {DIMS} SELECT j::int AS dim, ({value})::bigint AS value FROM j")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vec = _book(spark, sf_dir).execute(text)
-        return spark.createDataFrame(list(enumerate(vec.tolist())), "dim int, value long")
+        return exploded(_book(spark, sf_dir).evaluate(text))
 
 
 _expression_query("expr_execute_map", "F * o_orderstatus + O + P", _norm(f"{_S['F']} * {_S['o_orderstatus']} + {_S['O']} + {_S['P']}"))
@@ -798,6 +797,36 @@ _JOURNEY_TEXT = f"({' + '.join(f'{name} ^ {k}' for k, name in enumerate(JOURNEY)
 _nearest_query("sequence_recall_map", MAP, JOURNEY, _JOURNEY_TEXT, _nearest_sql(JOURNEY, _journey(lambda t, k: _majority(t))))
 
 
+# More elements than one block of a symbol's digests holds
+
+
+BLOCKS = 400
+_WIDE = f"j AS (SELECT unnest(generate_series(0, {BLOCKS - 1})) AS j)"
+
+
+@register("codebook_map_blocks", f"WITH {_WIDE} SELECT n_name AS name, j::int AS dim, {_sign('n_name')}::bigint AS value FROM nation, j")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select("n_name")
+    return exploded(Codebook.from_dataframe(arch(MAP), BLOCKS, names).vectors().where("name <> 'n_name'"), "name")
+
+
+@register("symbols_native_blocks", f"WITH {_WIDE} SELECT n_name AS name, j::int AS dim, ({_bit('n_name')})::bigint AS value FROM nation, j")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digests by Spark's own functions."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return exploded(names.select("name", symbols.symbol(arch(BSC), F.col("name"), BLOCKS).alias("vec")), "name")
+
+
+@register("bundle_dataset_map_blocks", f"WITH {_WIDE}, {_ITEM_CELLS} SELECT j::int AS dim, sum(n * {_sign('c')} * {_sign('v')})::bigint AS value FROM cells, j GROUP BY j")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole(folds(items(spark, sf_dir), MAP, BLOCKS).bundle_dataset(rows_normalized=False, normalized=False))
+
+
+@register("bundle_dataset_bsc_blocks", _last_writer_sql(_ROW_BSC).replace(DIMS, _WIDE))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole(folds(orders(spark, sf_dir, nulls=True, key=True), BSC, BLOCKS, order_by="o_orderkey").bundle_dataset())
+
+
 # Through the interactive classes
 
 

@@ -233,6 +233,26 @@ def test_long_products_stay_in_range(spark, kind):
     assert np.isfinite(found).all() and np.linalg.norm(found) > 0
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_expressions_as_columns(spark, kind):
+    """The same vector from Column expressions over the codebook as from NumPy on the driver."""
+    book = Codebook.empty(spark, Architecture(kind), 16).extend(["a", "b", "c"])
+    for text in ("a", "a * b ^ 2 + c", "(a + b + c) * b + a ^ 3"):
+        (row,) = book.evaluate(text).collect()
+        np.testing.assert_allclose(row["vec"], book.execute(text), atol=1e-9)
+    with pytest.raises(UnknownValueError, match="x"):
+        book.evaluate("a + x")
+
+
+def test_many_pushes(spark):
+    """The plan of the names stays short however often a codebook is extended."""
+    book = Codebook.empty(spark, Architecture("map"), 8)
+    for i in range(20):
+        book = book.push(f"n{i}")
+    assert [r["name"] for r in book.names.orderBy("idx").collect()] == [f"n{i}" for i in range(20)]
+    assert book.names._jdf.queryExecution().analyzed().toString().count("Union") <= 16
+
+
 def test_column_scope(spark):
     df = spark.createDataFrame([("a", "b"), ("c", "a"), (None, "d")], "x string, y string")
     book = Codebook.from_dataframe(Architecture("map"), 8, df)
