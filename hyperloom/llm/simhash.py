@@ -27,6 +27,8 @@ DIRECT = 1 << 22
 LEADERS = 4
 #: Fingerprints of one bucket that one task takes; larger buckets are dealt anew by their other bits.
 LARGE = 1 << 18
+#: Rows of one fingerprint that are not shuffled to find their component: at most one fingerprint for so many rows.
+HOT_ROWS = 100_000
 ALL = (1 << BITS) - 1
 BUCKETED = "part long, key long, free long, fp long"
 
@@ -415,12 +417,21 @@ def _components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, also: tuple[str, ...] = ()
 ) -> DataFrame:
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, also=also), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "fingerprint-nodes")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows")), "fingerprint-nodes")
     parts = connected_components(near_links(nodes, max_distance=max_distance))
-    labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_label"))
+    labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "_first", "_rows", F.coalesce("component", "fp").alias("_label"))
     lowest = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
-    named = labelled.join(lowest, "_label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", *also, "fp", "component_id")
+    named = written(labelled.join(lowest, "_label").select("fp", "component_id", "_rows"), "components")
+    discard(nodes)
+    # Fingerprints of many rows, empty texts for one, are few: their rows need not meet in a shuffle.
+    hot = named.where(F.col("_rows") > HOT_ROWS).drop("_rows")
+    if hot.isEmpty():
+        found = marked.join(named.drop("_rows"), "fp")
+    else:
+        hot = broadcast_if_small(hot)
+        cold = named.where(F.col("_rows") <= HOT_ROWS).drop("_rows")
+        found = marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(cold, "fp"))
+    return found.select("doc_id", *also, "fp", "component_id")
 
 
 @passes_columns

@@ -54,7 +54,9 @@ def test_against_all_pairs(spark):
     check(simhash.simhash_components(docs).collect(), {r["doc_id"]: r["text"] for r in docs.collect()})
 
 
-def test_awkward_rows(spark):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_awkward_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     docs = documents(spark)
     found = simhash.simhash_components(docs).collect()
     assert len(found) == docs.count()
