@@ -26,6 +26,59 @@ def _around(n: Column, length: int, reach: int):
     return lambda p: F.sequence(F.least(F.greatest(p - (length - reach), low), high), F.greatest(F.least(p, high), low))
 
 
+def _hashed(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _lesser(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _paired(rows: DataFrame, left: str, right: str, ahead: int, combine, out: str) -> DataFrame:
+    """``rows`` with ``out``: each element of the array ``left`` combined with that of ``right`` so many places ahead."""
+    n = F.greatest(F.least(F.size(left), F.size(right) - ahead), F.lit(0))
+    return rows.withColumn(out, F.zip_with(F.slice(left, 1, n), F.slice(right, ahead + 1, n), combine))
+
+
+def with_grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` (with ``_words``) plus ``_gram<n>`` for each n: hashes of all runs of n words, in order.
+
+    The hash of a run is made of those of its parts of 1, 2, 4, ... words, which overlapping runs share.
+    Explode these columns with an outer function: for others Spark adds a filter on their size, into
+    which it copies the chain of columns over and over.
+    """
+    rows = rows.withColumn("_gram1", F.transform("_words", lambda w: F.xxhash64(w)))
+    made = {1}
+    for size in sorted(sizes):
+        done = 0
+        for bit in (1 << k for k in range(size.bit_length())):
+            if bit not in made:
+                half = bit // 2
+                rows = _paired(rows, f"_gram{half}", f"_gram{half}", half, _hashed, f"_gram{bit}")
+                made.add(bit)
+            if size & bit:
+                if done and done + bit not in made:
+                    rows = _paired(rows, f"_gram{done}", f"_gram{bit}", done, _hashed, f"_gram{done + bit}")
+                    made.add(done + bit)
+                done += bit
+    return rows.drop(*[f"_gram{n}" for n in made if n not in sizes])
+
+
+def _sliding_least(rows: DataFrame, column: str, span: int) -> DataFrame:
+    """``rows`` with ``column`` replaced by the least of each ``span`` consecutive elements."""
+    width = 1
+    while width < span:
+        ahead = min(width, span - width)
+        rows = _paired(rows, column, column, ahead, _lesser, "_least").drop(column).withColumnRenamed("_least", column)
+        width += ahead
+    return rows
+
+
+def _of_length(length: int):
+    """A gram's hash as the mark of a short item of ``length`` words."""
+    return lambda gram: F.xxhash64(F.lit(length), gram)
+
+
 def with_fingerprints(rows: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
     """``rows`` (with ``_words``) plus ``_marks``: distinct winnowed fingerprints and short-item grams.
 
@@ -33,13 +86,16 @@ def with_fingerprints(rows: DataFrame, window: int, gram: int, short: list[int])
     share ``window`` words share a fingerprint. Each of the lengths ``short`` adds all grams of that
     length, hashed together with it.
     """
-    span = window - gram + 1
-    hashed = rows.withColumn("_grams", F.coalesce(_grams("_words", gram, F.xxhash64), F.array().cast("array<bigint>")))
-    least = F.array_distinct(F.coalesce(_grams("_grams", span, F.array_min), F.array().cast("array<bigint>")))
+    marked = with_grams(rows, [gram, *short])
+    if gram in short:
+        marked = marked.withColumn("_chosen", F.col(f"_gram{gram}"))
+    else:
+        marked = marked.withColumnRenamed(f"_gram{gram}", "_chosen")
+    marked = _sliding_least(marked, "_chosen", window - gram + 1)
+    marks = F.array_distinct("_chosen")
     for length in short:
-        more = _grams("_words", length, lambda w, n=length: F.xxhash64(F.lit(n), w))
-        least = F.array_union(least, F.coalesce(more, F.array().cast("array<bigint>")))
-    return hashed.withColumn("_marks", least).drop("_grams")
+        marks = F.array_union(marks, F.transform(f"_gram{length}", _of_length(length)))
+    return marked.withColumn("_marks", marks).drop("_chosen", *[f"_gram{n}" for n in short])
 
 
 def contamination(
@@ -79,10 +135,13 @@ def contamination(
         _grams("_words", window, lambda w: F.array_join(w, " "))
     )
     windows = written(items.select("_item", F.size("_words").alias("_n"), F.explode(F.array_distinct(pieces)).alias("_window")), "windows")
-    marks = with_fingerprints(items.withColumn("_n", F.size("_words")), window, gram, short)
+    sized = items.withColumn("_n", F.size("_words"))
+    marks = with_fingerprints(sized.where(F.col("_n") >= window), window, gram, []).select(F.lit(window).alias("_length"), F.explode_outer("_marks").alias("_mark"))
     # A short item is found by its own length alone, not by the shorter grams within it.
-    own = F.when(F.col("_n") >= window, F.col("_marks")).otherwise(F.array(F.xxhash64("_n", "_words")))
-    marks = written(marks.select(F.least("_n", F.lit(window)).alias("_length"), F.explode(own).alias("_mark")).distinct(), "marks")
+    for length in short:
+        own = with_grams(sized.where(F.col("_n") == length), [length]).select(F.lit(length), F.explode_outer(F.transform(f"_gram{length}", _of_length(length))))
+        marks = marks.union(own)
+    marks = written(marks.distinct().where("_mark IS NOT NULL"), "marks")
     known = broadcast_if_small(marks.select("_mark").distinct())
 
     key = row_key(F.col(id_col), F.col(text_col))
@@ -97,8 +156,8 @@ def contamination(
     starts = None
     for length in [*short, window]:
         reach = gram if length == window else length
-        hashed = F.xxhash64 if length == window else (lambda w, n=length: F.xxhash64(F.lit(n), w))
-        there = again.select("_k1", "_k2", F.size("_words").alias("_n"), F.posexplode(_grams("_words", reach, hashed)).alias("_at", "_mark"))
+        grams = F.col(f"_gram{reach}") if length == window else F.transform(f"_gram{reach}", _of_length(length))
+        there = with_grams(again, [reach]).select("_k1", "_k2", F.size("_words").alias("_n"), F.posexplode_outer(grams).alias("_at", "_mark"))
         met = there.join(broadcast_if_small(marks.where(F.col("_length") == length).select("_mark")), "_mark", "left_semi").where(F.col("_n") >= length)
         met = met.select("_k1", "_k2", F.explode(_around(F.col("_n"), length, reach)(F.col("_at"))).alias("_start"))
         met = met.groupBy("_k1", "_k2").agg(F.collect_set("_start").alias("_starts")).withColumn("_length", F.lit(length))
