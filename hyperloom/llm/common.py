@@ -55,11 +55,3 @@ def passes_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFram
 def hash128(value: Column) -> Column:
     """Two independently seeded 64-bit hashes of ``value``."""
     return F.struct(F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))
-
-#: Rows of a key-like table that may be broadcast.
-BROADCAST_ROWS = 2_000_000
-
-
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` stay under the bound, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
