@@ -8,14 +8,19 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.plans.tables import broadcast_if_small, discard, scratch_path, shared_folder, size_in_bytes, written
+from hyperloom.plans.tables import BROADCAST_BYTES, broadcast_if_small, discard, scratch_path, shared_folder, size_in_bytes, written
 
-__all__ = ["broadcast_if_small", "discard", "hash128", "lower_ascii", "passes_columns", "row_key", "scratch_path", "shared_folder", "size_in_bytes", "written"]
+__all__ = [
+    "broadcast_if_small", "discard", "hash128", "join_counted", "lower_ascii", "passes_columns", "row_key", "scratch_path", "shared_folder", "size_in_bytes", "written",
+]
 
 #: The characters that separate words and are stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Separators of alphanumeric words: all ASCII but digits and letters.
 NON_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Rows of one key above which a join deals it apart, and partitions that it may take then.
+HOT_ROWS = 100_000
+SALTS = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,3 +60,31 @@ def passes_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFram
 def hash128(value: Column) -> Column:
     """Two independently seeded 64-bit hashes of ``value``."""
     return F.struct(F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, *, hot: int = HOT_ROWS, limit: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row for each value of ``key`` and says in
+    ``count`` how many of ``rows`` have it. Nulls are one value.
+
+    No value meets in one task, whatever adaptive execution does: a small ``found`` is broadcast;
+    else only values of up to ``hot`` rows are shuffled, and those above, of which there are few, are
+    broadcast, or salted where even they are many. Both tables should be cheap to read twice.
+    """
+    named = found.withColumnsRenamed({key: "_key"})
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if size_in_bytes(named) <= (BROADCAST_BYTES if limit is None else limit):
+        return rows.join(F.broadcast(named), same).drop("_key", count)
+    large, small = named.where(F.col(count) > hot), named.where(F.col(count) <= hot)
+    size = size_in_bytes(large)
+    if not size:
+        return rows.join(named, same).drop("_key", count)
+    if size <= (BROADCAST_BYTES if limit is None else limit):
+        apart = rows.join(F.broadcast(large), same)
+        rest = rows.join(F.broadcast(large.select("_key")), same, "left_anti")
+    else:
+        dealt = rows.withColumn("_own", F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(SALTS)))
+        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.join(salted, same & (F.col("_own") == F.col("_salt")), "left").drop("_own")
+        apart = met.where(F.col("_salt").isNotNull()).drop("_salt")
+        rest = met.where(F.col("_salt").isNull()).select(*rows.columns)
+    return apart.unionByName(rest.join(small, same)).drop("_key", count)

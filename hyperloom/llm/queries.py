@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from hyperloom.llm import chat, decontaminate, exact_dedup, fill_in_middle, license_scan, line_dedup, mixing, quality, sharding, simhash, substring_dedup, vector_codes, warc
 from hyperloom.llm.common import scratch_path
 from hyperloom.sources import table
 
@@ -67,6 +67,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("probability", F.round("probability", 9))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    rebuilt = fill_in_middle.restore(examples)
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rebuilt.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.slots(table(spark, sf_dir, "documents"), weights=sharding.EQUAL, added=(1.0,))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash,
@@ -79,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_substring_dedup,
         op10_mixing,
+        op11_fill_in_middle,
+        op12_vector_codes,
+        op13_sharding,
     )
     return {f.__name__: f for f in found}
 
@@ -144,8 +162,67 @@ def _mixing_sql(rounds: int = MIX_ROUNDS) -> str:
         FROM r JOIN p USING (source, lang, topic)"""
 
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, one pair of common table expressions for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT vec_id, part, min(d) AS d, arg_min(entry, d * 1000 + entry) AS entry FROM (SELECT vec_id, part, entry, "
+            f"list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint AS d FROM p JOIN b{k} USING (part)) GROUP BY ALL)"
+        )
+        if k < rounds:
+            steps.append(
+                f"s{k} AS (SELECT part, entry, i, sum(x[i])::bigint AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k} JOIN p USING (vec_id, part)) GROUP BY ALL)"
+            )
+            steps.append(f"m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY ALL)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, part, list_slice(v, part * (len(v) // {parts}) + 1, (part + 1) * (len(v) // {parts})) AS x
+              FROM v, (SELECT unnest(range({parts})) AS part)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+              WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})),
+        {", ".join(steps)},
+        f AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+        FROM f JOIN v USING (vec_id)"""
+
+
+def _shards_sql(shards: int = 16) -> str:
+    """Every id against every shard, and CRC-32 byte by byte over a table made by its rule."""
+    draw = "('0x' || substr(md5('42|' || {} || '|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint"
+    return f"""
+        WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+              FROM range(256) r(i)),
+        d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(list_reduce(list_prepend(4294967295::bigint,
+                  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::bigint AS text_crc32 FROM documents, t),
+        r AS (SELECT *, list_transform(range({shards + 1}), lambda i: -ln(({draw.format("i::varchar")} + 0.5::double) / 4503599627370496.0::double)) AS s FROM d),
+        a AS (SELECT *, list_position(s[:{shards}], list_min(s[:{shards}])) - 1 AS shard, list_position(s, list_min(s)) - 1 AS grown_shard FROM r)
+        SELECT doc_id, size::bigint AS size, text_crc32, 'key' AS law, shard::int AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY {draw.format("shard::varchar")}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+               grown_shard::int AS grown_shard
+        FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_fill_in_middle": """
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+            w AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::bigint) AS r FROM d),
+            c AS (SELECT *, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+                         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+                              WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM w),
+            p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+            SELECT doc_id, len(u)::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+                   CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                          ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+            FROM p""",
+        "op12_vector_codes": _codes_sql(),
+        "op13_sharding": _shards_sql(),
         "op3_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

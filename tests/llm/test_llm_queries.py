@@ -16,8 +16,8 @@ def test_same_as_sql(spark, sf_dir, name):
     same(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
