@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from hyperloom.llm.common import passes_columns
 from hyperloom.llm.rope import Rope, build, join, split_chars, split_units
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
+#: Rows of a batch that are Python objects at a time.
+SLICE = 128
 CUT = "struct<n:bigint,prefix_chars:bigint,middle_chars:bigint,output:string>"
 
 
@@ -83,9 +87,8 @@ def fill_in_middle(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     @F.arrow_udf(CUT)
     def cut(texts: pa.Array, forms: pa.Array, firsts: pa.Array, seconds: pa.Array) -> pa.Array:
-        columns = (texts.to_pylist(), forms.to_pylist(), firsts.to_pylist(), seconds.to_pylist())
-        found = [rearranged(*row) for row in zip(*columns, strict=True)]
-        return pa.array(found and [dict(zip(("n", "prefix_chars", "middle_chars", "output"), f, strict=True)) for f in found], _arrow(CUT))
+        names, kind = ("n", "prefix_chars", "middle_chars", "output"), _arrow(CUT)
+        return _sliced(lambda *row: dict(zip(names, rearranged(*row), strict=True)), kind, texts, forms, firsts, seconds)
 
     kept = [c for c in docs.columns if c in (id_col, text_col) or c not in added]
     rows = docs.select(*kept, _form(text, h3, h4, rate, spm).alias("_form"), h1.alias("_h1"), h2.alias("_h2"))
@@ -93,6 +96,12 @@ def fill_in_middle(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.select(*kept, "_cut.n", F.col("_form").alias("form"), "_cut.prefix_chars", "_cut.middle_chars", "_cut.output")
 
 
+def _sliced(of: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``of`` for each row, with few rows as Python objects at a time."""
+    slices = [pa.array([of(*row) for row in zip(*[c.slice(k, SLICE).to_pylist() for c in columns], strict=True)], kind) for k in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(slices) if slices else pa.array([], kind)
+
+
 def _arrow(kind: str) -> pa.StructType:
     fields = (f.split(":") for f in kind.removeprefix("struct<").removesuffix(">").split(","))
     return pa.struct([(name, pa.int64() if what == "bigint" else pa.string()) for name, what in fields])
@@ -106,7 +115,6 @@ def restore(examples: DataFrame, *, output_col: str = "output", form_col: str =
 
     @F.arrow_udf("string")
     def back(outputs: pa.Array, forms: pa.Array) -> pa.Array:
-        both = zip(outputs.to_pylist(), forms.to_pylist(), strict=True)
-        return pa.array([None if o is None or f is None else restored(o, f) for o, f in both], pa.string())
+        return _sliced(lambda o, f: None if o is None or f is None else restored(o, f), pa.string(), outputs, forms)
 
     return examples.withColumn("restored", back(output_col, form_col))
