@@ -29,14 +29,34 @@ def _session() -> SparkSession:
 
 
 def _frame(df: Any) -> DataFrame:
-    """A Spark table as it is; pandas and Arrow tables are imported."""
+    """A Spark table as it is; pandas and Arrow tables are imported. Their dictionary-encoded columns of
+    strings stay so: as integer codes, with the categories in their order, unused ones included."""
     if isinstance(df, DataFrame):
         return df
-    if isinstance(df, pd.DataFrame | pa.Table):
-        return _session().createDataFrame(df)
+    if isinstance(df, pd.DataFrame):
+        if not any(isinstance(kind, pd.CategoricalDtype) for kind in df.dtypes):
+            return _session().createDataFrame(df)
+        df = pa.Table.from_pandas(df, preserve_index=False)
+    if isinstance(df, pa.Table):
+        return _coded(df)
     raise ValueError(f"not a table: {type(df).__name__}")
 
 
+def _coded(table: pa.Table) -> DataFrame:
+    columns, categories = [], {}
+    for name, column in zip(table.column_names, table.unify_dictionaries().columns, strict=True):
+        if pa.types.is_dictionary(column.type):
+            values = column.chunk(0).dictionary if column.num_chunks else pa.array([], column.type.value_type)
+            if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+                categories[name] = values.to_pylist()
+                column = pa.chunked_array([c.indices.cast(pa.int32()) for c in column.chunks], pa.int32())
+            else:
+                column = column.cast(values.type)
+        columns.append(column)
+    df = _session().createDataFrame(pa.table(columns, names=table.column_names))
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={"enum": categories[c]}) if c in categories else F.col(f"`{c}`") for c in df.columns])
+
+
 class VSA:
     """An architecture. The vectors that it draws are numbered from the seed."""
 
@@ -349,7 +369,8 @@ class Subset:
                 order_by = "_" + order_by
             df = df.withColumn(order_by, F.monotonically_increasing_id())
         self._storage, self._order = storage, order_by
-        known = {c: list(v) for c, v in storage.codebook.columns.items() if v is not None and c in df.columns}
+        own = [f.name for f in df.schema if "enum" in (f.metadata or {})]
+        known = {c: list(v) for c, v in storage.codebook.columns.items() if v is not None and c in df.columns and c not in own}
         self._folds = Folds(storage.codebook, df, order_by, (), enums if enums is not None else known)
 
     def _checked(self) -> Folds:

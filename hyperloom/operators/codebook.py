@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,27 @@ def categories_of(field_: T.StructField, enums: Mapping[str, list[str]] | None)
     return tuple(found) if found is not None else None
 
 
+def holds_symbols(field_: T.StructField, categories: tuple[str, ...] | None) -> bool:
+    """Strings, or integers that are codes of declared categories."""
+    return isinstance(field_.dataType, T.StringType) or (isinstance(field_.dataType, T.IntegralType) and categories is not None)
+
+
+def as_codes(df: DataFrame, enums: Mapping[str, list[str]]) -> DataFrame:
+    """``df`` with the given string columns as integer codes, their categories as metadata.
+
+    A code is the place in the list; nulls stay null, and a value that isn't listed raises an error
+    when the row is read. Folds count codes and never see the strings again.
+    """
+
+    def code(name: str, categories: list[str]) -> Column:
+        column = F.col(f"`{name}`")
+        at = F.array_position(F.array(*map(F.lit, categories)).cast("array<string>"), column) - 1
+        unknown = F.raise_error(F.concat(F.lit("value '"), column, F.lit(f"' not found in column '{name}'")))
+        return F.when(column.isNull(), None).when(at >= 0, at.cast("int")).otherwise(unknown.cast("int")).alias(name, metadata={"enum": list(categories)})
+
+    return df.select(*[code(c, list(enums[c])) if c in enums else F.col(f"`{c}`") for c in df.columns])
+
+
 @dataclass(frozen=True)
 class Codebook:
     """Immutable: adding symbols makes a new codebook.
@@ -84,8 +105,8 @@ class Codebook:
     ) -> Codebook:
         """Symbols of all columns of ``df`` and of their values; nulls make none.
 
-        Columns must be strings; a column with declared categories has all of them as symbols, in that
-        order, after its own name. Other columns give their values first: in order of first appearance
+        Columns must be strings, or integer codes of declared categories; a column with declared
+        categories has all of them as symbols, in that order, after its own name. Other columns give their values first: in order of first appearance
         by ``order_by`` (a column outside the codebook), else by name. One scan, combined within tasks.
         """
         arch.check_size(size)
@@ -93,7 +114,7 @@ class Codebook:
         fields = [f for f in df.schema.fields if f.name != order_by]
         known = {f.name: categories_of(f, enums) for f in fields}
         for f in fields:
-            if not isinstance(f.dataType, T.StringType):
+            if not holds_symbols(f, known[f.name]):
                 raise InvalidDataTypeError(f.name, f.dataType.simpleString())
         fixed = []
         for k, (name, categories) in enumerate(known.items()):

@@ -8,9 +8,12 @@ own bit: mostly the last few rows decide, and all rows are asked where these lea
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,9 @@ from pyspark.sql import types as T
 
 from hyperloom.architectures import BSC, HRR, MAP, VTB, ColumnNotFoundError, ColumnTypeMismatchError, ValueNotFoundError
 from hyperloom.functions import kernels
-from hyperloom.operators.codebook import Codebook, categories_of
+from hyperloom.operators.codebook import Codebook, categories_of, holds_symbols
 from hyperloom.operators.rows import ByColumn, ByPosition, Encoding, RowKernel, encoding_of
-from hyperloom.plans.tables import BROADCAST_BYTES, broadcast_if_small, written
+from hyperloom.plans.tables import BROADCAST_BYTES, broadcast_if_small, size_in_bytes, written
 
 #: Last rows that a BSC bundle looks at first. Where their order values differ, a dimension is open after
 #: them with probability 2^-256; what is open is decided by all rows.
@@ -37,7 +40,8 @@ FAN_IN = 16
 class Subset:
     """``df`` against ``codebook``. ``order_by`` names a column outside the encoding that orders rows:
     BSC bundles and VTB products depend on it. Columns in ``group_by`` are not encoded either; folds
-    then give one vector per group. ``enums`` declares categories of ``df``'s columns.
+    then give one vector per group. ``enums`` declares categories of ``df``'s columns; a column of
+    integers with categories holds codes, which are counted as they are.
     """
 
     codebook: Codebook
@@ -64,13 +68,23 @@ class Subset:
             if name not in known:
                 raise ColumnNotFoundError(name)
             categories = categories_of(field, self.enums)
-            if not isinstance(field.dataType, T.StringType) or categories != known[name]:
+            if not holds_symbols(field, categories) or categories != known[name]:
                 raise ColumnTypeMismatchError(name)
-            plain.append((name, categories))
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("name"), F.lit(k is not None).alias("e")) for c, k in plain])
-        cells = self.df.select(F.explode(cells).alias("x")).where("x.name IS NOT NULL").select("x.c", "x.name", "x.e").distinct()
-        allowed = [(c, v) for c, k in plain for v in k or ()]
+            plain.append((name, categories, isinstance(field.dataType, T.IntegralType)))
+        structs = []
+        for c, k, coded in plain:
+            cell, bad = F.col(f"`{c}`"), F.lit(False)
+            if coded:
+                bad = ~cell.between(0, len(k) - 1)
+                cell = F.when(bad, F.concat(F.lit("code "), cell.cast("string"))).otherwise(F.get(F.array(*map(F.lit, k)), F.when(~bad, cell).cast("int")))
+            structs.append(F.struct(F.lit(c).alias("c"), cell.alias("name"), F.lit(k is not None).alias("e"), bad.alias("bad")))
+        cells = self.df.select(F.explode(F.array(*structs)).alias("x")).where("x.name IS NOT NULL").select("x.*").distinct()
+        allowed = [(c, v) for c, k, coded in plain if not coded for v in k or ()]
+        coded = [c for c, _, coded in plain if coded]
         missing = cells.where("NOT e").join(self.codebook.names, "name", "left_anti").select("c", "name")
+        if coded:
+            missing = missing.union(cells.where("bad").select("c", "name"))
+            cells = cells.where(~F.col("c").isin(coded))
         if allowed:
             listed = self.df.sparkSession.createDataFrame(allowed, "c string, name string")
             missing = missing.union(cells.where("e").select("c", "name").join(listed, ["c", "name"], "left_anti"))
@@ -121,7 +135,19 @@ class Subset:
     def _kernel(self, op: str, encoding: str | Encoding, normalized: bool, ways: int = 1) -> RowKernel:
         book = self.codebook
         ways = min(ways, len(self.columns))
-        return RowKernel(book.arch, book.size, self.columns, encoding_of(encoding), op, normalized=normalized, ways=ways)
+        return RowKernel(book.arch, book.size, self.columns, encoding_of(encoding), op, normalized=normalized, ways=ways, codes=self._codes)
+
+    @property
+    def _codes(self) -> dict[int, tuple[str, ...]]:
+        """Categories of the columns that hold codes, by position."""
+        fields = [(k, self.df.schema[c]) for k, c in enumerate(self.columns)]
+        coded = {k: categories_of(f, self.enums) for k, f in fields if isinstance(f.dataType, T.IntegralType)}
+        return {k: c for k, c in coded.items() if c is not None}
+
+    @property
+    def _there(self) -> Column:
+        """Whether a row has any cell."""
+        return reduce(or_, [F.col(f"`{c}`").isNotNull() for c in self.columns])
 
     @property
     def _ordinal(self) -> Column:
@@ -164,15 +190,16 @@ class Subset:
         return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("vector", T.ArrayType(element))]))
 
     def _few_tuples(self) -> DataFrame | None:
-        """The distinct tuples of cells if their vectors may be broadcast. An estimate, made in one scan without
-        a shuffle of rows, comes first; the table that is returned is written and counted."""
+        """The distinct tuples of cells if they may be broadcast with their vectors. An estimate, made in one scan
+        without a shuffle of rows, comes first; the table that is returned is written and measured."""
         named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
-        rows = self.df.select(*named)
-        most = BROADCAST_BYTES // (self.codebook.size * 8)
-        if rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns))).first()[0] > most:
+        rows, vector = self.df.select(*named), self.codebook.size * 8
+        width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0))
+        kinds, mean = rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns)), F.avg(width)).first()
+        if kinds * (vector + (mean or 0)) > BROADCAST_BYTES:
             return None
         tuples = written(rows.distinct(), "tuples")
-        return tuples if tuples.count() <= most else None
+        return tuples if size_in_bytes(tuples) + tuples.count() * vector <= BROADCAST_BYTES else None
 
     def _rows_by_tuple(self, tuples: DataFrame, kernel: RowKernel) -> DataFrame:
         """Vectors of distinct tuples, joined with the rows: no vector is made twice, nor sent to Python and back."""
@@ -186,17 +213,19 @@ class Subset:
 
     def _cell_sums(self, kernel: RowKernel) -> DataFrame:
         """Sums over cells: one vector for each distinct cell, times how often it occurs."""
-        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").alias("v")) for k, c in enumerate(self.columns)])
+        text, code = F.lit(None).cast("string"), F.lit(None).cast("long")
+        pairs = [(text, F.col(f"`{c}`").cast("long")) if k in self._codes else (F.col(f"`{c}`"), code) for k, c in enumerate(self.columns)]
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v"), i.alias("i")) for k, (v, i) in enumerate(pairs)])
         groups = [F.col(f"`{g}`") for g in self.group_by]
-        counted = self.df.select(*groups, F.explode(cells).alias("x")).where("x.v IS NOT NULL")
-        counted = counted.groupBy(*groups, F.col("x.k").alias("_k"), F.col("x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        counted = self.df.select(*groups, F.explode(cells).alias("x")).where("x.v IS NOT NULL OR x.i IS NOT NULL")
+        counted = counted.groupBy(*groups, *[F.col(f"x.{c}").alias(f"_{c}") for c in "kvi"]).agg(F.count(F.lit(1)).alias("_n"))
 
-        return self._sums(counted, self._cell_vector(kernel), 2, kernel)
+        return self._sums(counted, self._cell_vector(kernel), 3, kernel)
 
     def _cell_vector(self, kernel: RowKernel):
         def vector(rows: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-            cells = zip(rows.column(at).to_pylist(), rows.column(at + 1).to_pylist(), strict=True)
-            return np.stack([kernel.cell(k, v) for k, v in cells]), np.ones(rows.num_rows, bool)
+            cells = zip(*[rows.column(at + i).to_pylist() for i in range(3)], strict=True)
+            return np.stack([kernel.cell(k, code if text is None else text) for k, text, code in cells]), np.ones(rows.num_rows, bool)
 
         return vector
 
@@ -204,8 +233,7 @@ class Subset:
         """Distinct tuples of cells with their counts, those without cells left out."""
         groups = [F.col(f"`{g}`") for g in self.group_by]
         named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
-        there = F.coalesce(*[F.col(f"`{c}`") for c in self.columns]).isNotNull()
-        rows = self.df.where(there).select(*groups, *named)
+        rows = self.df.where(self._there).select(*groups, *named)
         return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
 
     def _sums(self, counted: DataFrame, vector, width: int, kernel: RowKernel, parity: bool = False, add=None) -> DataFrame:
@@ -280,9 +308,8 @@ class Subset:
 
     def _ordered(self) -> DataFrame:
         named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
-        there = F.coalesce(*[F.col(f"`{c}`") for c in self.columns]).isNotNull()
         groups = [F.col(f"`{g}`") for g in self.group_by]
-        return self.df.where(there).select(*groups, *named, self._ordinal.alias("_o"))
+        return self.df.where(self._there).select(*groups, *named, self._ordinal.alias("_o"))
 
     def _last_writers(self, kernel: RowKernel) -> DataFrame:
         """BSC: for each dimension the bit of the last row whose tie bit is its own bit, else of the first row.
@@ -446,54 +473,117 @@ class Subset:
     def _ordered_product(self, kernel: RowKernel) -> DataFrame:
         """VTB: the left fold is root(d)^(k-1) A1 A2' ... Ak', which any split into ordered segments gives.
 
-        Each range partition of rows gives two matrices, for the case that it comes first and that it
-        doesn't; neighbours are multiplied FAN_IN at a time. The logarithm of a matrix's largest element
-        is carried apart from it. A product beyond the range of doubles is given with unit length.
+        Rows are in the order of ``order_by``, then of their cells, nulls first. What is equal in both is
+        one row with a count, raised to its power, so neither a hot order value nor many equal rows
+        stay in one task. Range partitions over (group, order, cells) cut the rows into segments, each of
+        one group; a segment has two matrices, for the case that it comes first and that it doesn't.
+        Only the first and last segments of partitions can have neighbours: those are multiplied FAN_IN
+        at a time. The logarithm of a matrix's largest element is carried apart from it. A product
+        beyond the range of doubles is given with unit length.
         """
-        size, n = self.codebook.size, len(self.columns)
-        d = math.isqrt(size)
-        if self.group_by:
-            raise ValueError("products of groups are not supported for this architecture")
+        size, n, keys = self.codebook.size, len(self.columns), len(self.group_by)
+        d, names = math.isqrt(size), [f"_g{i}" for i in range(len(self.group_by))]
         rows = self._ordered()
+        rows = rows.toDF(*names, *rows.columns[keys:])
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
         parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = rows.repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_o", F.spark_partition_id().cast("long"))
-        schema = "seg long, first array<double>, first_log double, rest array<double>, rest_log double"
-
-        def made(seg: int, first: tuple, rest: tuple) -> dict:
-            return {"seg": [seg], "first": [first[0].ravel()], "first_log": [first[1]], "rest": [rest[0].ravel()], "rest_log": [rest[1]]}
+        order = [*names, "_o", *[f"_c{k}" for k in range(n)]]
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_seg", F.spark_partition_id().cast("long")).drop("_o")
+        groups = [T.StructField(name, self.df.schema[g].dataType) for name, g in zip(names, self.group_by, strict=True)]
+        schema = T.StructType([*groups])
+        for name, kind in (("_seg", "long"), ("_edge", "boolean"), ("_first", "array<double>"), ("_first_log", "double"), ("_rest", "array<double>"), ("_rest_log", "double")):
+            schema = schema.add(name, T.ArrayType(T.DoubleType()) if kind.startswith("array") else kind)
+        step = max(1, PARTIAL_ELEMENTS // (8 * size))
+
+        def made(types: list[pa.DataType], found: list[tuple]) -> pa.RecordBatch:
+            keyed = [pa.array([f[0][i] for f in found], t) for i, t in enumerate(types)]
+            firsts, rests = ([f[k] for f in found] for k in (3, 4))
+            arrays = [pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.bool_())]
+            for side in (firsts, rests):
+                arrays += [pa.array([m.ravel() for m, _ in side], pa.list_(pa.float64())), pa.array([log for _, log in side], pa.float64())]
+            return pa.RecordBatch.from_arrays([*keyed, *arrays], schema.names)
 
         def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, rest, seg = None, (np.eye(d), 0.0), None
+            types, done, now, seg, edge, both = [], [], None, 0, True, None
             for batch in batches:
+                types = [batch.column(i).type for i in range(keys)]
                 for start in range(0, batch.num_rows, kernel.step):
                     part = batch.slice(start, kernel.step)
-                    acc, valid = kernel([part.column(i).to_pylist() for i in range(n)], [""] * part.num_rows)
-                    seg = part.column(n)[0].as_py()
-                    for row in acc[valid].reshape(-1, d, d):
-                        factor = (math.sqrt(d) * row.T, 0.0)
-                        first = _scaled((row, 0.0)) if first is None else _product(first, factor)
-                        rest = _product(rest, factor)
-            if first is not None:
-                yield pa.RecordBatch.from_pydict(made(seg, first, rest))
+                    acc, _ = kernel([part.column(keys + i).to_pylist() for i in range(n)], [""] * part.num_rows)
+                    counts, seg = part.column(keys + n).to_numpy(), part.column(keys + n + 1)[0].as_py()
+                    of = list(zip(*[part.column(i).to_pylist() for i in range(keys)], strict=True)) if keys else [()] * part.num_rows
+                    cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+                    for a, b in itertools.pairwise(cuts):
+                        if both is not None and of[a] != now:
+                            done.append((now, seg, edge, *both))
+                            both, edge = None, False
+                        now, both = of[a], _extended(both, acc[a:b].reshape(-1, d, d), counts[a:b])
+                        if len(done) >= step:
+                            yield made(types, done)
+                            done = []
+            if both is not None:
+                yield made(types, [*done, (now, seg, True, *both)])
 
         def merge(table: pa.Table) -> pa.Table:
-            table = table.sort_by("seg")
-            firsts, rests = ([(np.reshape(m, (d, d)), log) for m, log in zip(table[c].to_pylist(), table[f"{c}_log"].to_pylist(), strict=True)] for c in ("first", "rest"))
+            table = table.sort_by("_seg")
+            firsts, rests = ([(np.reshape(m, (d, d)), log) for m, log in zip(table[c].to_pylist(), table[f"{c}_log"].to_pylist(), strict=True)] for c in ("_first", "_rest"))
             first, rest = firsts[0], rests[0]
             for more in rests[1:]:
                 first, rest = _product(first, more), _product(rest, more)
-            return pa.table(made(table["up"][0].as_py(), first, rest))
+            key = tuple(table[name][0].as_py() for name in names)
+            return pa.Table.from_batches([made([table[name].type for name in names], [(key, table["_seg"][0].as_py() // FAN_IN, True, first, rest)])])
+
+        out = T.StructType([T.StructField(g, f.dataType) for g, f in zip(self.group_by, groups, strict=True)]).add("dim", "integer").add("value", "double")
 
         def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for m, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(size, dtype=np.int32)), "value": _in_range(np.array(m), log)})
-
-        found = rows.mapInArrow(segment, schema)
-        while parts > 1:
-            found = found.withColumn("up", (F.col("seg") / FAN_IN).cast("long")).groupBy("up").applyInArrow(merge, schema)
+                for i, (m, log) in enumerate(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True)):
+                    keyed = [batch.column(k).take(pa.array(np.full(size, i))) for k in range(keys)]
+                    yield pa.RecordBatch.from_arrays([*keyed, pa.array(np.arange(size, dtype=np.int32)), pa.array(_in_range(np.array(m), log))], out.names)
+
+        found = written(rows.mapInArrow(segment, schema), "segments")
+        rim = found.where("_edge")
+        while parts > FAN_IN:
+            rim = rim.withColumn("_up", F.floor(F.col("_seg") / FAN_IN)).groupBy(*names, "_up").applyInArrow(merge, schema)
             parts = -(-parts // FAN_IN)
-        return found.select("first", "first_log").mapInArrow(final, "dim int, value double")
+        whole = found.where("NOT _edge").unionByName(rim.groupBy(*names).applyInArrow(merge, schema))
+        return whole.select(*names, "_first", "_first_log").mapInArrow(final, out)
+
+
+def _extended(both: tuple | None, rows: np.ndarray, counts: np.ndarray) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
+    """A segment (a product that comes first, and one that doesn't) with more rows behind it, each as often as its count."""
+    factors, logs = math.sqrt(rows.shape[-1]) * np.swapaxes(rows, -1, -2), np.zeros(len(rows))
+    head = factors[0].copy()
+    counts = counts.copy()
+    if both is None:
+        counts[0] -= 1
+    for i in np.flatnonzero(counts != 1):
+        factors[i], logs[i] = _power(factors[i], int(counts[i]))
+    tail = _chain(factors, logs)
+    if both is None:
+        return _product((rows[0], 0.0), tail), _product((head, 0.0), tail)
+    return _product(both[0], tail), _product(both[1], tail)
+
+
+def _chain(mats: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """The product of matrices from left to right, neighbours at a time."""
+    while len(mats) > 1:
+        even = len(mats) // 2 * 2
+        made, sums = mats[0:even:2] @ mats[1:even:2], logs[0:even:2] + logs[1:even:2]
+        top = np.abs(made).max(axis=(1, 2))
+        top[top == 0] = 1
+        mats, logs = np.concatenate([made / top[:, None, None], mats[even:]]), np.concatenate([sums + np.log(top), logs[even:]])
+    return mats[0], float(logs[0])
+
+
+def _power(m: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """``m`` to the ``n``, by squaring."""
+    out, base = (np.eye(len(m)), 0.0), (m, 0.0)
+    while n:
+        if n & 1:
+            out = _product(out, base)
+        base, n = _product(base, base), n >> 1
+    return out
 
 
 def _scaled(m: tuple[np.ndarray, float]) -> tuple[np.ndarray, float]:

@@ -15,7 +15,7 @@ from hyperloom import api
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.functions import colors, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
-from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index
+from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
 from hyperloom.operators.subset import Subset
 from hyperloom.plans.expression import ColumnNumberAlgebra, Expression
 from hyperloom.sources import table
@@ -645,6 +645,31 @@ for _kind in (HRR, VTB):
     _nations_query(f"bind_entire_dataset_{_kind}", _kind, _times(_kind, "a", "b"), lambda s: s.bind_entire_dataset())
 
 
+_TIED = "SELECT c_nationkey AS g, floor(c_acctbal / 500) AS o, c_mktsegment AS s, (c_custkey % 3)::varchar AS t FROM customer"
+
+
+@register(
+    "bind_entire_dataset_vtb_groups",
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o, s, t) AS k FROM ({_TIED})),
+        {_real_symbols("SELECT s AS name FROM n UNION SELECT t FROM n UNION SELECT unnest(['c_mktsegment', 'third'])")},
+        l AS MATERIALIZED (SELECT name, list(x ORDER BY j) AS v FROM sym GROUP BY name),
+        c AS (SELECT s, t, {_times(VTB, 'sc.v', 'sv.v')} AS a, {_times(VTB, 'tc.v', 'tv.v')} AS b FROM (SELECT DISTINCT s, t FROM n) JOIN l sc ON sc.name = 'c_mktsegment'
+            JOIN l sv ON sv.name = s JOIN l tc ON tc.name = 'third' JOIN l tv ON tv.name = t),
+        p AS MATERIALIZED (SELECT s, t, {_times(VTB, 'a', 'b')} AS v FROM c),
+        r AS MATERIALIZED (SELECT g, k, v FROM n JOIN p USING (s, t)),
+        f(g, k, v) AS (SELECT g, k, v FROM r WHERE k = 1 UNION ALL SELECT r.g, r.k, {_times(VTB, 'f.v', 'r.v')} FROM f JOIN r ON r.g = f.g AND r.k = f.k + 1)
+        SELECT g AS c_nationkey, unnest(range({SIZE}))::int AS dim, round(unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS value
+        FROM f JOIN (SELECT g, max(k) AS k FROM n GROUP BY g) USING (g, k)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product for each nation over its customers; many share their order value, some all of their cells."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_nationkey", "floor(c_acctbal / 500) AS wealth", "c_mktsegment", "string(c_custkey % 3) AS third")
+    found = folds(rows, VTB, order_by="wealth", group_by=("c_nationkey",)).bind_entire_dataset()
+    # One vector for each group: SIZE rows.
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("c_nationkey")))
+    return whole(found.withColumn("value", F.col("value") / norm))
+
+
 _ITEM_CELLS = """cells AS (SELECT 'l_returnflag' AS c, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY ALL
     UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL)"""
 
@@ -721,6 +746,43 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(folds(rows, MAP).bundle_dataset_combinatorial(3))
 
 
+#: Columns of lineitem as text, some with nulls: the expressions in Spark's SQL and in DuckDB's.
+WIDE = {
+    "flag": ("l_returnflag", "l_returnflag"),
+    "status": ("nullif(l_linestatus, 'F')", "nullif(l_linestatus, 'F')"),
+    "number": ("string(l_linenumber)", "l_linenumber::varchar"),
+    "tax": ("string(int(round(l_tax * 100)))", "round(l_tax * 100)::int::varchar"),
+    "discount": ("string(nullif(int(round(l_discount * 100)), 4))", "nullif(round(l_discount * 100)::int, 4)::varchar"),
+    "year": ("string(year(l_shipdate))", "year(l_shipdate)::varchar"),
+    "month": ("string(nullif(month(l_shipdate), 1))", "nullif(month(l_shipdate), 1)::varchar"),
+    "tens": ("string(int(floor(l_quantity / 10)))", "floor(l_quantity / 10)::int::varchar"),
+}
+
+
+@register(
+    "bundle_dataset_combinatorial_wide",
+    f"""WITH {DIMS}, t AS (SELECT *, row_number() OVER () AS k FROM (SELECT {", ".join(f"{sql} AS {c}" for c, (_, sql) in WIDE.items())}, count(*) AS n FROM lineitem GROUP BY ALL)),
+        c AS ({" UNION ALL ".join(f"SELECT k, n, '{c}' AS c, {c} AS v FROM t WHERE {c} IS NOT NULL" for c in WIDE)}),
+        x AS MATERIALIZED (SELECT c, v, j, {_sign('c')} * {_sign('v')} AS x FROM (SELECT DISTINCT c, v FROM c), j),
+        p AS (SELECT k, n, j, sum(x)::bigint AS p, count(*) AS m FROM c JOIN x USING (c, v) GROUP BY ALL)
+        SELECT j::int AS dim, sum(n * (p + (p * p - m) // 2 + (p * p * p - 3 * p * m + 2 * p) // 6))::bigint AS value FROM p GROUP BY j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of up to three of eight columns; SQL takes them from sums of powers."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{text} AS {c}" for c, (text, _) in WIDE.items()])
+    return whole(folds(rows, MAP).bundle_dataset_combinatorial(3))
+
+
+@register(
+    "bundle_dataset_codes_map",
+    f"""WITH {DIMS}, t AS (SELECT l_returnflag AS s, l_linestatus AS p, count(*) AS n FROM lineitem GROUP BY ALL)
+        SELECT j::int AS dim, {_norm(f"sum(n * {_norm(f'{_sign(_q(ITEMS[0]))} * {_sign("s")} + {_sign(_q(ITEMS[1]))} * {_sign("p")}')})")}::bigint AS value FROM t, j GROUP BY j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of integer codes with their categories, of which one never occurs."""
+    return whole(folds(as_codes(items(spark, sf_dir), {"l_returnflag": ["R", "never", "A", "N"], "l_linestatus": ["F", "O"]}), MAP).bundle_dataset())
+
+
 @register(
     "grouped_bundle_map",
     f"""WITH {DIMS}, t AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
