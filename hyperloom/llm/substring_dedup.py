@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from hyperloom.llm.common import discard, passes_columns, row_key, written
 
-#: Words whose windows are hashed and packed at once.
+#: Words whose windows are hashed and packed at once, also of one long document, and bytes of text that are split at once.
 SLAB = 1_000_000
+CHUNK = 8 << 20
 #: Bytes of text that one bucket of windows stands for, and bytes of places that one bucket of
 #: documents gets; neither number of buckets depends on the partitions that Spark is set to.
 BUCKET_BYTES = 16 << 20
@@ -22,6 +25,11 @@ PLACES_BYTES = 4 << 20
 LEAST_BUCKETS = 16
 #: Buckets that may have a partition each.
 MOST_PARTITIONS = 50_000
+#: Buckets up to which a slab packs a row for each of them. Beyond, it packs for the root of their number,
+#: and the tasks that get those rows pack them anew, so that a row has hundreds of windows at any size.
+DIRECT = 4096
+#: Buckets that a partition between the two packings stands for.
+REPACKED = 64
 #: Places that one row of the exchange carries when they go along as known.
 KNOWN_PLACES = 1 << 16
 #: Bytes of places that a task gathers before it deals them to their documents.
@@ -30,6 +38,9 @@ DEALT_BYTES = 16 << 20
 #: Bytes of a probe's hash that are sent, besides its bucket. A bucket has some 150,000 anchors, so
 #: a wrong hit comes once in 28,000 probes; it costs one comparison and no wrong result.
 TAG = 4
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of what is left of a bucket's number beside its coarse bucket.
+REST = 4
 
 ALIGNED, SILENT = 1, 2
 PACKED = "bucket int, known boolean, docs binary, counts binary, gaps binary, tags binary, flags binary"
@@ -90,12 +101,20 @@ def _groups(lanes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndarray], aligned: np.ndarray, buckets: int, widths: list[int]) -> Iterator[dict]:
+def coarse_of(buckets: int) -> int:
+    """How many coarse buckets the first of two packings has; 0 if one packing does."""
+    return math.isqrt(buckets - 1) + 1 if buckets > DIRECT else 0
+
+
+def pack(
+    keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndarray], aligned: np.ndarray, buckets: int, widths: list[int], coarse: int = 0
+) -> Iterator[dict]:
     """Rows of the exchange for the windows at ``pos`` of documents ``doc`` (rows of ``keys``).
 
     Windows that occur twice right here are known to repeat: they go along as known, and one
     silent window of each kind is sent in their stead. So a passage that many documents share
-    costs one entry per slab.
+    costs one entry per slab. With ``coarse``, rows are for buckets modulo that number, and what
+    is left of the bucket's number goes along with each window.
     """
     if not len(doc):
         return
@@ -107,23 +126,64 @@ def pack(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, lanes: list[np.ndar
     here = np.sort(order[np.repeat(sizes > 1, sizes)])
     back = np.argsort(first)
     first, flags = first[back], flags[back]
-    bucket = (lanes[0][first] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-    parts = [(int(bucket[p[0]]), False, first[p], flags[p]) for p in np.split(by, cuts)]
+    bucket = lanes[0][first] % np.uint64(buckets)
+    tags = [(lane[first] >> np.uint64(64 - 8 * w), w) for lane, w in zip(lanes, widths, strict=True)]
+    if coarse:
+        tags.insert(0, (bucket // np.uint64(coarse), REST))
+        bucket = bucket % np.uint64(coarse)
+    bucket = bucket.astype(np.int64)
+    by = np.argsort(bucket.astype(np.uint16) if (coarse or buckets) < 65536 else bucket, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        yield _packed(int(bucket[part[0]]), keys, doc[first[part]], pos[first[part]], [(tag[part], w) for tag, w in tags], flags[part])
     # Known places meet nothing, so any bucket will do: each part goes to one of its own.
     for k in range(0, len(here), KNOWN_PLACES):
         part = here[k : k + KNOWN_PLACES]
-        parts.append((_spread(keys[doc[part[0]], 0], pos[part[0]], buckets), True, part, None))
-    for into, known, at, flag in parts:
-        tags = b"" if known else b"".join(_planes(lane[at] >> np.uint64(64 - 8 * w), w) for lane, w in zip(lanes, widths, strict=True))
-        yield {
-            "bucket": into,
-            "known": known,
-            **_encode(keys, doc[at], pos[at]),
-            "tags": tags,
-            "flags": b"" if flag is None else np.packbits(flag & ALIGNED).tobytes() + np.packbits(flag & SILENT > 0).tobytes(),
-        }
+        into = _spread(keys[doc[part[0]], 0], pos[part[0]], coarse or buckets)
+        yield {"bucket": into, "known": True, **_encode(keys, doc[part], pos[part]), "tags": b"", "flags": b""}
+
+
+def _packed(bucket: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, tags: list[tuple[np.ndarray, int]], flags: np.ndarray) -> dict:
+    bits = np.packbits(flags & ALIGNED).tobytes() + np.packbits(flags & SILENT > 0).tobytes()
+    return {"bucket": bucket, "known": False, **_encode(keys, doc, pos), "tags": b"".join(_planes(t, w) for t, w in tags), "flags": bits}
+
+
+def repack(widths: list[int], width: int, buckets: int, coarse: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows for coarse buckets as rows for buckets, of the windows that a task gathers at a time."""
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = np.append(0, np.cumsum([len(p[0]) for p in parts]))
+        keys = np.concatenate([p[0] for p in parts])
+        doc = np.concatenate([p[1] + n for p, n in zip(parts, sizes, strict=False)])
+        pos, bucket, flags = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        tags = [(np.concatenate([p[5][i] for p in parts]), w) for i, w in enumerate(widths)]
+        order = np.lexsort((pos, doc, bucket))
+        found = []
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            found.append(_packed(int(bucket[at[0]]), keys, doc[at], pos[at], [(t[at], w) for t, w in tags], flags[at]))
+        return _batch(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, doc, pos = _decode(row, width)
+                if row["known"]:
+                    into = _spread(keys[0, 0], pos[0], -(-buckets // coarse)) * coarse + row["bucket"]
+                    yield _batch([row | {"bucket": min(into, buckets - 1)}])
+                    continue
+                lanes, at = [], 0
+                for w in (REST, *widths):
+                    lanes.append(_values(row["tags"][at : at + w * len(pos)], w))
+                    at += w * len(pos)
+                parts.append((keys, doc, pos, lanes[0].astype(np.int64) * coarse + row["bucket"], _flags(row["flags"], len(pos)), lanes[1:]))
+                n += len(pos)
+                if n >= SLAB:
+                    yield rows(parts)
+                    parts, n = [], 0
+        if parts:
+            yield rows(parts)
+
+    return run
 
 
 def _spread(key: int, pos: int, buckets: int) -> int:
@@ -133,9 +193,9 @@ def _spread(key: int, pos: int, buckets: int) -> int:
 
 def _encode(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> dict:
     """Ascending places (document, position) as documents, places of each, and gaps between positions."""
-    used, counts = np.unique(doc, return_counts=True)
+    firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    used, counts = doc[firsts], np.diff(np.append(firsts, len(doc)))
     gaps = np.diff(pos, prepend=0)
-    firsts = np.append(0, np.cumsum(counts)[:-1])
     gaps[firsts] = pos[firsts]
     return {"docs": keys[used].tobytes(), "counts": _planes(counts, 4), "gaps": _planes(gaps, 4)}
 
@@ -196,9 +256,10 @@ def match(widths: list[int], width: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def deal(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def deal(width: int, buckets: int, coarse: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of ``match`` as rows for buckets of documents: what a task has gathered is dealt at once,
-    so there are as many rows as tasks and buckets of documents make, and never more than places."""
+    so there are as many rows as tasks and buckets of documents make, and never more than places.
+    With ``coarse``, for buckets modulo that number."""
 
     def rows(parts: list[tuple]) -> pa.RecordBatch:
         sizes = np.append(0, np.cumsum([len(k) for k, _, _ in parts]))
@@ -206,6 +267,7 @@ def deal(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         doc = np.concatenate([d + s for (_, d, _), s in zip(parts, sizes, strict=False)])
         pos = np.concatenate([p for _, _, p in parts])
         into = (_mix(key[:, 0].copy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc]
+        into = into % coarse if coarse else into
         order = np.lexsort((pos, doc, into))
         cuts = np.flatnonzero(np.diff(into[order])) + 1
         found = [{"bucket": int(into[p[0]])} | _encode(key, doc[p], pos[p]) for p in np.split(order, cuts)]
@@ -246,29 +308,65 @@ def gather(names: list[str]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _slabs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Keys, word hashes and the first word of each document, for as many documents as make a slab."""
+def chunks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, for as many bytes at a time as ``CHUNK`` says; a word is never cut."""
+    at = 0
+    while len(text) - at > CHUNK:
+        blank = BLANK.search(text, at + CHUNK)
+        if blank is None:
+            break
+        yield text[at : blank.start()].split()
+        at = blank.start()
+    yield (text[at:] if at else text).split()
+
+
+@dataclass(frozen=True)
+class Slab:
+    """Pieces of documents. Piece i has the words ``first[i]`` to ``first[i + 1]`` of ``words`` (as hashes),
+    which start at word ``offsets[i]`` of the document of ``keys[i]``; ``last[i]`` says that the document ends
+    there. Each window lies in one piece whole."""
+
+    keys: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    offsets: np.ndarray
+    last: np.ndarray
+    extra: list
+
+
+def _slabs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Slab]:
+    """Slabs of about ``SLAB`` words; a longer document is cut into pieces that share ``length - 1`` words."""
     hashes = WordHashes()
-    keys, words, extra, n = [], [], [], 0
+    pieces: list[tuple] = []
+    n = 0
 
-    def slab() -> tuple:
-        sizes = np.array([len(w) for w in words], np.int64)
-        return np.array(keys, np.int64).reshape(-1, 2), np.concatenate(words), np.append(0, np.cumsum(sizes)), extra
+    def slab() -> Slab:
+        keys, words, offsets, last, extra = zip(*pieces, strict=True)
+        first = np.append(0, np.cumsum([len(w) for w in words]))
+        return Slab(np.array(keys, np.int64).reshape(-1, 2), np.concatenate(words), first, np.array(offsets, np.int64), np.array(last, bool), list(extra))
 
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns, strict=True))
         more = columns.get("_hits")
         for i, text in enumerate(columns["_text"]):
-            found = (text.as_py() or b"").split()
-            if len(found) < length:
+            key, extra = (columns["_k1"][i].as_py(), columns["_k2"][i].as_py()), more[i].as_py() if more is not None else None
+            held, offset = np.empty((0, 2), np.uint64), 0
+            parts = chunks(text.as_py() or b"")
+            part = next(parts)
+            while part is not None:
+                held, part = np.concatenate([held, hashes.of(part)]), next(parts, None)
+                while len(held) >= SLAB + length:
+                    pieces.append((key, held[: SLAB + length - 1], offset, False, extra))
+                    held, offset, n = held[SLAB:], offset + SLAB, n + SLAB
+                    yield slab()
+                    pieces, n = [], 0
+            if len(held) < length:
                 continue
-            keys.append((columns["_k1"][i].as_py(), columns["_k2"][i].as_py()))
-            words.append(hashes.of(found))
-            extra.append(more[i].as_py() if more is not None else None)
-            n += len(found)
+            pieces.append((key, held, offset, True, extra))
+            n += len(held)
             if n >= SLAB:
                 yield slab()
-                keys, words, extra, n = [], [], [], 0
+                pieces, n = [], 0
     if n:
         yield slab()
 
@@ -285,13 +383,14 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _probe(block: int, window: int, buckets: int, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, words, first, _ in _slabs(batches, window):
-            counts = np.diff(first) - block + 1
-            doc = np.repeat(np.arange(len(keys)), counts)
-            at = _ranges(first[:-1], counts)
-            pos = at - first[doc]
+        for slab in _slabs(batches, window):
+            # A block that starts in the last words of a piece stands in the next one too, and counts there.
+            counts = np.diff(slab.first) - np.where(slab.last, block, window) + 1
+            doc = np.repeat(np.arange(len(slab.keys)), counts)
+            at = _ranges(slab.first[:-1], counts)
+            pos = at - slab.first[doc] + slab.offsets[doc]
             # One half of the key is enough here: a collision only adds windows that are then compared.
-            rows = pack(keys[:, :1], doc, pos, [rolling(words, at, block)], pos % block == 0, buckets, widths)
+            rows = pack(slab.keys[:, :1], doc, pos, [rolling(slab.words, at, block)], pos % block == 0, buckets, widths, coarse_of(buckets))
             yield _batch(list(rows))
 
     return run
@@ -299,17 +398,20 @@ def _probe(block: int, window: int, buckets: int, widths: list[int]):
 
 def _extend(block: int, window: int, buckets: int, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, words, first, hits in _slabs(batches, window):
-            near = np.zeros(len(words) + 1, np.int64)
-            for d, found in enumerate(hits):
-                p = np.frombuffer(found, np.uint32).astype(np.int64)
-                last = first[d + 1] - first[d] - window
-                np.add.at(near, first[d] + np.minimum(np.maximum(p - (window - block), 0), last), 1)
-                np.add.at(near, first[d] + np.minimum(p, last) + 1, -1)
+        for slab in _slabs(batches, window):
+            near, first = np.zeros(len(slab.words) + 1, np.int64), slab.first
+            for d, found in enumerate(slab.extra):
+                p, last, offset = np.frombuffer(found, np.uint32), first[d + 1] - first[d] - window, slab.offsets[d]
+                p = p[np.searchsorted(p, offset) : len(p) if slab.last[d] else np.searchsorted(p, offset + last + window - block, side="right")].astype(np.int64) - offset
+                low, high = np.maximum(p - (window - block), 0), np.minimum(p, last)
+                low = np.minimum(low, last) if slab.last[d] else low
+                here = low <= high
+                np.add.at(near, first[d] + low[here], 1)
+                np.add.at(near, first[d] + high[here] + 1, -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             doc = np.searchsorted(first, at, side="right") - 1
-            lanes = [rolling(words, at, window, lane) for lane in (0, 1)]
-            rows = pack(keys, doc, at - first[doc], lanes, np.ones(len(at), bool), buckets, widths)
+            lanes = [rolling(slab.words, at, window, lane) for lane in (0, 1)]
+            rows = pack(slab.keys, doc, at - first[doc] + slab.offsets[doc], lanes, np.ones(len(at), bool), buckets, widths, coarse_of(buckets))
             yield _batch(list(rows))
 
     return run
@@ -320,16 +422,29 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket")) if buckets <= MOST_PARTITIONS else rows
 
 
+def _tasks(buckets: int) -> int:
+    """Partitions between two packings."""
+    return min(MOST_PARTITIONS, max(LEAST_BUCKETS, buckets // REPACKED))
+
+
 def _exchange(packed: DataFrame, buckets: int, widths: list[int], names: list[str], name: str) -> DataFrame:
     """``names, _hits``: for each document the places found, written out.
 
     Places are written as each bucket of windows finds them and then dealt to buckets of documents,
     whose number follows from the bytes of the places there are.
     """
+    if coarse := coarse_of(buckets):
+        # Rows of a coarse bucket may be in any of several tasks; each packs what it gets.
+        tasks = _tasks(buckets)
+        salt = F.pmod(F.xxhash64("docs", "gaps"), F.lit(max(1, tasks // coarse)))
+        packed = packed.repartition(tasks, "bucket", salt).mapInArrow(repack(widths, len(names), buckets, coarse), PACKED)
     found = written(_dealt(packed, buckets).groupBy("bucket").applyInArrow(match(widths, len(names)), PLACES), f"{name}-places")
     size = found.agg(F.sum(F.octet_length("docs") + F.octet_length("gaps"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(size / PLACES_BYTES))
-    dealt = found.mapInArrow(deal(len(names), buckets), f"bucket int, {PLACES}")
+    dealt, coarse = found, coarse_of(buckets)
+    if coarse:
+        dealt = dealt.mapInArrow(deal(len(names), buckets, coarse), f"bucket int, {PLACES}").repartition(_tasks(buckets), "bucket")
+    dealt = dealt.mapInArrow(deal(len(names), buckets), f"bucket int, {PLACES}")
     schema = ", ".join(f"{c} long" for c in names) + ", _hits binary"
     whole = written(_dealt(dealt, buckets).groupBy("bucket").applyInArrow(gather(names), schema), name)
     discard(found)
@@ -346,7 +461,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hit is extended to all windows around it, which are compared by 128-bit hash with those around
     all other hits (two hashes of each word, each rolled over the window by itself). Neighbouring
     repeated windows together are the maximal exact repeats. Work is linear in words: occurrences
-    are counted, never paired.
+    are counted, never paired. Memory is bounded by ``SLAB`` words, also within one long document.
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
@@ -362,6 +477,13 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return repeats
 
 
+def covered(starts: np.ndarray, window: int, begin: int, n: int) -> np.ndarray:
+    """Which of the ``n`` words from ``begin`` on lie in a window that starts at one of ``starts``, which are in order."""
+    near = starts[np.searchsorted(starts, begin - window, side="right") : np.searchsorted(starts, begin + n)] - begin
+    edges = np.bincount(np.maximum(near, 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(near + window, n), minlength=n + 1)[: n + 1]
+    return np.cumsum(edges[:n]) > 0
+
+
 @passes_columns
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """``docs`` with every word removed from ``text_col`` that a repeated window covers.
@@ -386,17 +508,15 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             texts, totals, removed = [], [], []
             at = batch.schema.names.index(text_col)
             for text, hits in zip(batch.column(at), batch.column(len(columns)), strict=True):
-                words = (text.as_py() or b"").split()
-                totals.append(len(words))
-                if (found := hits.as_py()) is None:
-                    removed.append(0)
-                else:
-                    starts = np.frombuffer(found, np.uint32).astype(np.int64)
-                    edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)
-                    gone = np.cumsum(edges[: len(words)]) > 0
-                    removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                texts.append(b" ".join(words))
+                starts = np.frombuffer(hits.as_py() or b"", np.uint32).astype(np.int64)
+                n, kept = 0, []
+                for words in chunks(text.as_py() or b""):
+                    gone = covered(starts, window, n, len(words))
+                    n += len(words)
+                    kept.append((b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words), len(words) - int(gone.sum())))
+                totals.append(n)
+                removed.append(n - sum(k for _, k in kept))
+                texts.append(b" ".join([t for t, k in kept if k]))
             out = list(batch.columns)[: len(columns)]
             out[at] = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays([*out, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], [*columns, "n_words", "n_removed"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -38,9 +39,11 @@ def brute_repeats(docs: list[tuple], window: int) -> list[tuple]:
 
 
 @pytest.mark.parametrize("window", [35, 8, 5, 2, 1])
-@pytest.mark.parametrize("slab", [1_000_000, 50])
-def test_repeats(spark, monkeypatch, window, slab):
-    monkeypatch.setattr(substring_dedup, "SLAB", slab)
+@pytest.mark.parametrize(("slab", "chunk", "direct"), [(1_000_000, 1 << 20, 4096), (50, 1 << 20, 4096), (70, 150, 3)])
+def test_repeats(spark, monkeypatch, window, slab, chunk, direct):
+    """Also where documents are cut into chunks and slabs, and where windows and places take two hops."""
+    for name, value in (("SLAB", slab), ("CHUNK", chunk), ("DIRECT", direct)):
+        monkeypatch.setattr(substring_dedup, name, value)
     docs = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     found = drop_repeats(documents(spark), window=window)
     assert rows_of(found, "doc_id", "text", "n_words", "n_removed") == sorted(brute_repeats(docs, window), key=str)
@@ -99,6 +102,61 @@ def test_known_places_of_equal_beginnings_spread():
     assert len(into) > 30
 
 
+def windows_of(rng, n: int, docs: int = 300) -> tuple:
+    """Places of ``n`` windows of random documents."""
+    counts = np.full(docs, n // docs)
+    return rng.integers(-(2**62), 2**62, (docs, 1)), np.repeat(np.arange(docs), counts), np.tile(np.arange(n // docs), docs)
+
+
+def test_packing_stays_cheap_as_buckets_grow():
+    """At 6.25 million buckets both packings together take a few millionths of a second for each window."""
+    buckets, rng = 6_250_000, np.random.default_rng(1)
+    coarse = substring_dedup.coarse_of(buckets)
+    keys, doc, pos = windows_of(rng, 900_000)
+    lanes = [rng.integers(0, 2**64, len(doc), np.uint64)]
+    began = time.perf_counter()
+    rows = list(pack(keys, doc, pos, lanes, pos % 18 == 0, buckets, [4], coarse))
+    first = (time.perf_counter() - began) / len(doc)
+    assert len(rows) <= coarse and {r["bucket"] for r in rows} <= set(range(coarse))
+
+    # What a task gets of one coarse bucket: rows of many slabs.
+    slabs = []
+    for _ in range(1500):
+        keys, doc, pos = windows_of(rng, 300, 50)
+        lane = rng.integers(0, 2**40, len(doc), np.uint64) * np.uint64(buckets) + rng.integers(0, buckets // coarse, len(doc), np.uint64) * np.uint64(coarse) + np.uint64(7)
+        slabs += pack(keys, doc, pos, [lane], pos % 18 == 0, buckets, [4], coarse)
+    began = time.perf_counter()
+    found = [r for b in substring_dedup.repack([4], 1, buckets, coarse)(iter([substring_dedup._batch(slabs)])) for r in b.to_pylist()]
+    second = (time.perf_counter() - began) / 450_000
+    assert {r["bucket"] % coarse for r in found} == {7} and len(found) <= buckets // coarse + 1
+    assert first + second < 5e-6
+
+
+@pytest.mark.parametrize("buckets", [40, 5000])
+def test_both_packings_send_the_same(monkeypatch, buckets):
+    """Windows, tags and flags arrive at the same buckets by one packing or by two."""
+    monkeypatch.setattr(substring_dedup, "DIRECT", 30)
+    coarse, rng = substring_dedup.coarse_of(buckets), np.random.default_rng(buckets)
+    keys, doc, pos = windows_of(rng, 3000)
+    lanes = [rng.integers(0, 2**64, 700, np.uint64)[rng.integers(0, 700, len(doc))] for _ in range(1)]
+    lanes.append(lanes[0] * np.uint64(3))
+
+    def sent(rows) -> list[tuple]:
+        out = []
+        for r in rows:
+            key, d, p = substring_dedup._decode(r, 1)
+            flags = np.zeros(len(p), int) if r["known"] else substring_dedup._flags(r["flags"], len(p))
+            tags = np.zeros((2, len(p)), np.uint64) if r["known"] else [substring_dedup._values(r["tags"][w * 8 * len(p) : (w + 1) * 8 * len(p)], 8) for w in (0, 1)]
+            out += [(None if r["known"] else r["bucket"], r["known"], *map(int, (key[d[i], 0], p[i], tags[0][i], tags[1][i], flags[i]))) for i in range(len(p))]
+        return sorted(out, key=str)
+
+    aligned = pos % 4 == 0
+    one = list(pack(keys, doc, pos, lanes, aligned, buckets, [8, 8]))
+    two = substring_dedup._batch(list(pack(keys, doc, pos, lanes, aligned, buckets, [8, 8], coarse)))
+    twice = [r for b in substring_dedup.repack([8, 8], 1, buckets, coarse)(iter([two])) for r in b.to_pylist()]
+    assert sent(one) == sent(twice) and max(r["bucket"] for r in twice) < buckets
+
+
 def test_lanes_have_word_hashes_of_their_own():
     """Words that agree in one hash still differ in the other, and so do their windows."""
     hashes = np.array([[1, 1], [2, 2], [1, 3], [2, 4]], np.uint64)
