@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,16 @@ from hyperloom.llm.decontaminate import words_of
 from hyperloom.llm.license_texts import PHRASES, SENTENCES, TEXTS
 from hyperloom.plans.tables import numbered
 
-#: Words from one block to the next for short templates; twice as many for those of up to twice the words, and so on.
-STRIDE = 32
-#: Prefix words that are looked for as literals, within the rows of documents. More are joined.
+#: Words from one block to the next for the shortest templates; twice as many for those of up to twice the words, and so on.
+STRIDE = 4
+#: Template words that are looked for as literals, within the rows of documents. More are joined.
 LITERALS = 5_000
 
 
 @dataclass(frozen=True)
 class Template:
     """``phrase`` stands for ``label`` where a block holds the share ``least`` of its distinct words.
+    The template's own length says how wide its blocks are, whatever other templates there are.
 
     A ``consecutive`` template counts only where all its words stand in a row, and each such place
     counts.
@@ -47,6 +50,10 @@ class Template:
             least *= 2
         return least
 
+    def width(self, least: int = STRIDE) -> int:
+        """Words of a block: as few as hold every place that begins before the next block."""
+        return self.stride(least) + len(self.words) - 1
+
 
 BASE = tuple(Template(label, phrase, 1.0, True) for label, phrase in PHRASES)
 STATEMENTS = (
@@ -72,15 +79,27 @@ def _prepared(templates: DataFrame, stride: int) -> DataFrame:
     return rows.drop("least").withColumn("tid", F.monotonically_increasing_id())
 
 
-def _blocks_at(at: Column, stride: int, longest: int) -> Column:
-    """The numbers of the blocks of ``stride + longest - 1`` words that hold the positions ``at``."""
+def _blocks_at(at: Column, stride: int) -> Column:
+    """The numbers of the blocks of ``2 * stride`` words that hold the positions ``at``."""
     number = lambda i: (i / stride).cast("int")
-    both = lambda i: (i >= stride) & (i % stride < longest - 1)
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.when(both(i), F.array(number(i) - 1, number(i))).otherwise(F.array(number(i))))))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.when(i >= stride, F.array(number(i) - 1, number(i))).otherwise(F.array(number(i))))))
+
+
+def _of_words(words: list[str], hit: Column) -> Column:
+    return hit["w"].isin(words)
+
 
+def _of_stride(stride: int, hit: Column) -> Column:
+    return hit["stride"] == stride
 
-def _block(stride: int, longest: int):
-    return lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("b"), F.slice("_words", b * stride + 1, stride + longest - 1).alias("w"))
+
+def _at(keep: Callable[[Column], Column]) -> Column:
+    """The positions of the hits of one stride."""
+    return F.transform(F.filter("_hits", lambda hit: keep(hit)), lambda hit: hit["i"])
+
+
+def _block(stride: int):
+    return lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("b"), F.slice("_words", b * stride + 1, 2 * stride).alias("w"))
 
 
 def scan(
@@ -97,14 +116,16 @@ def scan(
     ``templates`` is a table (``label, phrase, least, consecutive``) of any size with phrases of any
     length, or a tuple that becomes one. Template words are ordered by how often they occur in all
     documents, rarest first. A block that holds ``needed`` of a template's distinct words holds one of
-    its first ``size - needed + 1``: only blocks around such a prefix word are built. Blocks overlap so
-    that a template lies in one of them whole; templates of up to ``stride + 1`` words have blocks
-    every ``stride`` words, longer ones every twice as many, and so on. Blocks meet templates over
-    prefix words (prefix filter), pass if they have enough template words (length filter) and if
-    enough can follow the common word in both orders (positional filter), and are then counted
-    exactly, once, at their first common word.
-
-    Up to ``literals`` prefix words are found within the documents' own rows. More are joined with the
+    its first ``size - needed + 1``: only blocks around such a prefix word are built. Templates of up to
+    ``stride + 1`` words have blocks every ``stride`` words, longer ones every twice as many, and so on; a
+    template of n words looks at ``stride + n - 1`` words of each of its blocks, so it lies in one of
+    them whole, and which other templates there are changes nothing for it. Blocks meet templates
+    over prefix words (prefix filter), pass if they have enough template words (length filter) and
+    if enough can follow the common word in both orders (positional filter), all on blocks of the
+    longest template that their stride allows, and are then counted exactly on the template's own
+    words, once, at their first common word.
+
+    Up to ``literals`` template words are found within the documents' own rows. More are joined with the
     words of the documents, and positions come back to the texts, which are shuffled once for that.
     Templates, ranks and prefix words are broadcast only if their measured bytes are few.
 
@@ -120,11 +141,17 @@ def scan(
     spark = docs.sparkSession
     table = templates if isinstance(templates, DataFrame) else template_table(spark, templates)
     table = written(_prepared(table, stride), "templates")
-    classes = {r["stride"]: r["longest"] for r in table.groupBy("stride").agg(F.max(F.size("phrase")).alias("longest")).collect()}
+    classes = sorted(r["stride"] for r in table.select("stride").distinct().collect())
     words = words_of(F.col(text_col))
 
-    vocabulary = broadcast_if_small(table.select(F.explode("phrase").alias("w")).distinct())
-    counts = docs.select(F.explode(words).alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = written(table.select(F.explode("phrase").alias("w")).distinct(), "vocabulary")
+    few = vocabulary.count() <= literals
+    if few:
+        known = [r["w"] for r in vocabulary.collect()]
+        seen = docs.select(F.explode(F.filter(words, lambda w: w.isin(known))).alias("w"))
+    else:
+        seen = docs.select(F.explode(words).alias("w")).join(broadcast_if_small(vocabulary), "w", "left_semi")
+    counts = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counted = vocabulary.join(counts, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
     ranked_words = written(numbered(counted, ["n", "w"], "rank").select("rank", "w"), "ranks")
     ranks = broadcast_if_small(ranked_words)
@@ -132,31 +159,38 @@ def scan(
     ordered = table.join(ordered.groupBy("tid").agg(F.array_sort(F.collect_list("rank")).alias("ranks")), "tid")
     ordered = written(ordered, "ordered")
     index = ordered.select("tid", "stride", "needed", F.size("ranks").alias("whole"), F.posexplode(F.slice("ranks", 1, F.size("ranks") - F.col("needed") + 1)).alias("p", "rank"))
-    prefix = written(index.select("rank").distinct().join(ranks, "rank").select("w"), "prefix")
+    prefix = written(index.select("stride", "rank").distinct().join(ranks, "rank").select("stride", "w"), "prefix")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), words.alias("_words"))
-    if prefix.count() <= literals:
-        chosen = [r["w"] for r in prefix.collect()]
-        rows = rows.withColumn("_at", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(chosen), i))))
+    if few:
+        chosen: dict[int, list[str]] = {s: [] for s in classes}
+        for r in prefix.collect():
+            chosen[r["stride"]].append(r["w"])
+        every = sorted(set().union(*chosen.values()))
+        rows = rows.withColumn("_hits", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(every), F.struct(i.alias("i"), w.alias("w"))))))
+        at = {s: _at(partial(_of_words, of)) for s, of in chosen.items()}
     else:
-        at = rows.select("_k1", "_k2", F.posexplode("_words").alias("_i", "w")).join(broadcast_if_small(prefix), "w", "left_semi")
-        rows = rows.join(at.groupBy("_k1", "_k2").agg(F.collect_set("_i").alias("_at")), ["_k1", "_k2"], "left")
-        rows = rows.withColumn("_at", F.coalesce("_at", F.array().cast("array<int>")))
+        hits = rows.select("_k1", "_k2", F.posexplode("_words").alias("_i", "w")).join(broadcast_if_small(prefix), "w")
+        hits = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct(F.col("_i").alias("i"), "stride")).alias("_hits"))
+        rows = rows.join(hits, ["_k1", "_k2"], "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<i:int,stride:int>>")))
+        at = {s: _at(partial(_of_stride, s)) for s in classes}
     parts = [F.array().cast("array<struct<stride:int,b:int,w:array<string>>>")]
-    for s, longest in sorted(classes.items()):
-        parts.append(F.transform(_blocks_at(F.col("_at"), s, longest), _block(s, longest)))
+    for s in classes:
+        parts.append(F.transform(_blocks_at(at[s], s), _block(s)))
     base = written(rows.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), F.concat(*parts).alias("_blocks")), "blocks")
 
     key = ["_k1", "_k2", "stride", "b"]
     blocks = base.select("_k1", "_k2", F.explode("_blocks").alias("_block")).select("_k1", "_k2", "_block.stride", "_block.b", "_block.w").dropDuplicates(key)
     blocks = written(blocks, "distinct-blocks")
-    ranked = blocks.select(*key, F.explode(F.array_distinct("w")).alias("w")).join(ranks, "w")
-    ranked = ranked.groupBy(*key).agg(F.array_sort(F.collect_list("rank")).alias("_ranks"))
-    met = ranked.select(*key, "_ranks", F.posexplode("_ranks").alias("q", "rank")).join(broadcast_if_small(index), ["rank", "stride"])
+    ranked = blocks.select(*key, F.posexplode("w").alias("i", "w")).join(ranks, "w")
+    ranked = ranked.groupBy(*key).agg(F.collect_list(F.struct("i", "rank")).alias("_placed"))
+    ranked = ranked.withColumn("_ranks", F.array_sort(F.array_distinct(F.col("_placed.rank"))))
+    met = ranked.select(*key, "_placed", "_ranks", F.posexplode("_ranks").alias("q", "rank")).join(broadcast_if_small(index), ["rank", "stride"])
     size, whole = F.size("_ranks"), F.col("whole")
     met = met.where(size >= F.col("needed")).where(F.least("p", "q") + F.least(whole - F.col("p"), size - F.col("q")) >= F.col("needed"))
     met = met.join(broadcast_if_small(ordered.select("tid", "label", "consecutive", "phrase", "ranks")), "tid")
-    met = met.withColumn("_common", F.array_intersect("_ranks", "ranks"))
+    width = F.col("stride") + F.size("phrase") - 1
+    met = met.withColumn("_own", F.filter("_placed", lambda x: x["i"] < width)).withColumn("_common", F.array_intersect(F.col("_own.rank"), "ranks"))
     met = met.where((F.size("_common") >= F.col("needed")) & (F.array_min("_common") == F.col("rank")))
     met = written(met.select(*key, "label", "consecutive", "phrase", (F.size("_common") / whole).alias("share")), "met")
     n = F.size("phrase")
@@ -177,7 +211,7 @@ def scan(
         F.max("share").alias("score"),
     )
     found = written(found, "licenses")
-    discard(table, ranked_words, ordered, prefix, blocks, met)
+    discard(table, vocabulary, ranked_words, ordered, prefix, blocks, met)
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return base.drop("_blocks").join(found, ["_k1", "_k2"], "left").select(
         "doc_id",

@@ -53,7 +53,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
     read = warc.read_archive(spark, path)
     return read.select(
-        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+        "complete",
     )
 
 
@@ -110,21 +115,19 @@ _TOKENS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D
 
 
 def _license_sql() -> str:
-    """Brute force: every block against every template."""
-    longest: dict[int, int] = {}
-    for t in license_scan.BASE + license_scan.STATEMENTS:
-        longest[t.stride()] = max(len(t.words), longest.get(t.stride(), 0))
-    classes = ", ".join(f"({s}, {n})" for s, n in longest.items())
+    """Brute force: every template against every block of its own width."""
+    widths = sorted({(t.stride(), t.width()) for t in license_scan.STATEMENTS})
+    classes = ", ".join(f"({s}, {n})" for s, n in widths)
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     base = ", ".join(f"('{t.label}', {quoted(t.words)})" for t in license_scan.BASE)
-    other = ", ".join(f"('{t.label}', {quoted(sorted(set(t.words)))}, {t.needed}, {t.stride()})" for t in license_scan.STATEMENTS)
+    other = ", ".join(f"('{t.label}', {quoted(sorted(set(t.words)))}, {t.needed}, {t.stride()}, {t.width()})" for t in license_scan.STATEMENTS)
     return f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         p AS (SELECT doc_id, label, i FROM (SELECT *, unnest(generate_series(0, len(w) - 1)) AS i FROM d), (VALUES {base}) t(label, ws)
               WHERE list_slice(w, i + 1, i + len(ws)) = ws),
-        b AS (SELECT doc_id, st, list_distinct(list_slice(w, k * st + 1, (k + 1) * st + most - 1)) AS s
-              FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // st)) AS k FROM d, (VALUES {classes}) c(st, most) WHERE len(w) > 0)),
-        m AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS n, len(ws) AS whole, need FROM b JOIN (VALUES {other}) t(label, ws, need, st) USING (st)),
+        b AS (SELECT doc_id, st, wide, list_distinct(list_slice(w, k * st + 1, k * st + wide)) AS s
+              FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // st)) AS k FROM d, (VALUES {classes}) c(st, wide) WHERE len(w) > 0)),
+        m AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS n, len(ws) AS whole, need FROM b JOIN (VALUES {other}) t(label, ws, need, st, wide) USING (st, wide)),
         f AS (SELECT doc_id, label, false AS base, NULL AS i, n / whole AS share FROM m WHERE n >= need
               UNION ALL SELECT doc_id, label, true, i, 1.0 FROM p),
         g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) AS first_word, max(i) AS last_word,
@@ -235,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
                    list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                        ((('0x' || substr(hex, (i // 4)::int * 5 + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
                    CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
-                   CASE WHEN page_id <> keep THEN keep END AS refers_to
+                   CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS complete
             FROM g""",
         "op4_license_scan": _license_sql(),
         "op10_mixing": _mixing_sql(),

@@ -236,9 +236,6 @@ def test_contamination_of_nothing(spark):
 
 
 def brute_scan(docs: list[tuple], templates: tuple[Template, ...] = BASE + STATEMENTS, stride: int = STRIDE) -> list[tuple]:
-    longest: dict[int, int] = {}
-    for t in templates:
-        longest[t.stride(stride)] = max(len(t.words), longest.get(t.stride(stride), 0))
     out = []
     for i, text in docs:
         w = words_of(text)
@@ -247,7 +244,7 @@ def brute_scan(docs: list[tuple], templates: tuple[Template, ...] = BASE + STATE
         for t in templates:
             whole, step = set(t.words), t.stride(stride)
             for b in range(0, 0 if t.consecutive else len(w), step):
-                n = len(whole & set(w[b : b + step + longest[step] - 1]))
+                n = len(whole & set(w[b : b + step + len(t.words) - 1]))
                 if n >= t.needed:
                     labels.add(t.label)
                     score = max(score, n / len(whole))
@@ -305,3 +302,24 @@ def test_templates_of_any_length_and_number(spark, literals):
     assert {r[0]: r[6] for r in wanted} == {1: "long", 2: "t007", 3: "", 4: "phrase", 5: ""}
     none = scan(docs, template_table(spark, templates).where("false")).collect()
     assert len(none) == 5 and {r["labels"] for r in none} == {""}
+
+
+@pytest.mark.parametrize("literals", [5_000, 0])
+def test_other_templates_change_nothing(spark, literals):
+    """What a template finds, and its score, are the same alone and beside any others."""
+    spread = ["x"] * 44
+    spread[0], spread[20], spread[43] = "all", "rights", "reserved"
+    near = ["y", "all", "z", "rights", "reserved"]
+    rows = [(1, " ".join(spread)), (2, " ".join(near)), (3, "reserved all rights " + " ".join(spread)), (4, " ".join(["n"] * 31 + ["all", "rights", "reserved"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = Template("A", "all rights reserved", 1.0)
+    others = (Template("B", " ".join(f"b{k}" for k in range(33))), Template("C", "b1 b2 all of b3"), Template("D", "x y", 1.0, True))
+    alone = rows_of(scan(docs, (one,), literals=literals), "doc_id", "labels", "score")
+    assert alone == [(1, "", 0.0), (2, "A", 1.0), (3, "A", 1.0), (4, "A", 1.0)]
+    for more in (others[:1], others[1:], others):
+        assert rows_of(scan(docs, (one, *more), literals=literals), "doc_id", "labels", "score") == alone
+    if literals:
+        licenses = licensed(spark)
+        every = {(r["doc_id"], label) for r in scan(licenses).collect() for label in r["labels"].split(",") if label}
+        for t in (BASE[0], STATEMENTS[-1]):
+            assert {(r["doc_id"], t.label) for r in scan(licenses, (t,)).where("labels <> ''").collect()} <= every
