@@ -8,10 +8,12 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.plans.tables import BROADCAST_BYTES, broadcast_if_small, discard, scratch_path, shared_folder, size_in_bytes, written
+from hyperloom.plans import tables
+from hyperloom.plans.tables import broadcast_if_small, discard, scratch_path, shared_folder, size_in_bytes, written
 
 __all__ = [
-    "broadcast_if_small", "discard", "hash128", "join_counted", "lower_ascii", "passes_columns", "row_key", "scratch_path", "shared_folder", "size_in_bytes", "written",
+    "broadcast_if_small", "discard", "hash128", "join_counted", "lower_ascii", "meeting", "passes_columns", "row_key", "scratch_path", "shared_folder",
+    "size_in_bytes", "written",
 ]
 
 #: The characters that separate words and are stripped from lines.
@@ -62,7 +64,7 @@ def hash128(value: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))
 
 
-def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, *, hot: int = HOT_ROWS, limit: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, *, hot: int | None = None, limit: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``found``, which has one row for each value of ``key`` and says in
     ``count`` how many of ``rows`` have it. Nulls are one value.
 
@@ -72,13 +74,14 @@ def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, *, hot
     """
     named = found.withColumnsRenamed({key: "_key"})
     same = F.col(key).eqNullSafe(F.col("_key"))
-    if size_in_bytes(named) <= (BROADCAST_BYTES if limit is None else limit):
+    limit, hot = tables.BROADCAST_BYTES if limit is None else limit, HOT_ROWS if hot is None else hot
+    if limit and size_in_bytes(named) <= limit:
         return rows.join(F.broadcast(named), same).drop("_key", count)
     large, small = named.where(F.col(count) > hot), named.where(F.col(count) <= hot)
     size = size_in_bytes(large)
     if not size:
         return rows.join(named, same).drop("_key", count)
-    if size <= (BROADCAST_BYTES if limit is None else limit):
+    if size <= limit:
         apart = rows.join(F.broadcast(large), same)
         rest = rows.join(F.broadcast(large.select("_key")), same, "left_anti")
     else:
@@ -88,3 +91,15 @@ def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, *, hot
         apart = met.where(F.col("_salt").isNotNull()).drop("_salt")
         rest = met.where(F.col("_salt").isNull()).select(*rows.columns)
     return apart.unionByName(rest.join(small, same)).drop("_key", count)
+
+
+def meeting(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is one of ``known``, a table of distinct ones.
+
+    A ``known`` too large to broadcast first meets the distinct keys of ``rows``, counted within tasks;
+    what is met comes back with its count, so a key that a third of the rows have is dealt apart.
+    """
+    if size_in_bytes(known) <= tables.BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), key, "left_semi")
+    met = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).join(known, key), "met-keys")
+    return join_counted(rows, met, key, "_rows").select(*rows.columns)

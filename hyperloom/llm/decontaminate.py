@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import NON_WORD, broadcast_if_small, discard, lower_ascii, passes_columns, row_key, written
+from hyperloom.llm.common import NON_WORD, broadcast_if_small, discard, lower_ascii, meeting, passes_columns, row_key, written
 
 
 def words_of(text: Column) -> Column:
@@ -142,13 +142,13 @@ def contamination(
         own = with_grams(sized.where(F.col("_n") == length), [length]).select(F.lit(length), F.explode_outer(F.transform(f"_gram{length}", _of_length(length))))
         marks = marks.union(own)
     marks = written(marks.distinct().where("_mark IS NOT NULL"), "marks")
-    known = broadcast_if_small(marks.select("_mark").distinct())
+    known = written(marks.select("_mark").distinct(), "known-marks")
 
     key = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), *key, words_of(F.col(text_col)).alias("_words"))
     base = with_fingerprints(rows, window, gram, short)
     base = written(base.select("doc_id", "_k1", "_k2", F.size("_words").cast("long").alias("n_words"), "_marks"), "fingerprints")
-    hits = base.select("_k1", "_k2", F.explode("_marks").alias("_mark")).join(known, "_mark", "left_semi")
+    hits = meeting(base.select("_k1", "_k2", F.explode("_marks").alias("_mark")), known, "_mark")
     hits = written(hits.select("_k1", "_k2").distinct(), "hits")
     again = docs.select(*key, F.col(text_col).alias("_text")).join(broadcast_if_small(hits), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     again = written(again.select("_k1", "_k2", words_of(F.col("_text")).alias("_words")), "hit-words")
@@ -158,15 +158,15 @@ def contamination(
         reach = gram if length == window else length
         grams = F.col(f"_gram{reach}") if length == window else F.transform(f"_gram{reach}", _of_length(length))
         there = with_grams(again, [reach]).select("_k1", "_k2", F.size("_words").alias("_n"), F.posexplode_outer(grams).alias("_at", "_mark"))
-        met = there.join(broadcast_if_small(marks.where(F.col("_length") == length).select("_mark")), "_mark", "left_semi").where(F.col("_n") >= length)
+        met = meeting(there, marks.where(F.col("_length") == length).select("_mark"), "_mark").where(F.col("_n") >= length)
         met = met.select("_k1", "_k2", F.explode(_around(F.col("_n"), length, reach)(F.col("_at"))).alias("_start"))
         met = met.groupBy("_k1", "_k2").agg(F.collect_set("_start").alias("_starts")).withColumn("_length", F.lit(length))
         starts = met if starts is None else starts.union(met)
     texts = again.join(starts, ["_k1", "_k2"]).select("_k1", "_k2", "_words", "_length", F.explode("_starts").alias("_start"))
     candidates = texts.select("_k1", "_k2", "_start", "_length", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("_length")), " ").alias("_window"))
-    distinct = broadcast_if_small(windows.select("_window").distinct())
-    places = written(candidates.join(distinct, "_window"), "places")
-    discard(again, hits, marks, stored)
+    distinct = written(windows.select("_window").distinct(), "distinct-windows")
+    places = written(meeting(candidates, distinct, "_window"), "places")
+    discard(again, hits, known, distinct, marks, stored)
 
     fold = F.aggregate(
         F.array_sort(F.collect_list(F.struct("_start", (F.col("_start") + F.col("_length")).alias("end")))),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import broadcast_if_small, written
+from hyperloom.llm.common import broadcast_if_small, join_counted, written
 
 DIMENSIONS = ("source", "lang", "topic")
 LOG = logging.getLogger(__name__)
@@ -115,13 +115,14 @@ def calibrate(
     few = n_cells <= FEW_CELLS
     cells = cells.coalesce(1) if few else cells
     for d in DIMENSIONS:
-        own = F.sum("tokens").over(Window.partitionBy(d))
+        cells, own = _with_sum(cells, d, "tokens", few)
         if targets and d in targets:
             pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
             share = F.coalesce(F.element_at(F.create_map(*pairs), F.col(d)), F.lit(0.0))
         else:
             share = F.pow(own.cast("double"), F.lit(temper))
-        cells = cells.withColumn(f"_{d}", share)
+        cells = cells.withColumn(f"_{d}", share).drop("_sum")
+        cells = cells if few else written(cells, "shares")
     cells = written(cells.withColumn("w", F.col("tokens").cast("double")), "targets")
     sums = {d: cells.select(d, f"_{d}").distinct().agg(F.sum(f"_{d}")).first()[0] or 1.0 for d in DIMENSIONS}
     done, upto = 0, rounds
@@ -129,8 +130,9 @@ def calibrate(
         for k in range(done, upto):
             cells = cells.coalesce(1) if few else cells
             for d in DIMENSIONS:
-                now = F.sum("w").over(Window.partitionBy(d))
-                cells = cells.withColumn("w", F.when(now > 0, F.col("w") * (F.col(f"_{d}") / F.lit(sums[d])) / now).otherwise(0.0))
+                cells, now = _with_sum(cells, d, "w", few)
+                cells = cells.withColumn("w", F.when(now > 0, F.col("w") * (F.col(f"_{d}") / F.lit(sums[d])) / now).otherwise(0.0)).drop("_sum")
+                cells = cells if few else written(cells, "scaled")
             if k % ROUNDS_A_TABLE == ROUNDS_A_TABLE - 1 or k == upto - 1:
                 cells = written(cells, "fitted")
         done, error = upto, off_target(cells, F.col("w"), sums)
@@ -155,6 +157,18 @@ def calibrate(
     return Mixture(cells.select(*DIMENSIONS, "tokens", "probability", "saturated"), n_cells, n_saturated, done, error, gap)
 
 
+def _with_sum(cells: DataFrame, d: str, of: str, few: bool) -> tuple[DataFrame, Column]:
+    """``cells`` with the sum of a column over each value of ``d``, and that sum.
+
+    Few cells are in one task, where a window does it. Many are summed within tasks, and the sums
+    are joined back: a value with a third of all cells stays spread.
+    """
+    if few:
+        return cells, F.sum(of).over(Window.partitionBy(d))
+    sums = written(cells.groupBy(d).agg(F.sum(of).alias("_sum"), F.count(F.lit(1)).alias("_cells")), "sums")
+    return join_counted(cells, sums, d, "_cells"), F.col("_sum")
+
+
 def off_target(cells: DataFrame, weight: Column, sums: dict[str, float]) -> float:
     """The largest distance of a value's share of ``weight`` from its target, over all dimensions."""
     whole = cells.agg(F.sum(weight)).first()[0] or 1.0

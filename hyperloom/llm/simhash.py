@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import broadcast_if_small, discard, passes_columns, row_key, written
+from hyperloom.llm.common import broadcast_if_small, discard, join_counted, passes_columns, row_key, written
 from hyperloom.llm.components import connected_components
 
 BITS = 64
@@ -27,8 +27,6 @@ DIRECT = 1 << 22
 LEADERS = 4
 #: Fingerprints of one bucket that one task takes; larger buckets are dealt anew by their other bits.
 LARGE = 1 << 18
-#: Rows of one fingerprint that are not shuffled to find their component: at most one fingerprint for so many rows.
-HOT_ROWS = 100_000
 ALL = (1 << BITS) - 1
 BUCKETED = "part long, key long, free long, fp long"
 
@@ -420,17 +418,12 @@ def _components(
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows")), "fingerprint-nodes")
     parts = connected_components(near_links(nodes, max_distance=max_distance))
     labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "_first", "_rows", F.coalesce("component", "fp").alias("_label"))
-    lowest = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
-    named = written(labelled.join(lowest, "_label").select("fp", "component_id", "_rows"), "components")
-    discard(nodes)
-    # Fingerprints of many rows, empty texts for one, are few: their rows need not meet in a shuffle.
-    hot = named.where(F.col("_rows") > HOT_ROWS).drop("_rows")
-    if hot.isEmpty():
-        found = marked.join(named.drop("_rows"), "fp")
-    else:
-        hot = broadcast_if_small(hot)
-        cold = named.where(F.col("_rows") <= HOT_ROWS).drop("_rows")
-        found = marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(cold, "fp"))
+    labelled = written(labelled, "labelled")
+    lowest = written(labelled.groupBy("_label").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_nodes")), "components")
+    # Neither a component of many fingerprints nor a fingerprint of many rows, the empty text's for one, meets in one task.
+    named = written(join_counted(labelled, lowest, "_label", "_nodes").select("fp", "component_id", "_rows"), "named")
+    discard(nodes, labelled, lowest)
+    found = join_counted(marked, named, "fp", "_rows")
     return found.select("doc_id", *also, "fp", "component_id")
 
 
