@@ -39,9 +39,19 @@ def bind_accumulator(arch: Architecture, acc: Column, vec: Column) -> Column:
 
 
 def _bind_real(kind: str):
+    """Pairs of a batch are bound as matrices, one for each size; null where a side is."""
+
     @F.pandas_udf("array<double>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernels.bind(kind, np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)])
+        out: list[np.ndarray | None] = [None] * len(a)
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x is not None and y is not None:
+                sizes.setdefault((len(x), len(y)), []).append(i)
+        for at in sizes.values():
+            for i, vec in zip(at, kernels.bind(kind, np.stack(a.iloc[at].to_list()), np.stack(b.iloc[at].to_list())), strict=True):
+                out[i] = vec
+        return pd.Series(out, dtype=object)
 
     return run
 

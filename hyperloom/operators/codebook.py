@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from hyperloom.architectures import Architecture, InvalidDataTypeError
 from hyperloom.functions import kernels
 from hyperloom.functions.algebra import ColumnVectorAlgebra, VectorAlgebra
+from hyperloom.operators.search import most_similar
 from hyperloom.plans.expression import Expression, UnknownValueError
 from hyperloom.plans.tables import numbered, written
 
@@ -84,7 +85,8 @@ class Codebook:
 
     ``columns`` maps known columns to their categories, or to None for plain strings. ``origins``
     (``column, name``) says which plain columns a value stood in; it is read only where asked for.
-    ``depth`` counts extensions since ``names`` was last written.
+    ``depth`` counts extensions since ``names`` was last written. ``source`` is the table that the
+    codebook was made of, all of whose plain values it has.
     """
 
     arch: Architecture
@@ -93,6 +95,7 @@ class Codebook:
     columns: Mapping[str, tuple[str, ...] | None] = field(default_factory=dict)
     origins: DataFrame | None = None
     depth: int = 0
+    source: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession, arch: Architecture, size: int) -> Codebook:
@@ -132,7 +135,7 @@ class Codebook:
         first = numbered(first.select("at.p", "at.kind", "at.i", "name"), ["p", "kind", "i", "name"])
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("name")) for _, c in open_])
         origins = df.select(F.explode(cells).alias("c")).where("c.name IS NOT NULL").select("c.*").distinct() if open_ else None
-        return Codebook(arch, size, first.select("idx", "name"), known, origins)
+        return Codebook(arch, size, first.select("idx", "name"), known, origins, source=df.select(*[F.col(f"`{c}`") for c in known]))
 
     def extend(self, names: Iterable[str]) -> Codebook:
         """With ``names`` added in order; those that exist, or repeat, stay as they are."""
@@ -147,7 +150,7 @@ class Codebook:
         names, depth = self.names.union(more), self.depth + 1
         if depth == MOST_UNIONS:
             names, depth = written(names, "names"), 0
-        return Codebook(self.arch, self.size, names, self.columns, self.origins, depth)
+        return Codebook(self.arch, self.size, names, self.columns, self.origins, depth, self.source)
 
     def push(self, name: str) -> Codebook:
         return self.extend([name])
@@ -261,6 +264,19 @@ class Codebook:
         """The ``k`` most similar of the selected symbols; of ties the later one comes first."""
         return self.similarities(query, selector).orderBy(F.desc("similarity"), F.desc("pos")).limit(k)
 
+    def find_all(self, queries: DataFrame, selector: list[Key] | ColumnKey | None = None, *, k: int = 1, query_col: str = "id", vector_col: str = "vec") -> DataFrame:
+        """``query, rank, pos, idx, name, similarity``: for each row of ``queries`` the ``k`` most similar of the
+        selected symbols, as ``find`` gives them. Symbols' vectors are made within the tasks that compare them.
+        """
+        arch, size = self.arch, self.size
+        rows = self.select(selector)
+
+        def vectors(batch: pa.RecordBatch) -> np.ndarray:
+            return np.stack([kernels.symbol(arch, n, size) for n in batch.column(batch.schema.get_field_index("name")).to_pylist()] or [np.empty(size)])[: batch.num_rows]
+
+        found = most_similar(queries, rows, arch, k=k, query_col=query_col, id_col="pos", vector_col=vector_col, vectors=vectors)
+        return found.withColumnRenamed("id", "pos").join(rows, "pos").select("query", "rank", "pos", "idx", "name", "similarity")
+
     def similarities_of(self, names: list[str], text: str) -> DataFrame:
         """``pos, name, similarity`` of each given name to the value of an expression.
 

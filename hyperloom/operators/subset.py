@@ -57,7 +57,8 @@ class Subset:
     def validate(self) -> None:
         """Raise SubsetError unless columns, their kinds, and all values are known.
 
-        Values are checked by one anti-join of the distinct ones against the codebook.
+        Values are checked by one anti-join of the distinct ones against the codebook. The codebook's own
+        table has no plain value that it lacks, so only declared categories are checked there.
         """
         if not self.columns:
             raise ValueError("a table without columns has no rows to encode")
@@ -71,6 +72,11 @@ class Subset:
             if not holds_symbols(field, categories) or categories != known[name]:
                 raise ColumnTypeMismatchError(name)
             plain.append((name, categories, isinstance(field.dataType, T.IntegralType)))
+        source = self.codebook.source
+        if source is not None and source.sameSemantics(self.df.select(*[F.col(f"`{c}`") for c in self.columns])):
+            plain = [x for x in plain if x[1] is not None]
+            if not plain:
+                return
         structs = []
         for c, k, coded in plain:
             cell, bad = F.col(f"`{c}`"), F.lit(False)

@@ -170,7 +170,7 @@ class Pow(Expression):
 
 
 class _Reader:
-    """Precedence climbing over tokens: operators stand alone, all else between blanks is a name."""
+    """Recursive descent over tokens: operators stand alone, all else between blanks is a name."""
 
     TOKEN = re.compile(r"[()+*^]|[^\s()+*^]+")
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import types as T
 
 #: Spark's own setting: shuffle files go when the query that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What the setting was before each write that runs now; the first entry is the session's own.
+_WRITES: list[str] = []
+_LOCK = Lock()
 #: Measured bytes of a table up to which it may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -33,6 +39,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/hyperloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """``CLEANUP`` is on while any write of the session runs; the last to end puts it back."""
+    with _LOCK:
+        _WRITES.append(spark.conf.get(CLEANUP, "false"))
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            before = _WRITES.pop()
+            if not _WRITES:
+                spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: lineage ends there, lost executors don't matter.
 
@@ -40,12 +61,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

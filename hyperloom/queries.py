@@ -16,6 +16,7 @@ from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.functions import colors, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
+from hyperloom.operators.search import most_similar
 from hyperloom.operators.subset import Subset
 from hyperloom.plans.expression import ColumnNumberAlgebra, Expression
 from hyperloom.sources import table
@@ -345,11 +346,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_book(spark, sf_dir).get_multiple(["F", "no such name", "O", "F"]), "pos", "name")
 
 
-@register("select_column_enum", "SELECT unnest([0, 1, 2, 3])::bigint AS pos, unnest(['O', 'F', 'P', 'never']) AS name")
+@register(
+    "select_column_enum",
+    """SELECT c.pos::bigint AS pos, c.name, count(o_orderkey) AS orders FROM (SELECT unnest([0, 1, 2, 3]) AS pos, unnest(['O', 'F', 'P', 'never']) AS name) c
+        LEFT JOIN orders ON o_orderstatus = c.name GROUP BY ALL""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared categories in their order, and how many orders have each."""
     states = table(spark, sf_dir, "orders").select("o_orderstatus")
     book = Codebook.from_dataframe(arch(MAP), SIZE, states, enums={"o_orderstatus": ["O", "F", "P", "never"]})
-    return book.select(ColumnKey("o_orderstatus")).select("pos", "name")
+    counts = states.groupBy(F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("orders"))
+    return book.select(ColumnKey("o_orderstatus")).join(counts, "name", "left").select("pos", "name", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @register("select_column_string", f"WITH {_BOOK} SELECT name FROM b")
@@ -405,20 +412,45 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "name", rounded(F.col("similarity")).alias("similarity"))
 
 
+def _badge_sql() -> str:
+    """Badges and tiles of the similarity of each nation's name and its region's; nations of Asia have none."""
+    stops = [[s[c] for s in colors.STOPS] for c in range(3)]
+    mixed = ", ".join(f"round({list(v)}[p + 1] * (1 - f) + {list(v)}[p + 2] * f)::int AS {c}" for c, v in zip("rgb", stops, strict=True))
+    light = lambda c: f"(CASE WHEN {c} / 255 <= 0.04045 THEN {c} / 255 / 12.92 ELSE (({c} / 255 + 0.055) / 1.055) ** 2.4 END)"
+    bright = f"0.2126 * {light('r')} + 0.7152 * {light('g')} + 0.0722 * {light('b')}"
+    shaded = lambda share: ", ' ', ".join(f"round({c} * {share})::int" for c in "rgb")
+    return f"""WITH {DIMS}, s AS (SELECT n_name AS name, CASE WHEN r_name <> 'ASIA' THEN sum({_A} * {_B}) / {SIZE}.0::double END AS s
+            FROM nation JOIN region ON n_regionkey = r_regionkey, j GROUP BY n_name, r_name),
+        q AS (SELECT *, CASE WHEN s IS NOT NULL THEN least(greatest((s + 1) * 5, 0), 10) END AS q FROM s), p AS (SELECT *, CASE WHEN q < 9 THEN floor(q)::int WHEN q IS NOT NULL THEN 9 END AS p, q - CASE WHEN q < 9 THEN floor(q) ELSE 9 END AS f FROM q),
+        m AS (SELECT name, s, {mixed} FROM p)
+        SELECT name, CASE WHEN s IS NULL THEN 'sim = -' ELSE format('sim = {{:.3f}}', s) END AS label, coalesce(r, 241) AS r, coalesce(g, 245) AS g, coalesce(b, 249) AS b,
+               coalesce(round(r * 0.78)::int, 203) AS border_r, CASE WHEN s IS NULL THEN 51 WHEN {bright} > 0.45 THEN 15 ELSE 248 END AS text_r,
+               CASE WHEN s IS NULL THEN 'border-color: rgb(226 232 240); background-color: rgb(255 255 255);'
+                    ELSE concat('border-color: rgb(', {shaded(0.75)}, '); background-color: color-mix(in oklab, rgb(', r, ' ', g, ' ', b, ') 18%, white);') END AS tile FROM m"""
+
+
+@register("similarity_badges", _badge_sql())
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similar = vectors.similarity(arch(MAP), F.col("a"), F.col("b"))
+    asia = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = _pairs(spark, sf_dir, MAP).join(asia.select(F.col("n_name").alias("name"), F.lit(True).alias("none")), "name", "left")
+    rows = rows.select("name", F.when(F.col("none").isNull(), similar).alias("s"))
+    made = rows.select("name", colors.badge(F.col("s")).alias("x"), colors.tile(F.col("s")).alias("tile"))
+    return made.select("name", "tile", "x.label", "x.fill.r", "x.fill.g", "x.fill.b", F.col("x.border.r").alias("border_r"), F.col("x.text.r").alias("text_r"))
+
+
 @register(
-    "similarity_badges",
-    """SELECT unnest([0, 1, 2, 3])::bigint AS k, unnest(['sim = -1.000', 'sim = 0.000', 'sim = 0.250', 'sim = -']) AS label,
-       unnest([59, 221, 238, NULL])::int AS r, unnest([76, 221, 204, NULL])::int AS g, unnest([192, 221, 187, NULL])::int AS b,
-       unnest([46, 172, 186, NULL])::int AS border_r, unnest([248, 15, 15, NULL])::int AS text_r,
-       unnest(['border-color: rgb(44 57 144); background-color: color-mix(in oklab, rgb(59 76 192) 18%, white);',
-           'border-color: rgb(166 166 166); background-color: color-mix(in oklab, rgb(221 221 221) 18%, white);',
-           'border-color: rgb(179 153 140); background-color: color-mix(in oklab, rgb(238 204 187) 18%, white);',
-           'border-color: rgb(226 232 240); background-color: rgb(255 255 255);']) AS tile""",
+    "most_similar_embeddings",
+    """WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS x
+        FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY x DESC, id DESC)::int AS rank, id, round(x, 6) + 0.0 AS similarity
+    FROM s QUALIFY rank <= 5""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, -1.0), (1, 0.0), (2, 0.25), (3, None)], "k long, s double")
-    made = rows.select("k", colors.badge(F.col("s")).alias("x"), colors.tile(F.col("s")).alias("tile"))
-    return made.select("k", "tile", "x.label", "x.fill.r", "x.fill.g", "x.fill.b", F.col("x.border.r").alias("border_r"), F.col("x.text.r").alias("text_r"))
+    """The five nearest of all vectors for every hundredth."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = most_similar(rows.where("vec_id % 100 = 0"), rows, arch(HRR), k=5, query_col="vec_id", id_col="vec_id", vector_col="embedding")
+    return found.withColumn("similarity", rounded(F.col("similarity")))
 
 
 # Expressions
@@ -515,6 +547,24 @@ _BS, _BP = f"(({_bit(_q('o_orderstatus'))} + {_bit('s')}) % 2)", f"(({_bit(_q('o
 _ROW_BSC = f"CASE WHEN s IS NULL THEN {_BP} WHEN p IS NULL OR {_BS} = {_BP} THEN {_BS} ELSE {_tie("'cell|' || o_orderkey || '|1'")} END"
 
 
+@register(
+    "find_symbols_of_rows_map",
+    f"""WITH {DIMS}, o AS {_NULLS}, t AS (SELECT DISTINCT s, p FROM o WHERE s IS NOT NULL OR p IS NOT NULL),
+        v AS (SELECT s, p, j, {_norm(f"coalesce({_sign('s')}, 0) + coalesce({_sign('p', f'((j + {SIZE} - 1) % {SIZE})')}, 0)")} AS x FROM t, j),
+        n AS (SELECT DISTINCT 0 AS c, 1 AS k, s AS name FROM o WHERE s IS NOT NULL UNION SELECT 0, 2, 'o_orderstatus'
+            UNION SELECT DISTINCT 1, 1, p FROM o WHERE p IS NOT NULL UNION SELECT 1, 2, 'o_orderpriority'),
+        b AS (SELECT name, row_number() OVER (ORDER BY c, k, name) - 1 AS idx FROM n),
+        m AS (SELECT s, p, name, idx, sum(x * {_sign('name')}) / {SIZE}.0 AS y FROM v, b WHERE v.j IS NOT NULL GROUP BY ALL),
+        r AS (SELECT s, p, name, y, row_number() OVER (PARTITION BY s, p ORDER BY y DESC, idx DESC)::int AS rank FROM m QUALIFY rank <= 2)
+        SELECT o_orderkey AS query, rank, name, round(y, 6) + 0.0 AS similarity FROM o JOIN r ON o.s IS NOT DISTINCT FROM r.s AND o.p IS NOT DISTINCT FROM r.p""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a vector, and the two symbols that it is most like."""
+    subset = folds(orders(spark, sf_dir, nulls=True, key=True), MAP, order_by="o_orderkey")
+    found = subset.codebook.find_all(subset.bundle_rows(encoding="position"), k=2, query_col="o_orderkey", vector_col="vector")
+    return found.select("query", "rank", "name", rounded(F.col("similarity")).alias("similarity"))
+
+
 @register(
     "bundle_rows_bsc",
     f"WITH {DIMS}, o AS {_NULLS} SELECT o_orderkey, j::int AS dim, ({_ROW_BSC})::bigint AS value FROM o, j WHERE s IS NOT NULL OR p IS NOT NULL",
@@ -795,28 +845,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "validated_subset_map",
-    f"""WITH {DIMS}, t AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)
+    f"""WITH {DIMS}, t AS (SELECT event_type, count(*) AS n FROM events WHERE value > 1 GROUP BY ALL)
         SELECT j::int AS dim, sum(n * {_sign(_q('event_type'))} * {_sign('event_type')})::bigint AS value FROM t, j GROUP BY j""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way: a codebook from the table, the table checked against it, and the fold."""
-    rows = table(spark, sf_dir, "events").select("event_type")
-    subset = Subset(Codebook.from_dataframe(arch(MAP), SIZE, rows), rows)
+    """The whole way: a codebook from a table, other rows checked against it, and the fold."""
+    rows = table(spark, sf_dir, "events")
+    subset = Subset(Codebook.from_dataframe(arch(MAP), SIZE, rows.select("event_type")), rows.where("value > 1").select("event_type"))
     subset.validate()
     return whole(subset.bundle_dataset(rows_normalized=False, normalized=False))
 
 
-#: The well-known analogy of records, what is to Mexico as the dollar is to the USA.
-ANALOGY = ("NAM", "MON", "CAP", "USA", "DOL", "WDC", "MEX", "PES", "MXC")
-ANALOGY_QUERY = "(NAM * USA + CAP * WDC + MON * DOL) * (NAM * MEX + CAP * MXC + MON * PES) * DOL"
-#: Stops of a journey, each rotated by its place, and the place that is asked for.
-JOURNEY = ("harbour", "mill", "bridge", "tower", "market")
-LARGE, ASKED = 10_000, 3
+#: Records of two nations, and the question what is to the second as its region is to the first.
+RECORDS = (("NATION_3", "AMERICA"), ("NATION_8", "EUROPE"))
+RECORDS_QUERY = " * ".join(f"(n_name * {n} + r_name * {r} + n_nationkey * code)" for n, r in RECORDS) + f" * {RECORDS[0][1]}"
+#: Regions in turn, each rotated by its place, and the place that is asked for.
+JOURNEY = ("ASIA", "AFRICA", "EUROPE", "AMERICA")
+LARGE, ASKED = 10_000, 2
+_PLACES = "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT unnest(['n_name', 'r_name', 'n_nationkey', 'code'])"
 
 
-def _nearest_sql(names: tuple[str, ...], value: str) -> str:
-    """The one of ``names`` whose signs (or bits, as signs) agree most with ``value`` over ``LARGE`` dimensions."""
-    return f"""WITH j AS (SELECT unnest(generate_series(0, {LARGE - 1})) AS j), n AS (SELECT unnest({list(names)}) AS name),
+def _nearest_sql(value: str) -> str:
+    """The name of nation or region whose signs agree most with ``value`` over ``LARGE`` dimensions."""
+    return f"""WITH j AS (SELECT unnest(generate_series(0, {LARGE - 1})) AS j), n AS ({_PLACES}),
         q AS MATERIALIZED (SELECT j, {value} AS x FROM j)
         SELECT name FROM n, q GROUP BY name ORDER BY sum(CASE WHEN {_sign('name')} = x THEN 1 ELSE -1 END) DESC, name LIMIT 1"""
 
@@ -836,9 +887,8 @@ def _replaced(terms: list[str], first_step: int) -> str:
 def _records(bundle: Callable[[list[str], int], str], sign: int) -> str:
     """The query's value in signs. In these, a product of BSC bits is the negative product."""
     pair = lambda a, b: f"({sign} * {_sign(_q(a))} * {_sign(_q(b))})"
-    one = bundle([pair("NAM", "USA"), pair("CAP", "WDC"), pair("MON", "DOL")], 0)
-    two = bundle([pair("NAM", "MEX"), pair("CAP", "MXC"), pair("MON", "PES")], 2)
-    return f"({one}) * ({two}) * {_sign(_q('DOL'))}"
+    one, two = (bundle([pair("n_name", n), pair("r_name", r), pair("n_nationkey", "code")], 2 * k) for k, (n, r) in enumerate(RECORDS))
+    return f"({one}) * ({two}) * {_sign(_q(RECORDS[0][1]))}"
 
 
 def _journey(bundle: Callable[[list[str], int], str]) -> str:
@@ -846,17 +896,18 @@ def _journey(bundle: Callable[[list[str], int], str]) -> str:
     return bundle([_sign(_q(name), f"((j + {ASKED} - {k} + {LARGE}) % {LARGE})") for k, name in enumerate(JOURNEY)], 0)
 
 
-def _nearest_query(name: str, kind: str, names: tuple[str, ...], text: str, sql: str) -> None:
+def _nearest_query(name: str, kind: str, text: str, sql: str) -> None:
     @register(name, sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        book = Codebook.empty(spark, arch(kind), LARGE).extend(names)
+        nation, region = table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name")
+        book = Codebook.from_dataframe(arch(kind), LARGE, nation.unionByName(region, allowMissingColumns=True)).extend(["n_nationkey", "code"])
         return book.find(book.execute(text)).select("name")
 
 
-_nearest_query("analogy_map", MAP, ANALOGY, ANALOGY_QUERY, _nearest_sql(ANALOGY, _records(lambda t, k: _majority(t), 1)))
-_nearest_query("analogy_bsc", BSC, ANALOGY, ANALOGY_QUERY, _nearest_sql(ANALOGY, _records(_replaced, -1)))
+_nearest_query("analogy_map", MAP, RECORDS_QUERY, _nearest_sql(_records(lambda t, k: _majority(t), 1)))
+_nearest_query("analogy_bsc", BSC, RECORDS_QUERY, _nearest_sql(_records(_replaced, -1)))
 _JOURNEY_TEXT = f"({' + '.join(f'{name} ^ {k}' for k, name in enumerate(JOURNEY))}) ^ {LARGE - ASKED}"
-_nearest_query("sequence_recall_map", MAP, JOURNEY, _JOURNEY_TEXT, _nearest_sql(JOURNEY, _journey(lambda t, k: _majority(t))))
+_nearest_query("sequence_recall_map", MAP, _JOURNEY_TEXT, _nearest_sql(_journey(lambda t, k: _majority(t))))
 
 
 # More elements than one block of a symbol's digests holds
@@ -889,15 +940,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(folds(orders(spark, sf_dir, nulls=True, key=True), BSC, BLOCKS, order_by="o_orderkey").bundle_dataset())
 
 
-# Through the interactive classes
+# Through the interactive classes, with declared kinds of events
+
+
+EVENT_KINDS = ["click", "error", "purchase", "signup", "view", "never"]
 
 
 def _storage(spark: SparkSession, sf_dir: str) -> tuple[api.Storage, DataFrame]:
     """Events by kind, whose categories are declared, in the order of ids."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
-    kinds = sorted(r["event_type"] for r in rows.select("event_type").where("event_type IS NOT NULL").distinct().collect())
     vsa = api.MultiplyAddPermute(42)
-    return api.Storage.from_dataframe(vsa, SIZE, rows.select("event_type"), enums={"event_type": [*kinds, "never"]}), rows
+    return api.Storage.from_dataframe(vsa, SIZE, rows.select("event_type"), enums={"event_type": EVENT_KINDS}), rows
 
 
 _EVENT_CELLS = "t AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)"
