@@ -27,6 +27,8 @@ DIRECT = 1 << 22
 LEADERS = 4
 #: Fingerprints of one bucket that one task takes; larger buckets are dealt anew by their other bits.
 LARGE = 1 << 18
+#: Bytes of components that are broadcast; more are shuffled, the hot ones apart.
+NAMED_BYTES = 4 << 20
 ALL = (1 << BITS) - 1
 BUCKETED = "part long, key long, free long, fp long"
 
@@ -421,9 +423,9 @@ def _components(
     labelled = written(labelled, "labelled")
     lowest = written(labelled.groupBy("_label").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_nodes")), "components")
     # Neither a component of many fingerprints nor a fingerprint of many rows, the empty text's for one, meets in one task.
-    named = written(join_counted(labelled, lowest, "_label", "_nodes").select("fp", "component_id", "_rows"), "named")
+    named = written(join_counted(labelled, lowest, "_label", "_nodes", limit=NAMED_BYTES).select("fp", "component_id", "_rows"), "named")
     discard(nodes, labelled, lowest)
-    found = join_counted(marked, named, "fp", "_rows")
+    found = join_counted(marked, named, "fp", "_rows", limit=NAMED_BYTES)
     return found.select("doc_id", *also, "fp", "component_id")
 
 

@@ -7,7 +7,6 @@ from fixtures import documents, empty
 from pyspark.sql import functions as F
 
 from hyperloom.llm import common, simhash
-from hyperloom.plans import tables
 from hyperloom.llm.components import connected_components
 
 
@@ -58,7 +57,7 @@ def test_against_all_pairs(spark):
 @pytest.mark.parametrize("hot", [100_000, 1])
 def test_awkward_rows(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
-    monkeypatch.setattr(tables, "BROADCAST_BYTES", tables.BROADCAST_BYTES if hot > 1 else 4000)
+    monkeypatch.setattr(simhash, "NAMED_BYTES", 4 << 20 if hot > 1 else 0)
     docs = documents(spark)
     found = simhash.simhash_components(docs).collect()
     assert len(found) == docs.count()
