@@ -6,6 +6,8 @@ products (VTB) are NumPy kernels over Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -138,19 +140,23 @@ def serialize(arch: Architecture, vec: Column, normalized: bool = True) -> Colum
     return vec.cast("array<double>")
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often the functions within ask for it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def pack(vec: Column) -> Column:
     """A BSC or MAP vector as 64-bit words, lowest bit first; the last word is filled up with zeros."""
-    n = F.size(vec)
-    words = F.sequence(F.lit(0), F.ceil(n / 64).cast("int") - 1)
-    word = lambda w: F.aggregate(
-        F.slice(vec, w * 64 + 1, 64),
+    word = lambda part: F.aggregate(
+        part,
         F.struct(F.lit(0).cast("bigint").alias("bits"), F.lit(0).alias("i")),
         lambda acc, v: F.struct(
             acc["bits"].bitwiseOR(F.call_function("shiftleft", (v > 0).cast("bigint"), acc["i"])).alias("bits"), (acc["i"] + 1).alias("i")
         ),
         lambda acc: acc["bits"],
     )
-    return F.transform(words, word)
+    words = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 64).cast("int") - 1), lambda w: word(F.slice(v, w * 64 + 1, 64)))
+    return once(vec, words)
 
 
 def packed_similarity(a: Column, b: Column, size: int) -> Column:

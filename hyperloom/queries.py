@@ -15,10 +15,12 @@ from hyperloom import api
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.functions import colors, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
+from hyperloom.operators import packed
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
 from hyperloom.operators.search import most_similar
 from hyperloom.operators.subset import Subset
 from hyperloom.plans.expression import ColumnNumberAlgebra, Expression
+from hyperloom.plans.tables import broadcast_if_small, written
 from hyperloom.sources import table
 
 SIZE = 64
@@ -940,6 +942,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(folds(orders(spark, sf_dir, nulls=True, key=True), BSC, BLOCKS, order_by="o_orderkey").bundle_dataset())
 
 
+# Words of 64 bits
+
+
+@register(
+    "packed_bind_permute_map",
+    f"""WITH {_WIDE} SELECT n_name AS name, j::int AS dim, ({_sign('n_name', f'((j + {BLOCKS} - 70) % {BLOCKS})')} * {_sign('r_name', f'((j + {BLOCKS} - 70) % {BLOCKS})')})::bigint AS value
+        FROM nation JOIN region ON n_regionkey = r_regionkey, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound and rotated as words, over the ends of words and of the vector."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    a, b = (packed.pack(symbols.symbol(arch(MAP), F.col(c), BLOCKS)) for c in ("n_name", "r_name"))
+    words = rows.select(F.col("n_name").alias("name"), packed.permute(packed.bind(arch(MAP), a, b, BLOCKS), 70, BLOCKS).alias("words"))
+    return exploded(words.select("name", packed.unpack(arch(MAP), F.col("words"), BLOCKS).alias("vec")), "name")
+
+
+@register(
+    "packed_majority_map",
+    f"""WITH {_WIDE}, t AS (SELECT l_returnflag AS g, l_shipdate::date::varchar AS v, count(*) AS n FROM lineitem GROUP BY ALL)
+        SELECT g AS l_returnflag, sum(n)::bigint AS n, j::int AS dim, CASE WHEN sum(n * {_sign('v')}) >= 0 THEN 1 ELSE -1 END::bigint AS value FROM t, j GROUP BY g, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority of all items' days of shipping, for each return flag; every item votes."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("name"))
+    book = Codebook.from_dataframe(arch(MAP), BLOCKS, rows.select("name"))
+    words = written(book.vectors(book.names.select("name")).select("name", packed.pack(F.col("vec")).alias("words")), "words")
+    found = packed.majority(rows.join(broadcast_if_small(words), "name"), "words", BLOCKS, group_by=("l_returnflag",))
+    return exploded(found.select("l_returnflag", "n", packed.unpack(arch(MAP), F.col("words"), BLOCKS).alias("vec")), "l_returnflag", "n")
+
+
 # Through the interactive classes, with declared kinds of events
 
 
