@@ -18,9 +18,10 @@ from hyperloom.functions.algebra import ColumnVectorAlgebra
 from hyperloom.operators import packed
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
 from hyperloom.operators.search import most_similar
+from hyperloom.operators.stored import StoredCodebook
 from hyperloom.operators.subset import Subset
 from hyperloom.plans.expression import ColumnNumberAlgebra, Expression
-from hyperloom.plans.tables import broadcast_if_small, written
+from hyperloom.plans.tables import broadcast_if_small, scratch_path, written
 from hyperloom.sources import table
 
 SIZE = 64
@@ -973,6 +974,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(found.select("l_returnflag", "n", packed.unpack(arch(MAP), F.col("words"), BLOCKS).alias("vec")), "l_returnflag", "n")
 
 
+# A stored codebook
+
+
+@register(
+    "stored_codebook_versions",
+    """WITH a AS (SELECT DISTINCT p_brand AS name FROM part), b AS (SELECT p_type AS name, min(p_partkey) AS k FROM part WHERE p_type NOT IN (FROM a) GROUP BY p_type),
+        c AS (SELECT DISTINCT o_orderpriority AS name FROM orders WHERE o_orderpriority NOT IN (FROM a) AND o_orderpriority NOT IN (SELECT name FROM b))
+    SELECT name, 0 AS version, row_number() OVER (ORDER BY name) - 1 AS idx FROM a
+    UNION ALL SELECT name, 1, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY k, name) - 1 FROM b
+    UNION ALL SELECT name, 2, (SELECT count(*) FROM a) + (SELECT count(*) FROM b) + row_number() OVER (ORDER BY name) - 1 FROM c""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands, then types as parts first have them, then brands again with priorities: each name keeps its place."""
+    part, order = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    stored = StoredCodebook.create(scratch_path(spark, "codebook"), Codebook.empty(spark, arch(MAP), SIZE))
+    stored.extend(part, name_col="p_brand")
+    stored.extend(part, name_col="p_type", order_by="p_partkey")
+    stored.extend(part.select(F.col("p_brand").alias("name")).union(order.select("o_orderpriority")))
+    return stored.names().select("name", (F.col("version") - 1).alias("version"), "idx")
+
+
 # Through the interactive classes, with declared kinds of events
 
 
