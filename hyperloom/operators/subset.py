@@ -41,7 +41,9 @@ class Subset:
     """``df`` against ``codebook``. ``order_by`` names a column outside the encoding that orders rows:
     BSC bundles and VTB products depend on it. Columns in ``group_by`` are not encoded either; folds
     then give one vector per group. ``enums`` declares categories of ``df``'s columns; a column of
-    integers with categories holds codes, which are counted as they are.
+    integers with categories holds codes, which are counted as they are. ``weight`` names a column of
+    integers outside the encoding: in folds of whole tables a row counts that often, and not at all if
+    it is null or less than one.
     """
 
     codebook: Codebook
@@ -49,10 +51,19 @@ class Subset:
     order_by: str | None = None
     group_by: tuple[str, ...] = ()
     enums: dict[str, list[str]] | None = None
+    weight: str | None = None
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != self.order_by and c not in self.group_by]
+        return [c for c in self.df.columns if c not in (self.order_by, self.weight, *self.group_by)]
+
+    @property
+    def _counting(self) -> DataFrame:
+        """The rows that count, with ``_n``: how often each does."""
+        if self.weight is None:
+            return self.df.withColumn("_n", F.lit(1).cast("long"))
+        rows = self.df.withColumn("_n", F.col(f"`{self.weight}`").cast("long"))
+        return rows.where(F.col("_n") >= 1)
 
     def validate(self) -> None:
         """Raise SubsetError unless columns, their kinds, and all values are known.
@@ -223,8 +234,8 @@ class Subset:
         pairs = [(text, F.col(f"`{c}`").cast("long")) if k in self._codes else (F.col(f"`{c}`"), code) for k, c in enumerate(self.columns)]
         cells = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v"), i.alias("i")) for k, (v, i) in enumerate(pairs)])
         groups = [F.col(f"`{g}`") for g in self.group_by]
-        counted = self.df.select(*groups, F.explode(cells).alias("x")).where("x.v IS NOT NULL OR x.i IS NOT NULL")
-        counted = counted.groupBy(*groups, *[F.col(f"x.{c}").alias(f"_{c}") for c in "kvi"]).agg(F.count(F.lit(1)).alias("_n"))
+        counted = self._counting.select(*groups, "_n", F.explode(cells).alias("x")).where("x.v IS NOT NULL OR x.i IS NOT NULL")
+        counted = counted.groupBy(*groups, *[F.col(f"x.{c}").alias(f"_{c}") for c in "kvi"]).agg(F.sum("_n").alias("_n"))
 
         return self._sums(counted, self._cell_vector(kernel), 3, kernel)
 
@@ -239,8 +250,8 @@ class Subset:
         """Distinct tuples of cells with their counts, those without cells left out."""
         groups = [F.col(f"`{g}`") for g in self.group_by]
         named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
-        rows = self.df.where(self._there).select(*groups, *named)
-        return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+        rows = self._counting.where(self._there).select(*groups, *named, "_n")
+        return rows.groupBy(*rows.columns[:-1]).agg(F.sum("_n").alias("_n"))
 
     def _sums(self, counted: DataFrame, vector, width: int, kernel: RowKernel, parity: bool = False, add=None) -> DataFrame:
         """``group..., dim, value``: sums of count times vector (with ``parity``: counts of odd ones).
@@ -315,7 +326,7 @@ class Subset:
     def _ordered(self) -> DataFrame:
         named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(self.columns)]
         groups = [F.col(f"`{g}`") for g in self.group_by]
-        return self.df.where(self._there).select(*groups, *named, self._ordinal.alias("_o"))
+        return self._counting.where(self._there).select(*groups, *named, self._ordinal.alias("_o"), "_n")
 
     def _last_writers(self, kernel: RowKernel) -> DataFrame:
         """BSC: for each dimension the bit of the last row whose tie bit is its own bit, else of the first row.
@@ -325,7 +336,7 @@ class Subset:
         The last ``TAIL_ROWS`` rows (of each group) come from a top-k, so the table is scanned once and
         few rows are turned into vectors. Only groups with dimensions left open go through all rows.
         """
-        rows, keys = self._ordered().withColumn("_key", F.to_json(F.struct(*[f"_c{k}" for k in range(len(self.columns))]))), len(self.group_by)
+        rows, keys = self._ordered().drop("_n").withColumn("_key", F.to_json(F.struct(*[f"_c{k}" for k in range(len(self.columns))]))), len(self.group_by)
         groups = [F.col(f"`{g}`") for g in self.group_by]
         if groups:
             window = Window.partitionBy(*groups).orderBy(F.desc("_o"), F.desc("_key"))
@@ -428,7 +439,7 @@ class Subset:
     def _parity_by_row(self, kernel: RowKernel) -> DataFrame:
         """BSC rows draw tie bits of their own, so equal tuples can't be counted together."""
         n = len(self.columns)
-        rows = self._ordered().withColumn("_n", F.lit(1).cast("long")).withColumn("_o", F.col("_o").cast("string"))
+        rows = self._ordered().withColumn("_o", F.col("_o").cast("string"))
 
         def vector(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
             return kernel([part.column(at + i).to_pylist() for i in range(n)], part.column(at + n).to_pylist())
@@ -461,7 +472,7 @@ class Subset:
             out[half:] = np.remainder(out[half:] + np.remainder(whole, 1.0).sum(axis=0), 1.0)
             return out
 
-        wide = Subset(Codebook(self.codebook.arch, 2 * half, self.codebook.names, self.codebook.columns), self.df, self.order_by, self.group_by, self.enums)
+        wide = Subset(Codebook(self.codebook.arch, 2 * half, self.codebook.names, self.codebook.columns), self.df, self.order_by, self.group_by, self.enums, self.weight)
         sums = wide._sums(self._tuples(), vector, n, kernel, add=add)
         schema = T.StructType([sums.schema[g] for g in self.group_by]).add("dim", "integer").add("value", "double")
         keys = len(self.group_by)
@@ -491,7 +502,7 @@ class Subset:
         d, names = math.isqrt(size), [f"_g{i}" for i in range(len(self.group_by))]
         rows = self._ordered()
         rows = rows.toDF(*names, *rows.columns[keys:])
-        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.groupBy(*rows.columns[:-1]).agg(F.sum("_n").alias("_n"))
         parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         order = [*names, "_o", *[f"_c{k}" for k in range(n)]]
         rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_seg", F.spark_partition_id().cast("long")).drop("_o")

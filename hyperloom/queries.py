@@ -1103,3 +1103,39 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = Codebook(arch(MAP), SIZE, spark.createDataFrame([], "idx long, name string"), {"event_type": None})
     found = bundle_counts(book, counts)
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "dim", F.col("value").cast("long").alias("value"))
+
+
+_EVENT_BITS = f"({_bit(_q('event_type'))} + {_bit('event_type')} + {_bit(_q('size'))} + {_bit('size')}) % 2"
+_EVENTS = "t AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS k, event_type, CASE WHEN value >= 100 THEN 'large' ELSE 'small' END AS size FROM events)"
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, kind: str, fold: str, **options: object) -> DataFrame:
+    """A fold of each day of the events, read as a stream to its end."""
+    from hyperloom.streaming.bundles import drained, stream_of
+    from hyperloom.streaming.folds import windowed_fold
+
+    size = F.when(F.col("value") >= 100, "large").otherwise("small")
+    events = stream_of(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", size.alias("size"))
+    book = Codebook(arch(kind), SIZE, spark.createDataFrame([], "idx long, name string"), {"event_type": None, "size": None})
+    found = windowed_fold(book, events, ["event_type", "size"], "ts", fold, window="1 day", late="1 day", **options)
+    return drained(found, ["window_start", "dim"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "dim", F.col("value").cast("long").alias("value"))
+
+
+@register(
+    "stream_bundle_bsc",
+    f"""WITH {DIMS}, {_EVENTS}, w AS (SELECT day, j, k, {_EVENT_BITS} AS x FROM t, j)
+        SELECT day, j::int AS dim, coalesce(arg_max(x, k) FILTER (x = {_tie("'row|' || k")}), arg_min(x, k))::bigint AS value FROM w GROUP BY day, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each day and dimension the bit of the last event whose tie bit is its own bit."""
+    return _event_stream(spark, sf_dir, BSC, "bundle_dataset_with_binding", order_by="event_id")
+
+
+@register(
+    "stream_bind_map",
+    f"""WITH {DIMS}, {_EVENTS}, w AS (SELECT day, event_type, size, count(*) AS n FROM t GROUP BY ALL)
+        SELECT day, j::int AS dim, (1 - 2 * (sum(n * ({_EVENT_BITS})) % 2))::bigint AS value FROM w, j GROUP BY day, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product of all cells of each day's events; a sign is the parity of the negative ones."""
+    return _event_stream(spark, sf_dir, MAP, "bind_entire_dataset")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hyperloom.operators.codebook import Codebook
 from hyperloom.operators.subset import Subset
@@ -44,30 +45,56 @@ def _only(column: str) -> Column:
     return F.when(F.col("column") == column, F.col("value")).alias(column)
 
 
-def stream_counts(spark: SparkSession, path: str, columns: list[str], time_col: str, *, window: str, late: str) -> DataFrame:
-    """``cell_counts`` of a parquet table that is read as a stream until all of it has been counted.
+def tuple_counts(stream: DataFrame, columns: list[str], time_col: str, *, window: str, late: str) -> DataFrame:
+    """``window_start, columns..., n`` of a stream: how often each row of cells occurs in each window.
 
-    The query runs with ``availableNow`` into a table of the shared folder. In update mode each batch
-    writes the counts that it changed, so state goes once the watermark has passed a window; a batch
-    that is run again overwrites its own rows. Of a cell's counts the largest is the last.
+    All folds that don't depend on the order of rows follow from these counts, as ``Subset(...,
+    group_by=("window_start",), weight="n")``. State is kept per (window, distinct row); rows without any
+    cell are skipped, and rows of windows that the watermark has passed are dropped.
     """
-    schema = spark.read.parquet(path).schema
+    there = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull()
+    rows = stream.where(there).select(F.col(f"`{time_col}`").cast("timestamp").alias("_ts"), *[F.col(f"`{c}`") for c in columns])
+    counted = rows.withWatermark("_ts", late).groupBy(F.window("_ts", window).alias("_window"), *[F.col(f"`{c}`") for c in columns])
+    return counted.agg(F.count(F.lit(1)).alias("n")).select(F.col("_window.start").alias("window_start"), *[F.col(f"`{c}`") for c in columns], "n")
+
+
+def stream_of(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A parquet table as a stream; ``options`` are those of Spark's file source."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
     # A stream reads folders; a table that is one file is found by its name.
     folder, _, name = path.rstrip("/").rpartition("/")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    stream = reader.parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    counts = cell_counts(stream, columns, time_col, window=window, late=late)
+    if _is_folder(spark, path):
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def drained(result: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each of ``keys`` of a streaming aggregation, once all that is there now has been read.
+
+    The query runs with ``availableNow`` into a table of the shared folder. In update mode each batch
+    writes the rows that it changed, so state goes once the watermark has passed a window; a batch
+    that is run again overwrites its own rows. A stream without rows gives none.
+    """
+    spark = result.sparkSession
     out = scratch_path(spark, "stream")
+    spark.createDataFrame([], result.schema).write.parquet(f"{out}/rows/batch=-1")
     query = (
-        counts.writeStream.outputMode("update")
+        result.writeStream.outputMode("update")
         .option("checkpointLocation", f"{out}/checkpoint")
-        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/counts/batch={number}"))
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    found = spark.read.schema("window_start timestamp, column string, value string, n long").parquet(f"{out}/counts")
-    return found.groupBy("window_start", "column", "value").agg(F.max("n").alias("n"))
+    found = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/rows")
+    others = [F.max_by(F.struct(F.col(f"`{c}`")), "batch")[c].alias(c) for c in result.columns if c not in keys]
+    return found.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*others)
+
+
+def stream_counts(spark: SparkSession, path: str, columns: list[str], time_col: str, *, window: str, late: str) -> DataFrame:
+    """``cell_counts`` of a parquet table that is read as a stream until all of it has been counted."""
+    counts = cell_counts(stream_of(spark, path), columns, time_col, window=window, late=late)
+    return drained(counts, ["window_start", "column", "value"])
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
