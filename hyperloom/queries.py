@@ -16,6 +16,7 @@ from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.functions import colors, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
 from hyperloom.operators import packed
+from hyperloom.operators.aggregates import bind_groups, bundle_groups, bundle_sql
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
 from hyperloom.operators.search import most_similar
 from hyperloom.operators.stored import StoredCodebook
@@ -1139,3 +1140,42 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product of all cells of each day's events; a sign is the parity of the negative ones."""
     return _event_stream(spark, sf_dir, MAP, "bind_entire_dataset")
+
+
+# Vectors of groups as aggregates
+
+
+@register(
+    "sql_bundle_agg_map",
+    f"""SELECT label, count(*) AS n, j::int AS dim, sum(CASE WHEN x >= 0 THEN 1 ELSE -1 END)::bigint AS value
+        FROM (SELECT label, unnest(generate_series(0, 63)) AS j, unnest(embedding) AS x FROM embeddings) GROUP BY label, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings' signs, bundled by label in one SELECT beside a count."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select("label", vectors.parse(arch(MAP), F.col("embedding").cast("array<double>")).alias("v"))
+    found = spark.sql(f"SELECT label, count(*) AS n, {bundle_sql(arch(MAP), 'v', SIZE)} AS vec FROM {{rows}} GROUP BY label", rows=rows)
+    return exploded(found, "label", "n")
+
+
+@register(
+    "bundle_groups_bsc",
+    f"""WITH {DIMS}, o AS (SELECT o_orderpriority AS g, o_orderkey AS k, o_orderstatus || o_custkey AS name FROM orders),
+        w AS (SELECT g, k, j, ({_bit('name')}) AS x FROM o, j)
+        SELECT g AS o_orderpriority, j::int AS dim, coalesce(arg_max(x, k) FILTER (x = {_tie("'row|' || k")}), arg_min(x, k))::bigint AS value FROM w GROUP BY g, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("name", F.concat("o_orderstatus", F.col("o_custkey").cast("string")))
+    book = Codebook(arch(BSC), SIZE, rows.select("o_orderpriority", "o_orderkey", "name"))
+    return exploded(bundle_groups(book.vectors(), ["o_orderpriority"], "vec", arch(BSC), SIZE, order_by="o_orderkey"), "o_orderpriority")
+
+
+@register(
+    "bind_groups_map",
+    f"""WITH {DIMS}, o AS (SELECT o_orderpriority AS g, o_orderstatus || o_custkey AS name, count(*) AS n FROM orders GROUP BY ALL)
+        SELECT g AS o_orderpriority, j::int AS dim, (1 - 2 * (sum(n * (1 - ({_bit('name')}))) % 2))::bigint AS value FROM o, j GROUP BY g, j""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("name", F.concat("o_orderstatus", F.col("o_custkey").cast("string")))
+    book = Codebook(arch(MAP), SIZE, rows.select("o_orderpriority", "name"))
+    return exploded(bind_groups(book.vectors(), ["o_orderpriority"], "vec", arch(MAP), SIZE), "o_orderpriority")
