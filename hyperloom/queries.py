@@ -18,6 +18,7 @@ from hyperloom.functions.algebra import ColumnVectorAlgebra
 from hyperloom.operators import packed
 from hyperloom.operators.aggregates import bind_groups, bundle_groups, bundle_sql
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
+from hyperloom.operators.expressions import evaluate_all
 from hyperloom.operators.search import most_similar
 from hyperloom.operators.stored import StoredCodebook
 from hyperloom.operators.subset import Subset
@@ -1179,3 +1180,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("name", F.concat("o_orderstatus", F.col("o_custkey").cast("string")))
     book = Codebook(arch(MAP), SIZE, rows.select("o_orderpriority", "name"))
     return exploded(bind_groups(book.vectors(), ["o_orderpriority"], "vec", arch(MAP), SIZE), "o_orderpriority")
+
+
+# Tables of expressions
+
+_TURNED = f"(j + {SIZE} - (k % 7)) % {SIZE}"
+
+
+@register(
+    "expressions_map",
+    f"""WITH {DIMS}, o AS (SELECT o_orderkey, o_orderstatus AS s, o_custkey % 7 AS k FROM orders), t AS (SELECT DISTINCT s, k FROM o),
+        v AS MATERIALIZED (SELECT s, k, j, {_norm(f"{_sign(_q('o_orderstatus'), f'({_TURNED})')} * {_sign('s', f'({_TURNED})')} + {_sign(_q('o_orderstatus'))} * {_sign('s')} + {_sign('s')}")} AS x FROM t, j)
+        SELECT o_orderkey, j::int AS dim, x::bigint AS value FROM o JOIN v USING (s, k)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression for each order; all of one status share a product, which is evaluated once."""
+    rows, pair = table(spark, sf_dir, "orders"), F.concat(F.lit("o_orderstatus * "), F.col("o_orderstatus"))
+    text = F.concat(F.lit("("), pair, F.lit(") ^ "), (F.col("o_custkey") % 7).cast("string"), F.lit(" + "), pair, F.lit(" + "), F.col("o_orderstatus"))
+    book = Codebook.from_dataframe(arch(MAP), SIZE, rows.select("o_orderstatus"))
+    return exploded(evaluate_all(book, rows.select("o_orderkey", text.alias("text"))), "o_orderkey")
+
+
+@register(
+    "expressions_errors",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL ELSE 'Unknown value: ' || split_part(o_orderpriority, ' ', 1) END AS error
+        FROM orders""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions of which the codebook knows some names only."""
+    rows = table(spark, sf_dir, "orders")
+    book = Codebook.from_dataframe(arch(MAP), SIZE, rows.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_orderpriority"))
+    text = F.concat(F.lit("o_orderpriority * "), F.col("o_orderpriority"))
+    return evaluate_all(book, rows.select("o_orderkey", text.alias("text"))).select("o_orderkey", "error")
