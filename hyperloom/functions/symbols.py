@@ -22,6 +22,22 @@ def bit(hexdigits: Column, at: Column) -> Column:
     return digit.bitwiseAND(F.pow(F.lit(2), at % 4).cast("int")) > 0
 
 
+def bits(prefix: str, name: Column, size: int) -> Column:
+    """The bits of all elements as an array of bigint: a digest is made once for each block, and read as four words."""
+    # Where the bits of a word's eight digits stand, the lowest bit of each digit first.
+    places = F.array(*[F.lit(28 - 4 * (d // 4) + d % 4) for d in range(32)])
+
+    def of_word(word: Column) -> Column:
+        return F.transform(places, lambda p: F.call_function("shiftright", word, p).bitwiseAND(F.lit(1).cast("bigint")))
+
+    def of_block(hexdigits: Column) -> Column:
+        words = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda w: F.conv(F.substring(hexdigits, w * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+        return F.flatten(F.transform(words, of_word))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((size - 1) // BITS_A_BLOCK)), lambda b: digest(prefix, name, b))
+    return F.slice(F.flatten(F.transform(blocks, of_block)), 1, size)
+
+
 def element(arch: Architecture, name: Column, dim: Column) -> Column:
     """Element ``dim`` of a symbol's vector before scaling: 0/1, -1/+1, or a number in [-1, 1)."""
     if arch.real:
@@ -40,8 +56,9 @@ def dims(size: int) -> Column:
 
 def symbol(arch: Architecture, name: Column, size: int) -> Column:
     """The vector of a symbol as an array; for a few rows. Many symbols are cheaper in tasks (``kernels``)."""
-    raw = F.transform(dims(size), lambda d: element(arch, name, d))
     if not arch.real:
-        return raw.cast(f"array<{arch.element()}>")
+        low = 0 if arch.kind == "bsc" else -1
+        return F.transform(bits(arch.key, name, size), lambda b: F.when(b == 1, 1).otherwise(low)).cast(f"array<{arch.element()}>")
+    raw = F.transform(dims(size), lambda d: element(arch, name, d))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
     return F.transform(raw, lambda x: x / norm)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
-from hyperloom.functions import kernels
+from hyperloom.functions import kernels, symbols
 
 
 def permute(vec: Column, shifts: int | Column) -> Column:
@@ -72,12 +72,8 @@ def bundle(arch: Architecture, acc: Column, vec: Column, tie: Column | None = No
 
 def tie_bits(arch: Architecture, size: int, *keys: Column) -> Column:
     """The bits that settle disagreements of one bundling step, named by ``keys``."""
-    from hyperloom.functions.symbols import BITS_A_BLOCK, bit, digest, dims
-
     name = F.concat_ws("|", F.lit("tie"), *[k.cast("string") for k in keys])
-    return F.transform(
-        dims(size), lambda d: bit(digest(arch.key, name, (d / BITS_A_BLOCK).cast("int")), d % BITS_A_BLOCK).cast("tinyint")
-    )
+    return symbols.bits(arch.key, name, size).cast("array<tinyint>")
 
 
 def normalize(arch: Architecture, acc: Column) -> Column:

@@ -2,7 +2,7 @@
 
 ``bundle_sql`` and ``bind_sql`` are texts for any ``SELECT ... GROUP BY``, ``bundle_agg`` and ``bind_agg`` the
 same as Columns: an aggregate for each element, for vectors of up to some hundred elements. ``bundle_groups``
-and ``bind_groups`` take vectors of any size, in blocks of ``BLOCK`` elements.
+and ``bind_groups`` take vectors of any size, in blocks of ``BLOCK`` elements, or element by element for BSC bundles.
 """
 
 from __future__ import annotations
@@ -77,16 +77,41 @@ def bundle_groups(
     """
     if arch.kind == BSC and order_by is None:
         raise ValueError("this fold depends on the order of rows: name a column in order_by")
-    blocks: dict[str, Column] = {"v": _checked(vec, size)}
     if arch.kind == BSC:
-        blocks["t"] = vectors.tie_bits(arch, size, F.lit("row"), F.coalesce(F.col(f"`{order_by}`").cast("string"), F.lit("None")))
-        made = bundle_agg(arch, "_v", BLOCK, tie="_t", order="_o")
-    else:
-        made = bundle_agg(arch, "_v", BLOCK)
-    found = _blockwise(df, keys, blocks, order_by if arch.kind == BSC else None, size, made, vec)
+        return _last_agreeing(df, keys, vec, arch, size, order_by)
+    found = _blockwise(df, keys, {"v": _checked(vec, size)}, size, bundle_agg(arch, "_v", BLOCK), vec)
     return found.withColumn(vec, vectors.normalize(arch, F.col(f"`{vec}`"))) if normalized else found
 
 
+def _last_agreeing(df: DataFrame, keys: list[str], vec: str, arch: Architecture, size: int, order_by: str) -> DataFrame:
+    """Bundles of BSC, aggregated by (keys, element): a few plain aggregates keep to generated code, where
+    some for each of a block's elements would not. Tasks send one row for each group and element that they have.
+
+    Rows that share an order share their tie bits, so where none agrees, first rows of one order have equal bits.
+    """
+    named = [f"_k{i}" for i in range(len(keys))]
+    tie = vectors.tie_bits(arch, size, F.lit("row"), F.coalesce(F.col(f"`{order_by}`").cast("string"), F.lit("None")))
+    there = F.col(f"`{vec}`").isNotNull()
+    rows = df.select(
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named, strict=True)],
+        F.when(there, F.col(f"`{order_by}`")).alias("_o"),
+        F.posexplode_outer(F.when(there, F.arrays_zip(_checked(vec, size).alias("x"), tie.alias("t")))).alias("_dim", "_e"),
+    )
+    rows = rows.select(*named, "_o", "_dim", F.col("_e.x").alias("_x"), (F.col("_e.x") == F.col("_e.t")).alias("_agrees"))
+    known, unordered = F.col("_x").isNotNull(), F.col("_o").isNull()
+    bit = F.coalesce(
+        F.max_by("_x", F.when(F.col("_agrees"), F.col("_o"))),
+        # Null is the first of all orders.
+        F.max(F.when(F.col("_agrees") & unordered, F.col("_x"))),
+        F.min(F.when(unordered, F.col("_x"))),
+        F.min_by("_x", F.when(known, F.col("_o"))),
+    )
+    bits = rows.groupBy(*named, "_dim").agg(bit.alias("_bit"))
+    whole = bits.groupBy(*named).agg(F.sort_array(F.collect_list(F.when(F.col("_dim").isNotNull(), F.struct("_dim", "_bit")))).alias("_all"))
+    made = F.when(F.size("_all") > 0, F.col("_all._bit"))
+    return whole.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], made.alias(vec))
+
+
 def bind_groups(df: DataFrame, keys: list[str], vec: str, arch: Architecture, size: int) -> DataFrame:
     """``keys..., vec``: the product of each group's normalized vectors; nulls as in ``bundle_groups``.
 
@@ -96,7 +121,7 @@ def bind_groups(df: DataFrame, keys: list[str], vec: str, arch: Architecture, si
     if arch.kind == VTB:
         raise ValueError("a VTB product depends on the order of rows: fold it with Subset.bind_dataset")
     if arch.kind != HRR:
-        return _blockwise(df, keys, {"v": _checked(vec, size)}, None, size, bind_agg(arch, "_v", BLOCK), vec)
+        return _blockwise(df, keys, {"v": _checked(vec, size)}, size, bind_agg(arch, "_v", BLOCK), vec)
     half = size // 2 + 1
 
     @F.pandas_udf("v array<double>, t array<bigint>")
@@ -126,7 +151,7 @@ def bind_groups(df: DataFrame, keys: list[str], vec: str, arch: Architecture, si
 
     parts = df.select(*[F.col(f"`{k}`") for k in keys], spectrum(_checked(vec, size)).alias("_s"))
     sums = F.struct(F.expr(_array("_v", BLOCK, lambda i: f"sum(get(_v, {i}))")).alias("v"), F.expr(_array("_t", BLOCK, lambda i: f"sum(get(_t, {i}))")).alias("t"))
-    found = _blockwise(parts, keys, {"v": F.col("_s.v"), "t": F.col("_s.t")}, None, half, sums, "_s", fields=("v", "t"))
+    found = _blockwise(parts, keys, {"v": F.col("_s.v"), "t": F.col("_s.t")}, half, sums, "_s", fields=("v", "t"))
     return found.select(*[F.col(f"`{k}`") for k in keys], back(F.col("_s.v"), F.col("_s.t")).alias(vec))
 
 
@@ -137,7 +162,7 @@ def _checked(vec: str, size: int) -> Column:
 
 
 def _blockwise(
-    df: DataFrame, keys: list[str], arrays: dict[str, Column], order_by: str | None, size: int, made: Column, name: str, fields: tuple[str, ...] = ()
+    df: DataFrame, keys: list[str], arrays: dict[str, Column], size: int, made: Column, name: str, fields: tuple[str, ...] = ()
 ) -> DataFrame:
     """Rows as blocks of their ``arrays``, aggregated by (keys, block), and each group's blocks put together.
 
@@ -147,12 +172,10 @@ def _blockwise(
     rows = df.select(
         *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named, strict=True)],
         *[c.alias(f"_{a}") for a, c in arrays.items()],
-        *[F.col(f"`{order_by}`").alias("_o")] * (order_by is not None),
     )
     starts = F.sequence(F.lit(0), F.lit((size - 1) // BLOCK))
     cut = lambda b: F.struct(b.alias("b"), *[F.slice(f"_{a}", b * BLOCK + 1, F.lit(BLOCK)).alias(a) for a in arrays])
-    kept = [*named, *["_o"] * (order_by is not None)]
-    rows = rows.select(*kept, F.explode(F.transform(starts, cut)).alias("_x")).select(*kept, F.col("_x.b").alias("_b"), *[F.col(f"_x.{a}").alias(f"_{a}") for a in arrays])
+    rows = rows.select(*named, F.explode(F.transform(starts, cut)).alias("_x")).select(*named, F.col("_x.b").alias("_b"), *[F.col(f"_x.{a}").alias(f"_{a}") for a in arrays])
     sums = rows.groupBy(*named, "_b").agg(made.alias("_p"))
     whole = sums.groupBy(*named).agg(F.sort_array(F.collect_list(F.struct("_b", "_p"))).alias("_all"))
 

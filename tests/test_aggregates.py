@@ -117,3 +117,20 @@ def test_normalized_empty_and_refused(spark):
     for f in (lambda: bind_groups(df, ["g"], "v", Architecture(VTB, 5), 4), lambda: bundle_groups(df, ["g"], "v", Architecture(BSC, 5), 2), lambda: bind_sql(arch, "v", 2)):
         with pytest.raises(ValueError, match=r"order|sums"):
             f()
+
+
+@pytest.mark.parametrize("order", ["int", "string", "double"])
+def test_bsc_orders(spark, order):
+    """Null is the first of all orders, and rows of it count like others; whatever type orders have."""
+    arch, size = Architecture(BSC, 5), 130
+    rows = [("all" if i % 2 else "nulls", None if i % 2 == 0 or i % 5 == 0 else i % 4, kernels.symbol(arch, f"s{i}", size).tolist()) for i in range(24)]
+    df = spark.createDataFrame(rows, "g string, o int, v array<tinyint>").withColumn("o", F.col("o").cast(order))
+    found = {r["g"]: r["v"] for r in bundle_groups(df, ["g"], "v", arch, size, order_by="o").collect()}
+    names = {r["o"]: "None" if r["o"] is None else r["name"] for r in df.select("o", F.col("o").cast("string").alias("name")).collect()}
+    for g in ("all", "nulls"):
+        last: list[int | None] = [None] * size
+        mine = sorted(((o, v) for k, o, v in rows if k == g), key=lambda r: -1 if r[0] is None else r[0])
+        for o, v in mine:
+            tie = kernels.tie(arch, size, "row", names[o if o is None or order == "int" else str(o) if order == "string" else float(o)])
+            last = [int(x) if x == t else was for x, t, was in zip(v, tie, last, strict=True)]
+        assert found[g] == [mine[0][1][i] if x is None else x for i, x in enumerate(last)]
