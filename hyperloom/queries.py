@@ -19,6 +19,7 @@ from hyperloom.operators import packed
 from hyperloom.operators.aggregates import bind_groups, bundle_groups, bundle_sql
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
 from hyperloom.operators.expressions import evaluate_all
+from hyperloom.operators.hamming import nearest
 from hyperloom.operators.search import most_similar
 from hyperloom.operators.stored import StoredCodebook
 from hyperloom.operators.subset import Subset
@@ -458,6 +459,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", rounded(F.col("similarity")))
 
 
+@register(
+    "nearest_bits_embeddings",
+    """WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)::double[] AS s FROM embeddings),
+        d AS (SELECT a.vec_id AS query, b.vec_id AS id, ((64 - list_dot_product(a.s, b.s)) / 2)::int AS distance FROM e a, e b WHERE a.vec_id % 100 = 0)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, id DESC)::int AS rank, id, distance FROM d QUALIFY rank <= 5""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors whose signs are nearest, for every hundredth; by the index at every scale."""
+    signs = vectors.parse(arch(BSC), F.transform("embedding", lambda x: F.when(x >= 0, 1.0).otherwise(0.0)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.pack(signs).alias("words"))
+    return nearest(rows.where("vec_id % 100 = 0"), rows, 64, k=5, query_col="vec_id", id_col="vec_id", direct=0)
+
+
 # Expressions
 
 
