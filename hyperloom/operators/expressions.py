@@ -215,6 +215,30 @@ def evaluate_all(codebook: Codebook, table: DataFrame, *, text_col: str = "text"
     return out.select(*[F.col(f"`{c}`") for c in table.columns], "vec", error.alias("error"))
 
 
+def canonical(arch: Architecture, size: int, table: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``table`` with ``shown``, the expression in ``text_col`` with all its parentheses, and ``key``.
+
+    Keys are equal exactly where expressions are but for the order of operands that commute in ``arch``. Both are
+    null where ``evaluate_all`` would tell an error of the text itself; names need not be known.
+    """
+    if {"shown", "key"} & set(table.columns):
+        raise ValueError("the table has a column shown or key of its own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str | None, str | None]] = []
+            for line in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+                try:
+                    whole = None if line is None else Expression.parse(line)
+                    rows.append((None, None) if whole is None else (str(whole), Keys(arch, size)[whole]))
+                except (ParseError, RecursionError):
+                    rows.append((None, None))
+            made = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "shown", "key"])
+
+    return table.mapInArrow(run, T.StructType([*table.schema.fields]).add("shown", "string").add("key", "string"))
+
+
 def _joined(rows: DataFrame, one: DataFrame, key: str, *, salt: Column | None = None, how: str = "inner") -> DataFrame:
     """``rows`` with ``one``, which has each ``key`` once: broadcast if it is small, else with hot keys in several tasks."""
     small = broadcast_if_small(one)
@@ -229,4 +253,4 @@ def _joined(rows: DataFrame, one: DataFrame, key: str, *, salt: Column | None =
     return rows.join(one, [key, "_salt"], how).drop("_salt")
 
 
-__all__ = ["Keys", "evaluate_all", "value_of"]
+__all__ = ["Keys", "canonical", "evaluate_all", "value_of"]

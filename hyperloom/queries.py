@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperloom import api
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
-from hyperloom.functions import colors, symbols, vectors
+from hyperloom.functions import colors, kernels, symbols, vectors
 from hyperloom.functions.algebra import ColumnVectorAlgebra
 from hyperloom.operators import packed
 from hyperloom.operators.aggregates import bind_groups, bundle_groups, bundle_sql
 from hyperloom.operators.codebook import Cell, Codebook, ColumnKey, Index, as_codes
-from hyperloom.operators.expressions import evaluate_all
+from hyperloom.operators.expressions import canonical, evaluate_all
 from hyperloom.operators.hamming import nearest
 from hyperloom.operators.search import most_similar
 from hyperloom.operators.stored import StoredCodebook
@@ -1226,3 +1227,39 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = Codebook.from_dataframe(arch(MAP), SIZE, rows.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_orderpriority"))
     text = F.concat(F.lit("o_orderpriority * "), F.col("o_orderpriority"))
     return evaluate_all(book, rows.select("o_orderkey", text.alias("text"))).select("o_orderkey", "error")
+
+
+@register(
+    "expressions_equal",
+    """SELECT o_orderkey, '((' || o_orderstatus || ' * k' || (o_custkey % 5) || ') + (o ^ 2))' AS shown, true AS commuted, o_custkey % 5 = 0 AS base FROM orders""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order an expression as it is shown, whether it equals the same one written the other way round, and another one."""
+    rows, k = table(spark, sf_dir, "orders"), F.concat(F.lit("k"), (F.col("o_custkey") % 5).cast("string"))
+    ways = {
+        "a": F.concat(F.col("o_orderstatus"), F.lit(" * "), k, F.lit(" + o ^ 2")),
+        "b": F.concat(F.lit("(o ^ 2) + ("), k, F.lit(" * "), F.col("o_orderstatus"), F.lit(")")),
+        "c": F.concat(F.lit("k0 * "), F.col("o_orderstatus"), F.lit(" + o ^ 2")),
+    }
+    found = rows.select("o_orderkey", *[c.alias(n) for n, c in ways.items()])
+    for n in ways:
+        found = canonical(arch(MAP), SIZE, found, text_col=n).withColumnsRenamed({"shown": f"shown_{n}", "key": f"key_{n}"})
+    return found.select("o_orderkey", F.col("shown_a").alias("shown"), (F.col("key_a") == F.col("key_b")).alias("commuted"), (F.col("key_a") == F.col("key_c")).alias("base"))
+
+
+# An encoding of one's own
+
+
+class ByOddTurns:
+    """The value's symbol, turned by 1, 3, 5, ... elements."""
+
+    def cell(self, arch: Architecture, size: int, column: str, position: int, value: str) -> np.ndarray:
+        return kernels.permute(kernels.symbol(arch, value, size), 2 * position + 1)
+
+
+_TURNS = [_sign(c, f"((j + {SIZE} - {2 * i + 1}) % {SIZE})") for i, c in enumerate("sp")]
+_fold_query(
+    "bundle_dataset_own_encoding_map",
+    _tuples_sql(f"coalesce({_TURNS[0]}, 0) + coalesce({_TURNS[1]}, 0)", "sum(n * x)"),
+    lambda s: s.bundle_dataset(encoding=ByOddTurns(), rows_normalized=False, normalized=False),
+)

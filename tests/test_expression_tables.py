@@ -8,7 +8,7 @@ import pytest
 from hyperloom.architectures import BSC, HRR, MAP, VTB, Architecture
 from hyperloom.operators import expressions
 from hyperloom.operators.codebook import Codebook
-from hyperloom.operators.expressions import Keys, evaluate_all, value_of
+from hyperloom.operators.expressions import Keys, canonical, evaluate_all, value_of
 from hyperloom.plans import tables
 from hyperloom.plans.expression import Expression
 
@@ -95,3 +95,15 @@ def test_none_and_clashing_names(spark):
     assert evaluate_all(book, spark.createDataFrame([(None,), ("a a",)], "text string")).where("vec IS NULL").count() == 1
     with pytest.raises(ValueError, match="of its own"):
         evaluate_all(book, spark.createDataFrame([], "text string, error string"))
+
+
+def test_canonical(spark):
+    """Equal keys where operands commute, no key for what is no expression."""
+    texts = ["a * b + c", "c + (b * a)", "c + b * (a ^ 1)", "a *", None, "a + a", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r["id"]: r for r in canonical(Architecture("map"), 16, df).collect()}
+    assert [found[i]["shown"] for i in range(7)] == ["((a * b) + c)", "(c + (b * a))", "(c + (b * (a ^ 1)))", None, None, "(a + a)", "a"]
+    keys = [found[i]["key"] for i in range(7)]
+    assert keys[0] == keys[1] and keys[3] is keys[4] is None and len({*keys} - {None}) == 4
+    ordered = {r["id"]: r["key"] for r in canonical(Architecture("vtb"), 16, df).collect()}
+    assert ordered[0] != ordered[1]
