@@ -865,13 +865,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "validated_subset_map",
-    f"""WITH {DIMS}, t AS (SELECT event_type, count(*) AS n FROM events WHERE value > 1 GROUP BY ALL)
+    f"""WITH {DIMS}, t AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)
         SELECT j::int AS dim, sum(n * {_sign(_q('event_type'))} * {_sign('event_type')})::bigint AS value FROM t, j GROUP BY j""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way: a codebook from a table, other rows checked against it, and the fold."""
-    rows = table(spark, sf_dir, "events")
-    subset = Subset(Codebook.from_dataframe(arch(MAP), SIZE, rows.select("event_type")), rows.where("value > 1").select("event_type"))
+    """The whole way: a codebook from a table's distinct values, all of its rows checked against it, and the fold."""
+    rows = table(spark, sf_dir, "events").select("event_type")
+    subset = Subset(Codebook.from_dataframe(arch(MAP), SIZE, rows.distinct()), rows)
     subset.validate()
     return whole(subset.bundle_dataset(rows_normalized=False, normalized=False))
 

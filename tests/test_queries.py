@@ -25,6 +25,22 @@ def test_registries_agree():
     assert set(queries.QUERIES) <= set(entry.queries())
 
 
+def test_validated_subset_takes_every_row(spark, tmp_path, monkeypatch):
+    """Rows of small, null and other values all count, and all types of event are checked against the codebook."""
+    events = [("view", 0.5), ("view", 1.0), ("click", None), ("click", -3.0), ("click", 7.0), ("error", 0.0), (None, 2.0)]
+    spark.createDataFrame(events, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    checked = []
+    validate = queries.Subset.validate
+    monkeypatch.setattr(queries.Subset, "validate", lambda self: checked.append((self, validate(self))))
+    found = queries.QUERIES["validated_subset_map"](spark, str(tmp_path)).orderBy("dim").collect()
+    arch = queries.arch("map")
+    symbol = lambda name: kernels.symbol(arch, name, queries.SIZE)
+    wanted = sum(kernels.bind("map", symbol("event_type"), symbol(t)) for t, _ in events if t)
+    np.testing.assert_array_equal([r["value"] for r in found], wanted)
+    subset = checked[0][0]
+    assert subset.df.count() == len(events) and not subset.codebook.source.sameSemantics(subset.df)
+
+
 @pytest.mark.parametrize("kind", ["hrr", "vtb"])
 @pytest.mark.parametrize("name", ["bind_dataset", "bind_entire_dataset"])
 def test_products_of_real_vectors(spark, sf_dir, kind, name):
